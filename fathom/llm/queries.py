@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, piece_bpe, simhash, token_files, topk, url_rules
+from . import decontamination, piece_bpe, simhash, token_files, topk, toxicity, url_rules
 from .common import table
 
 #: Stated rules (verdict, host and path).
@@ -45,7 +45,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op6_sentencepiece, op8_token_files)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op6_sentencepiece, op8_token_files, op10_toxicity)}
 
 SQL: dict[str, str] = {
     "op4_exact_topk": """
