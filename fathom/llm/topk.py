@@ -41,44 +41,83 @@ def features(rows: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Row by row. Where a sum could leave the integers that doubles hold exactly, Python's integers are used."""
-    if not rows.size or float(np.abs(queries).max()) * float(np.abs(rows).max()) * rows.shape[1] < EXACT:
-        return np.einsum("ij,ij->i", queries.astype(np.float64), rows.astype(np.float64)).astype(np.int64)
+    """All queries by all rows, exact: in floats where these hold all sums, else in Python's integers (kept to 64 bits)."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
+    if most < 2**24:
+        return queries.astype(np.float32) @ rows.astype(np.float32).T
+    if most < EXACT:
+        return queries.astype(np.float64) @ rows.astype(np.float64).T
     low, high = -(2**63), 2**63 - 1
-    return np.array([min(high, max(low, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for a, b in zip(queries, rows, strict=True)], dtype=np.int64)
+    return np.clip(queries.astype(object) @ rows.astype(object).T, low, high).astype(np.int64)
 
 
 class Searcher:
-    """Top-k of one block of queries of one dimension over candidates that come in pieces."""
+    """Top-k of one block of queries of one dimension over candidates that come in pieces.
+
+    A level that keeps over a quarter of the pairs is tried only now and then: its bound cannot tell these vectors apart.
+    """
 
     def __init__(self, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, levels: tuple[int, ...], tile: int = 512):
         self.keys, self.ids, self.queries, self.k, self.tile = keys, ids, queries, k, tile
         self.levels = [x for x in levels if x < queries.shape[1]]
-        self.feats = [features(queries.astype(np.float64), x) for x in self.levels]
+        self.feats = [features(queries.astype(np.float64), x).astype(np.float32) for x in self.levels]
         self.floor = np.full(len(keys), -np.inf)
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(keys)
+        self.idle = [0] * len(self.levels)
+
+    def seed(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """The k-th best score over some of the candidates, as a first floor; they are offered again later."""
+        for at in range(0, len(self.keys), self.tile):
+            part = slice(at, at + self.tile)
+            score = exact_scores(self.queries[part], rows).astype(np.float64)
+            score[self.ids[part, None] == ids[None, :]] = -np.inf
+            if score.shape[1] >= self.k:
+                self.floor[part] = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
 
     def offer(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        feats = [features(rows.astype(np.float64), x) for x in self.levels]
+        for a in range(0, len(ids), 4096):
+            self._offer(ids[a : a + 4096], rows[a : a + 4096])
+
+    def _offer(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        feats: dict[int, np.ndarray] = {}
         for at in range(0, len(self.keys), self.tile):
             part = slice(at, at + self.tile)
-            alive = self.ids[part, None] != ids[None, :]
-            slack = 0.0
-            if self.levels:
-                bound = self.feats[0][part] @ feats[0].T
-                slack = 1e-9 * (1 + np.abs(bound).max(initial=0)) * 64
-                alive &= bound + slack >= self.floor[part, None]
-            q, c = np.nonzero(alive)
-            for own, other in zip(self.feats[1:], feats[1:], strict=True):
-                if len(q):
-                    keep = np.concatenate([np.einsum("ij,ij->i", own[part][q[i : i + 200_000]], other[c[i : i + 200_000]]) + slack >= self.floor[part][q[i : i + 200_000]] for i in range(0, len(q), 200_000)])
-                    q, c = q[keep], c[keep]
-            if len(q):
-                score = np.concatenate([exact_scores(self.queries[part][q[i : i + 200_000]], rows[c[i : i + 200_000]]) for i in range(0, len(q), 200_000)])
-                self._merge(at, q, ids[c], score)
+            floor = self.floor[part, None]
+            pairs = None
+            for n, segments in enumerate(self.levels):
+                if self.idle[n]:
+                    self.idle[n] -= 1
+                    continue
+                if n not in feats:
+                    feats[n] = features(rows.astype(np.float64), segments).astype(np.float32)
+                own, other = self.feats[n][part], feats[n]
+                slack = 1e-4 * (1 + float(np.linalg.norm(own, axis=1).max()) * float(np.linalg.norm(other, axis=1).max()))
+                if pairs is None:
+                    keep = own @ other.T + np.float32(slack) >= floor
+                    share = keep.mean()
+                    if share <= 0.25:
+                        pairs = np.nonzero(keep)
+                else:
+                    q, c = pairs
+                    keep = np.einsum("ij,ij->i", own[q], other[c]) + slack >= floor[q, 0]
+                    share, pairs = keep.mean() if len(q) else 0.0, (q[keep], c[keep])
+                if share > 0.25:
+                    self.idle[n] = 64
+            if pairs is None:
+                score = exact_scores(self.queries[part], rows)
+                q, c = np.nonzero(score >= floor)
+                score = score[q, c]
+            else:
+                q, c = pairs
+                score = np.concatenate([np.zeros(0), *(exact_scores(self.queries[part][n : n + 1], rows[c[q == n]])[0] for n in np.unique(q))])
+                keep = score >= floor[q, 0]
+                q, c, score = q[keep], c[keep], score[keep]
+            other = self.ids[part][q] != ids[c]
+            if other.any():
+                self._merge(at, q[other], ids[c[other]], score[other].astype(np.int64))
 
     def _merge(self, at: int, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        order = np.lexsort((ids, -score.astype(np.float64), q)) if np.abs(score).max() < EXACT else np.array(sorted(range(len(q)), key=lambda i: (q[i], -int(score[i]), ids[i])))
+        order = np.lexsort((ids, np.negative(score, where=score != -(2**63), out=np.full(len(score), 2**63 - 1)), q))
         q, ids, score = q[order], ids[order], score[order]
         edges = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -86,10 +125,10 @@ class Searcher:
             b = min(b, a + self.k)
             old_ids, old = self.best[n]
             new_ids, new = np.r_[old_ids, ids[a:b]], np.r_[old, score[a:b]]
-            rank = np.lexsort((new_ids, [-int(x) for x in new]))[: self.k] if np.abs(new).max() >= EXACT else np.lexsort((new_ids, -new.astype(np.float64)))[: self.k]
+            rank = np.lexsort((new_ids, -np.maximum(new, -(2**63) + 1)))[: self.k]
             self.best[n] = new_ids[rank], new[rank]
             if len(rank) == self.k:
-                self.floor[n] = float(new[rank[-1]])
+                self.floor[n] = max(self.floor[n], float(np.nextafter(float(new[rank[-1]]), -np.inf)) if abs(int(new[rank[-1]])) >= EXACT else float(new[rank[-1]]))
 
     def rows(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         for key, own, (ids, score) in zip(self.keys, self.ids, self.best, strict=True):
@@ -97,13 +136,14 @@ class Searcher:
                 yield key, own, ids, score
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, levels: tuple[int, ...] = (4, 16), block_bytes: int = 16 << 20) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, levels: tuple[int, ...] = (4, 16), block_bytes: int = 16 << 20, seeds: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products over all rows but its own.
 
     vectors, queries: vec_id, q (array of long). Ties go to the smaller vec_id. Rows with a null vec_id or null q take no
     part; rows with the query's vec_id count as its own; a repeated query row gets a result of its own; vectors of
     another length than the query's take no part in its search. Queries are a stated set and are sent to the executors
-    in blocks of at most block_bytes, one pass over all vectors for each block.
+    in blocks of about block_bytes, one pass over all vectors for each block. With each go `seeds` candidates, whose k-th best
+    score is a first floor for the pruning; all candidates are searched in any case.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "q").where(F.col("vec_id").isNotNull() & F.col("q").isNotNull())
@@ -111,16 +151,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, levels: tuple[int
     n_bytes = asked.agg(F.sum(F.size("q") * 8 + 16)).first()[0] or 0
     blocks = max(1, -(-n_bytes // block_bytes))
     found = spark.createDataFrame([], OUT)
+    some = rows.limit(seeds).toArrow()
+    some = some["vec_id"].to_numpy(), [np.asarray(x, np.int64) for x in some["q"].to_pylist()]
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         own = part.toArrow()
         sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), [np.asarray(x, np.int64) for x in own["q"].to_pylist()]))
-        found = found.unionByName(rows.mapInArrow(_search(sent, b << 40, k, levels), OUT))
+        found = found.unionByName(rows.mapInArrow(_search(sent, some, b << 40, k, levels), OUT))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(sent, first_key: int, k: int, levels: tuple[int, ...]):
+def _search(sent, some, first_key: int, k: int, levels: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = sent.value
         lengths = np.array([len(x) for x in vectors], np.int64)
@@ -128,6 +170,10 @@ def _search(sent, first_key: int, k: int, levels: tuple[int, ...]):
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
             searchers[int(d)] = Searcher(first_key + at, ids[at], np.stack([vectors[i] for i in at]), k, levels)
+        for d, s in searchers.items():
+            at = [i for i, x in enumerate(some[1]) if len(x) == d]
+            if at:
+                s.seed(some[0][at], np.stack([some[1][i] for i in at]))
         for batch in batches:
             got, values = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("q")
             flat, size = values.flatten().to_numpy(zero_copy_only=False), np.diff(values.offsets.to_numpy())
