@@ -9,16 +9,19 @@ A reader finds a document by the index and decompresses its frame only.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from struct import pack
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -35,35 +38,64 @@ FRAME_BYTES = 1 << 18
 #: White space as Unicode and the tokenizers library define it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+#: The byte-level pre-tokenizer's own pattern.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_THEN_SIGNS = re.compile(r"( ?[^\W\d_]+)([,.;:!?]+)")
 
 
+def byte_symbols() -> dict[str, int]:
+    """The printable characters that byte-level vocabularies write bytes with: itself if printable, else the next free one."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class ByteBpe:
-    """The tokenizers library with a cache of words. A word with the space before it is always cut off from its
-    surroundings by a byte-level BPE's pattern, so its ids do not depend on them."""
+    """A byte-level BPE of the tokenizers library, with a cache of words.
+
+    A word with the space before it is always cut off from its surroundings by the byte-level pattern, so its ids do not
+    depend on them. New words are merged by tiktoken with the file's own vocabulary as ranks, where ids follow the order of
+    the merges and the pre-tokenizer is the plain byte-level one; other files are left to the tokenizers library.
+    """
 
     def __init__(self, file: str, cache_size: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            told = json.load(f)
+        model, pre = told["model"], told["pre_tokenizer"]
+        if told.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError("a byte-level BPE without normaliser and prefix space is asked for")
+        symbols, specials = byte_symbols(), {x["content"] for x in told["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in x): i for x, i in model["vocab"].items() if x not in specials}
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if merged == sorted(merged) and not model.get("ignore_merges") else None
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
 
+    def _words(self, texts: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return self._plain(texts)
+        code = self.fast.encode_ordinary
+        return [pack("<%dI" % len(ids), *ids) for ids in map(code, texts)]
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """Ids of chunks that the cache does not hold; a full cache starts anew."""
         missing, parts = list(dict.fromkeys(chunks)), {}
         for x in missing:
             m = WORD_THEN_SIGNS.fullmatch(x)
             parts[x] = (m[1], m[2]) if m else (x,)
-        new = [x for x in dict.fromkeys(y for p in parts.values() for y in p) if x not in self.cache]
-        coded = dict(zip(new, self._plain(new), strict=True))
+        new = list(dict.fromkeys(y for p in parts.values() for y in p if y not in self.cache))
+        coded = dict(zip(new, self._words(new), strict=True))
+        got = {x: b"".join([coded[y] if y in coded else self.cache[y] for y in p]) for x, p in parts.items()}
         if len(self.cache) + len(missing) + len(new) > self.cache_size:
-            coded |= {y: self.cache[y] for p in parts.values() for y in p if y in self.cache}
             self.cache = {}
-        self.cache |= coded
-        self.cache |= {x: b"".join([self.cache[y] for y in p]) for x, p in parts.items()}
+        self.cache |= {x: y for x, y in (coded | got).items() if len(x) < 64}
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -75,8 +107,8 @@ class ByteBpe:
             chunks = CHUNK.findall(text)
             got = list(map(self.cache.get, chunks))
             if None in got:
-                self._learn(c for c, x in zip(chunks, got, strict=True) if x is None)
-                got = list(map(self.cache.get, chunks))
+                learnt = self._learn(c for c, x in zip(chunks, got, strict=True) if x is None)
+                got = [learnt[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
             out.append(b"".join(got))
         return out
 
