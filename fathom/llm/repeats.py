@@ -279,7 +279,7 @@ def _results(kind: Kind, schema: pa.Schema):
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return schema.empty_table()
+            return pa.table([table["row"].combine_chunks(), *(pa.array([], f.type) for f in list(schema)[1:])], names=schema.names) if "row" in table.column_names else schema.empty_table()
         ids = table["doc_id"].to_pylist()
         spans: list[list[tuple[int, np.ndarray, int]]] = [[] for _ in ids]
         if told.num_rows:
@@ -314,6 +314,8 @@ def _results(kind: Kind, schema: pa.Schema):
                 np.add.at(steps, hit, 1)
                 np.add.at(steps, hit + kind.window, -1)
             out.append(kind.finish(u, np.cumsum(steps[:n]) > 0))
+        if "row" in table.column_names:
+            return pa.table([table["row"].combine_chunks(), *(pa.array([r[k] for r in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], names=schema.names)
         return pa.table([table["doc_id"].combine_chunks().cast(pa.int64()), *(pa.array([r[k] for r in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], schema=schema)
 
     return run
@@ -325,7 +327,8 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema, shard_bytes: int = 8 << 20) -> DataFrame:
-    """docs: doc_id, text (binary). The rows that finish() makes, for each row of docs.
+    """docs: doc_id, text (binary). The rows that finish() makes, for each row of docs. With a column row (a struct of other
+    columns), that comes first in the result instead of doc_id.
 
     shard_bytes bounds a shard; for corpora beyond 100 GB it grows with the root of their size, so that the packed rows
     (shards by buckets) stay few and full.
@@ -334,7 +337,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema,
     shard_bytes = int(shard_bytes * max(1.0, math.sqrt(total / 1e11)))
     shards = max(1, -(-total // shard_bytes))
     partitions, buckets = min(shards, 20_000), max(1, min(shards // 8, 20_000))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(shards)).alias("shard")).repartition(partitions, "shard")
+    dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(shards)).alias("shard")).repartition(partitions, "shard")
     offers = dealt.groupBy("shard").applyInArrow(_offers(kind, buckets), "bucket long, shard long, known boolean, keys binary")
     answers = offers.groupBy("bucket").applyInArrow(_answers, "shard long, keys binary")
     contents = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_contents(kind), "anchor long, shard long, content binary, least long, times long")

@@ -167,3 +167,24 @@ def digest(docs: DataFrame, window: int = 50) -> DataFrame:
     k = kind(window)
     k.finish = lambda u, gone: (*(x := finish(u, gone))[:3], hashlib.sha256(x[3]).hexdigest())
     return remove_repeats(_rows(docs), k, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", DIGEST)
+
+
+CUT = pa.schema([("row", pa.null()), ("changed", pa.bool_()), ("text", pa.string())])
+
+
+def cut_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The rows of docs, with all their columns, without the bytes that dedup() removes.
+
+    A row that loses its whole text goes. Where a text changed and there is a column n_chars, it is counted anew. Characters
+    of which a part was cut go as a whole. Null texts stay null; rows and nulls are otherwise treated as in dedup().
+    """
+    k = kind(window)
+    k.finish = lambda u, gone: (bool(gone.any()), np.frombuffer(u, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else None)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    kind_of_row = rows.schema["row"].dataType.simpleString()
+    found = remove_repeats(rows, k, f"row {kind_of_row}, changed boolean, text string", CUT)
+    text = F.when(F.col("changed"), F.col("text")).otherwise(F.col("row.text"))
+    columns = {"text": text, "n_chars": F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    left = found.where(~F.col("changed") | (F.col("text") != ""))
+    return left.select(*(columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
