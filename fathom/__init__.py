@@ -1,0 +1 @@
+"""Operators for archives, pitch series, search, vectors and keyed state on PySpark."""
