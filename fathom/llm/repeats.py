@@ -1,17 +1,18 @@
 """Routing of repeated windows: what substring and suffix-array dedup share.
 
-A window is a fixed number of symbols (words or bytes) in a row. Each window has an anchor: the least hash among its short
-grams. Equal windows have equal anchors, wherever they stand; neighbouring windows mostly share one, so a text falls into
-runs of windows with one anchor. The corpus is dealt to shards of bounded size by document; then
-
-1. each shard sends its distinct anchors, packed, to buckets by hash; a bucket tells each shard which of its anchors other
-   documents hold, too;
-2. each shard sends the runs of these anchors once for each distinct content, with the text that the windows span; all runs
-   of an anchor meet in one task, which judges their windows (the operators differ here);
-3. each shard takes the judgements back and applies them to its documents.
-
-The documents are shuffled once: the three steps read the same exchange. Copies are reduced to one row for each shard and
-content before anything is shuffled, so a passage in a third of all documents sends as many rows as there are shards.
+A window is a fixed number of symbols (words or bytes) in a row. The corpus is dealt to shards of bounded size by document.
+
+0. Texts are cut into chunks where the content says so. A chunk, with all of the windows that begin in it, is known by a
+   hash of 128 bits. Long repeats are settled here; of equal chunks only the first takes part in what follows.
+1. Each window has an anchor: the least hash among its short grams. Equal windows have equal anchors wherever they stand;
+   neighbours mostly share one, so a chunk falls into runs of windows with one anchor. Each shard sends its distinct anchors,
+   packed, to buckets by hash; a bucket tells each shard which of its anchors others hold, too.
+2. Each shard sends the runs of these anchors, once for each distinct content, with the text that their windows span. All
+   runs of an anchor meet in one task, which judges their windows (the operators differ here).
+3. Each shard takes the judgements back and applies them to its documents.
+
+The documents are shuffled once: all steps read the same exchange. Copies are reduced to one row for each shard and content
+before anything is shuffled, so a passage in a third of all documents sends at most as many rows as there are shards.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15 | 1
-SEGMENT = 1 << 19  # windows worked on at once
+SEGMENT = 1 << 18  # windows worked on at once
 ANCHOR_BYTES = 6
+SETTLED, HOLDER = 1, 2
 
 
 class Powers:
@@ -82,53 +84,75 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: document (place in the list), first window, number of windows; whether the anchor's
-    gram stands at several places in the run, so that the run may hold a window twice."""
+    """Runs of windows with one anchor in one chunk: document (place in the list), first window, number of windows, chunk
+    (place in the list of chunks); whether the anchor's gram stands at several places in the run, so that the run may hold a
+    window twice."""
 
     doc: np.ndarray
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
     doubled: np.ndarray
+    chunk: np.ndarray
 
 
-def runs_of(docs: list[np.ndarray], window: int, gram: int, want_doubled: bool = False) -> Runs:
-    """Runs of all windows of the documents' symbols (64-bit, spread evenly). Long documents are worked on in segments."""
-    out: list[tuple] = []
+@dataclass
+class Chunks:
+    """Document, first window and number of windows of each chunk."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+
+
+def cut_up(docs: list[np.ndarray], window: int, gram: int, chunk_bits: int, want_runs: bool = True, want_doubled: bool = False) -> tuple[Chunks, Runs | None]:
+    """Chunks and runs of all windows of the documents' symbols (64-bit, spread evenly). Long documents are worked on in
+    segments; a segment's begin is a cut, too, which does no harm."""
+    out_chunks: list[tuple] = []
+    out_runs: list[tuple] = []
     group: list[tuple[int, int, np.ndarray]] = []
-    size = 0
+    size = chunks_before = 0
+    mask = np.uint64((1 << chunk_bits) - 1)
 
     def flush() -> None:
-        nonlocal group, size
+        nonlocal group, size, chunks_before
         if not group:
             return
         symbols = np.concatenate([x[2] for x in group])
         lengths = np.array([len(x[2]) for x in group])
+        number, origin = np.array([x[0] for x in group]), np.array([x[1] for x in group])
         first = np.cumsum(lengths) - lengths
         h = mixed(PrefixHash(symbols).every(gram))
-        wide = window - gram + 1
-        least = sliding_min(h, wide)
-        piece = np.repeat(np.arange(len(group)), lengths)[: len(least)]
-        place = np.arange(len(least)) - first[piece]
+        n = len(symbols) - window + 1
+        piece = np.repeat(np.arange(len(group)), lengths)[:n]
+        place = np.arange(n) - first[piece]
         valid = place + window <= lengths[piece]
-        new = valid.copy()
-        new[1:] &= (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
-        heads = np.flatnonzero(new)
-        if len(heads):
-            total = np.cumsum(valid)
-            count = np.diff(np.r_[total[heads] - 1, total[-1]])
-            doubled = np.zeros(len(heads), bool)
+        total = np.cumsum(valid)
+        cut = valid & ((place == 0) | (h[:n] & mask == 0))
+
+        def stretches(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            heads = np.flatnonzero(new)
+            return heads, np.diff(np.r_[total[heads] - 1, total[-1]])
+
+        heads, count = stretches(cut)
+        out_chunks.append((number[piece[heads]], place[heads] + origin[piece[heads]], count))
+        if want_runs:
+            wide = window - gram + 1
+            least = sliding_min(h, wide)
+            new = cut.copy()
+            new[1:] |= valid[1:] & (least[1:] != least[:-1])
+            runs, count = stretches(new)
+            doubled = np.zeros(len(runs), bool)
             if want_doubled:  # the gram's places in the run: those of its windows' grams that equal the anchor
-                run = np.repeat(np.arange(len(heads)), count)
+                run = np.repeat(np.arange(len(runs)), count)
                 inside = np.flatnonzero(valid)
-                hits = np.bincount(run[h[inside] == least[inside]], minlength=len(heads)).astype(np.int64)
-                tail = heads + count
+                hits = np.bincount(run[h[inside] == least[inside]], minlength=len(runs)).astype(np.int64)
+                tail = runs + count
                 for k in range(wide - 1):
-                    at = np.minimum(tail + k, len(h) - 1)
-                    hits += h[at] == least[heads]
+                    hits += h[np.minimum(tail + k, len(h) - 1)] == least[runs]
                 doubled = hits > 1
-            which = piece[heads]
-            out.append((np.array([x[0] for x in group])[which], place[heads] + np.array([x[1] for x in group])[which], count, least[heads], doubled))
+            out_runs.append((number[piece[runs]], place[runs] + origin[piece[runs]], count, least[runs], doubled, np.searchsorted(heads, runs, "right") - 1 + chunks_before))
+        chunks_before += len(heads)
         group, size = [], 0
 
     for k, x in enumerate(docs):
@@ -138,14 +162,16 @@ def runs_of(docs: list[np.ndarray], window: int, gram: int, want_doubled: bool =
             if size >= SEGMENT:
                 flush()
     flush()
-    if not out:
-        return Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool)))
-    return Runs(*(np.concatenate(x) for x in zip(*out, strict=True)))
+    none = np.zeros(0, np.int64)
+    chunks = Chunks(*(np.concatenate(x) for x in zip(*out_chunks, strict=True))) if out_chunks else Chunks(none, none, none)
+    if not want_runs:
+        return chunks, None
+    return chunks, Runs(*(np.concatenate(x) for x in zip(*out_runs, strict=True))) if out_runs else Runs(none, none, none, none.astype(np.uint64), none.astype(bool), none)
 
 
 def key_of(anchor: np.ndarray) -> np.ndarray:
-    """The anchor without its last bits; enough to tell which runs must meet."""
-    return anchor >> np.uint64(64 - 8 * ANCHOR_BYTES)
+    """The anchor without its last bits; enough to tell which runs must meet. Never 0, which marks other rows."""
+    return anchor >> np.uint64(64 - 8 * ANCHOR_BYTES) | np.uint64(1)
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -162,13 +188,14 @@ def unpacked(raw: bytes) -> np.ndarray:
 class Kind:
     """What an operator does with the windows.
 
-    symbols: units and symbols of a text; span: the bytes of some units in a row; judge: contents of all runs of some
-    anchors, with the least document and the number of occurrences for each, to flags for each window of each; finish:
-    document ids, their units and their flagged windows' spans to the columns of the result.
+    units and symbols of a text; span: the bytes of some units in a row; judge: contents of all runs of some anchors, with
+    the least document and the number of occurrences for each, to flags for each window of each; finish: a document's units
+    and which of them go, to the columns of the result.
     """
 
     window: int
     gram: int
+    chunk_bits: int
     within: bool  # whether a repeat in the same document counts
     units: Callable[[bytes], object]
     symbols: Callable[[object], np.ndarray]
@@ -180,31 +207,113 @@ class Kind:
 LAST = 2**63 - 1  # stands for a null id
 
 
-def _shard(table: pa.Table, kind: Kind, doubled: bool = False) -> tuple[list, list, Runs]:
-    ids = table["doc_id"].to_pylist()
-    units = [kind.units(x or b"") for x in table["text"].to_pylist()]
-    return ids, units, runs_of([kind.symbols(u) for u in units], kind.window, kind.gram, doubled)
+class Shard:
+    """The documents of a shard, cut up; told: what buckets have said about its chunks (None in the first step)."""
+
+    def __init__(self, table: pa.Table, kind: Kind, told: pa.Table | None = None, runs: bool = True, doubled: bool = False):
+        self.shard = table["shard"][0].as_py()
+        self.ids = [LAST if x is None else x for x in table["doc_id"].to_pylist()]
+        self.units = [kind.units(x or b"") for x in table["text"].to_pylist()]
+        self.kind = kind
+        self.chunks, self.runs = cut_up([kind.symbols(u) for u in self.units], kind.window, kind.gram, kind.chunk_bits, runs, doubled)
+        c = self.chunks
+        self.known: dict[bytes, list[int]] = {}  # least document, times, first place
+        self.hashes = []
+        for k, (d, a, n) in enumerate(zip(c.doc.tolist(), c.start.tolist(), c.count.tolist(), strict=True)):
+            h = xxhash.xxh3_128_digest(kind.span(self.units[d], a, n + kind.window - 1))
+            self.hashes.append(h)
+            entry = self.known.setdefault(h, [self.ids[d], 0, k])
+            entry[0] = min(entry[0], self.ids[d])
+            entry[1] += 1
+        if told is not None:
+            self._settle({b: f for b, f in zip(told["anchor"].to_pylist(), told["flags"].to_pylist(), strict=True) if b < 0})
+
+    def by_bucket(self, buckets: int) -> dict[int, list[bytes]]:
+        out: dict[int, list[bytes]] = {}
+        for h in sorted(self.known):
+            out.setdefault(int.from_bytes(h[:4], "big") % buckets, []).append(h)
+        return out
+
+    def _settle(self, flags: dict[int, bytes]) -> None:
+        """settled: the chunk's windows all go; open: they take part in the steps that follow."""
+        buckets = int.from_bytes(flags[min(flags)][:4], "big") if flags else 1  # see _chunk_answers
+        said = {h: f for b, hs in self.by_bucket(buckets).items() for h, f in zip(hs, flags[-b - 1][4:], strict=True)}
+        c = self.chunks
+        self.settled, self.open = np.zeros(len(self.hashes), bool), np.ones(len(self.hashes), bool)
+        for k, (h, d) in enumerate(zip(self.hashes, c.doc.tolist(), strict=True)):
+            if self.kind.within:
+                self.settled[k] = bool(said[h] & SETTLED)
+                self.open[k] = not said[h] & SETTLED or (bool(said[h] & HOLDER) and self.known[h][2] == k)
+            else:
+                self.settled[k] = self.ids[d] > self.known[h][0] or bool(said[h] & SETTLED)
+                self.open[k] = not self.settled[k]
+        if self.runs is not None:
+            self.at = np.flatnonzero(self.open[self.runs.chunk]) if len(self.hashes) else np.zeros(0, np.int64)
+
+
+TOLD = "shard long, anchor long, content long, flags binary"
+
+
+def _chunk_offers(kind: Kind, buckets: int):
+    """Step 0: hashes of the shard's distinct chunks with their least document and whether they occur twice."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = Shard(table, kind, runs=False)
+        rows = []
+        for b, hs in shard.by_bucket(buckets).items():
+            entries = [shard.known[h] for h in hs]
+            rows.append((b, shard.shard, b"".join(hs), np.array([e[0] for e in entries], "<i8").tobytes(), bytes(min(e[1], 2) for e in entries)))
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), **{c: pa.array([r[k + 2] for r in rows], pa.binary()) for k, c in enumerate(("hashes", "least", "times"))}})
+
+    return run
+
+
+def _chunk_answers(kind: Kind, buckets: int):
+    """Step 0, in a bucket: for each chunk of each shard whether it is settled, and whether the shard holds the first one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shards, hashes = table["shard"].to_pylist(), table["hashes"].to_pylist()
+        sizes = np.array([len(x) // 16 for x in hashes])
+        words = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+        least, times = np.frombuffer(b"".join(table["least"].to_pylist()), "<i8"), np.frombuffer(b"".join(table["times"].to_pylist()), np.uint8).astype(np.int64)
+        owner = np.repeat(np.array(shards), sizes)
+        order = np.lexsort((owner, words[:, 1], words[:, 0]))
+        w = words[order]
+        heads = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]).any(axis=1)])
+        n = np.diff(np.r_[heads, len(w)])
+        flags = np.zeros(len(w), np.uint8)
+        if kind.within:
+            flags[order] = np.where(np.repeat(np.add.reduceat(times[order], heads), n) > 1, SETTLED, 0)
+            flags[order[heads]] |= HOLDER
+        else:
+            flags[order] = np.where(np.repeat(np.minimum.reduceat(least[order], heads), n) < least[order], SETTLED, 0)
+        parts = np.split(flags, np.cumsum(sizes)[:-1])
+        bucket = table["bucket"][0].as_py()
+        rows = len(shards)
+        return pa.table({"shard": pa.array(shards, pa.int64()), "anchor": pa.array([-bucket - 1] * rows, pa.int64()), "content": pa.array([0] * rows, pa.int64()), "flags": pa.array([buckets.to_bytes(4, "big") + x.tobytes() for x in parts], pa.binary())})
+
+    return run
 
 
 def _offers(kind: Kind, buckets: int):
     """Step 1: the shard's distinct anchors, packed by bucket; those that two of its own runs share come apart."""
 
-    def run(table: pa.Table) -> pa.Table:
-        _, _, runs = _shard(table, kind, kind.within)
-        keys = key_of(runs.anchor)
-        order = np.lexsort((runs.doc, keys))
-        keys, doc, twice = keys[order], runs.doc[order], runs.doubled[order]
-        same = keys[1:] == keys[:-1]
-        shared = keys[1:][same if kind.within else same & (doc[1:] != doc[:-1])]
-        shared = np.unique(np.r_[shared, keys[twice]] if kind.within else shared)
-        alone = np.setdiff1d(keys, shared, assume_unique=False)
-        shard = table["shard"][0].as_py()
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
-        for known, part in ((False, alone), (True, shared)):
-            at = (part % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            edges = np.searchsorted(at[order], np.arange(buckets + 1))
-            rows += [(b, shard, known, packed(part[order[edges[b] : edges[b + 1]]])) for b in range(buckets) if edges[b] < edges[b + 1]]
+        if table.num_rows:
+            s = Shard(table, kind, told, doubled=kind.within)
+            keys, docs, twice = key_of(s.runs.anchor[s.at]), s.runs.doc[s.at], s.runs.doubled[s.at]
+            order = np.lexsort((docs, keys))
+            keys, docs, twice = keys[order], docs[order], twice[order]
+            same = keys[1:] == keys[:-1]
+            shared = keys[1:][same if kind.within else same & (docs[1:] != docs[:-1])]
+            shared = np.unique(np.r_[shared, keys[twice]] if kind.within else shared)
+            alone = np.setdiff1d(keys, shared)
+            for known, part in ((False, alone), (True, shared)):
+                at = (part % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                edges = np.searchsorted(at[order], np.arange(buckets + 1))
+                rows += [(b, s.shard, known, packed(part[order[edges[b] : edges[b + 1]]])) for b in range(buckets) if edges[b] < edges[b + 1]]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), "known": pa.array([r[2] for r in rows], pa.bool_()), "keys": pa.array([r[3] for r in rows], pa.binary())})
 
     return run
@@ -213,40 +322,38 @@ def _offers(kind: Kind, buckets: int):
 def _answers(table: pa.Table) -> pa.Table:
     """Step 1, in a bucket: for each shard those of its anchors that another shard or two of its own runs have."""
     shards, known, keys = table["shard"].to_pylist(), table["known"].to_pylist(), [unpacked(x) for x in table["keys"].to_pylist()]
-    flat = np.concatenate(keys)
-    values, counts = np.unique(flat, return_counts=True)
+    values, counts = np.unique(np.concatenate(keys), return_counts=True)
     shared = np.union1d(values[counts > 1], np.concatenate([np.zeros(0, np.uint64), *(k for k, x in zip(keys, known, strict=True) if x)]))
     told = [(s, packed(got)) for s, k in zip(shards, keys, strict=True) if len(got := k[np.isin(k, shared, assume_unique=True)])]
-    return pa.table({"shard": pa.array([x[0] for x in told], pa.int64()), "keys": pa.array([x[1] for x in told], pa.binary())})
+    return pa.table({"shard": pa.array([x[0] for x in told], pa.int64()), "anchor": pa.array([0] * len(told), pa.int64()), "content": pa.array([0] * len(told), pa.int64()), "flags": pa.array([x[1] for x in told], pa.binary())})
 
 
 def _contents(kind: Kind):
     """Step 2: each distinct content of the runs of shared anchors, with its least document and its number."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        empty = pa.table({"anchor": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "content": pa.array([], pa.binary()), "least": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
-        if not table.num_rows or not told.num_rows:
-            return empty
-        ids, units, runs = _shard(table, kind)
-        shared = np.concatenate([unpacked(x) for x in told["keys"].to_pylist()])
-        keys = key_of(runs.anchor)
-        at = np.flatnonzero(np.isin(keys, shared))
         found: dict[tuple[int, bytes], list[int]] = {}
-        for key, d, a, n in zip(keys[at].tolist(), runs.doc[at].tolist(), runs.start[at].tolist(), runs.count[at].tolist(), strict=True):
-            least = LAST if ids[d] is None else ids[d]
-            entry = found.setdefault((key, kind.span(units[d], a, n + kind.window - 1)), [least, 0])
-            entry[0] = min(entry[0], least)
-            entry[1] += 1
+        shard = 0
+        if table.num_rows:
+            s = Shard(table, kind, told)
+            shard, r = s.shard, s.runs
+            shared = np.concatenate([np.zeros(0, np.uint64), *(unpacked(f) for a, f in zip(told["anchor"].to_pylist(), told["flags"].to_pylist(), strict=True) if a == 0)])
+            keys = key_of(r.anchor)
+            at = s.at[np.isin(keys[s.at], shared)]
+            for key, d, a, n in zip(keys[at].tolist(), r.doc[at].tolist(), r.start[at].tolist(), r.count[at].tolist(), strict=True):
+                entry = found.setdefault((key, kind.span(s.units[d], a, n + kind.window - 1)), [s.ids[d], 0])
+                entry[0] = min(entry[0], s.ids[d])
+                entry[1] += 1
         n = len(found)
         return pa.table({
-            "anchor": pa.array(np.fromiter((k[0] for k in found), np.int64, n)), "shard": pa.array(np.full(n, table["shard"][0].as_py())), "content": pa.array([k[1] for k in found], pa.binary()),
+            "anchor": pa.array(np.fromiter((k[0] for k in found), np.int64, n)), "shard": pa.array(np.full(n, shard, np.int64)), "content": pa.array([k[1] for k in found], pa.binary()),
             "least": pa.array(np.fromiter((v[0] for v in found.values()), np.int64, n)), "times": pa.array(np.fromiter((v[1] for v in found.values()), np.int64, n)),
         })
 
     return run
 
 
-def _judgements(kind: Kind, most_bytes: int = 4 << 20):
+def _judgements(kind: Kind, most_bytes: int = 1 << 20):
     """Step 2, where all contents of an anchor are: flags for the windows of each content, for the shard that sent it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,54 +386,46 @@ def _results(kind: Kind, schema: pa.Schema):
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([table["row"].combine_chunks(), *(pa.array([], f.type) for f in list(schema)[1:])], names=schema.names) if "row" in table.column_names else schema.empty_table()
-        ids = table["doc_id"].to_pylist()
-        spans: list[list[tuple[int, np.ndarray, int]]] = [[] for _ in ids]
-        if told.num_rows:
-            _, units, runs = _shard(table, kind)
-            flags = {(a, c): f for a, c, f in zip(told["anchor"].to_pylist(), told["content"].to_pylist(), told["flags"].to_pylist(), strict=True)}
-            keys = key_of(runs.anchor)
-            if kind.within:
-                at = np.flatnonzero(np.isin(keys, told["anchor"].to_numpy().astype(np.uint64)))
-            else:  # runs with contents that a smaller document of the shard has, too, are flagged as a whole
-                at = np.flatnonzero(np.isin(keys, told["anchor"].to_numpy().astype(np.uint64)) | _repeated(keys))
-            rows = [(kind.span(units[d], a, n + kind.window - 1), key, d, a, n) for key, d, a, n in zip(keys[at].tolist(), runs.doc[at].tolist(), runs.start[at].tolist(), runs.count[at].tolist(), strict=True)]
-            first: dict[tuple[int, bytes], int] = {}
-            if not kind.within:
-                for content, key, d, _, _ in rows:
-                    i = LAST if ids[d] is None else ids[d]
-                    first[key, content] = min(first.get((key, content), LAST), i)
-            for content, key, d, a, n in rows:
-                if not kind.within and first[key, content] < (LAST if ids[d] is None else ids[d]):
-                    spans[d].append((a, np.ones(n, bool), n))
-                elif (f := flags.get((key, xxhash.xxh64_intdigest(content) - 2**63))) is not None:
-                    spans[d].append((a, np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool), n))
-        else:
-            units = [kind.units(x or b"") for x in table["text"].to_pylist()]
-            if not kind.within:
-                return run(table, pa.table({"anchor": pa.array([0], pa.int64()), "content": pa.array([0], pa.int64()), "flags": pa.array([b""], pa.binary())}))
+            return pa.table([table[0].combine_chunks(), *(pa.array([], f.type) for f in list(schema)[1:])], names=schema.names)
+        s = Shard(table, kind, told)
+        flags = {(a, c): f for a, c, f in zip(told["anchor"].to_pylist(), told["content"].to_pylist(), told["flags"].to_pylist(), strict=True) if a > 0}
+        r, keys = s.runs, key_of(s.runs.anchor)
+        judged = np.isin(keys[s.at], np.array(sorted({a for a, _ in flags}), np.uint64))
+        at = s.at[judged if kind.within else judged | _repeated(keys[s.at])]
+        rows = [(kind.span(s.units[d], a, n + kind.window - 1), key, d, a, n) for key, d, a, n in zip(keys[at].tolist(), r.doc[at].tolist(), r.start[at].tolist(), r.count[at].tolist(), strict=True)]
+        least: dict[tuple[int, bytes], int] = {}
+        for content, key, d, _, _ in rows:
+            least[key, content] = min(least.get((key, content), LAST), s.ids[d])
+        hits: list[list[np.ndarray]] = [[] for _ in s.ids]
+        c = s.chunks
+        for k in np.flatnonzero(s.settled).tolist():
+            hits[c.doc[k]].append(np.arange(c.start[k], c.start[k] + c.count[k]))
+        for content, key, d, a, n in rows:
+            if not kind.within and least[key, content] < s.ids[d]:  # a smaller document of the shard has the content
+                hits[d].append(np.arange(a, a + n))
+            elif (f := flags.get((key, xxhash.xxh64_intdigest(content) - 2**63))) is not None:
+                hits[d].append(np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8), count=n)) + a)
         out = []
-        for u, parts in zip(units, spans, strict=True):
+        for u, parts in zip(s.units, hits, strict=True):
             n = len(u)
-            steps = np.zeros(n + 1, np.int64)
-            for a, f, size in parts:
-                hit = np.flatnonzero(f) + a
-                np.add.at(steps, hit, 1)
-                np.add.at(steps, hit + kind.window, -1)
+            if not parts:
+                out.append(kind.finish(u, np.zeros(n, bool)))
+                continue
+            windows = np.concatenate(parts)
+            steps = np.bincount(windows, minlength=n + 1)[: n + 1] - np.bincount(windows + kind.window, minlength=n + 1)[: n + 1]
             out.append(kind.finish(u, np.cumsum(steps[:n]) > 0))
-        if "row" in table.column_names:
-            return pa.table([table["row"].combine_chunks(), *(pa.array([r[k] for r in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], names=schema.names)
-        return pa.table([table["doc_id"].combine_chunks().cast(pa.int64()), *(pa.array([r[k] for r in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], schema=schema)
+        head = table["row"].combine_chunks() if "row" in table.column_names else table["doc_id"].combine_chunks().cast(pa.int64())
+        return pa.table([head, *(pa.array([x[k] for x in out], f.type) for k, f in enumerate(list(schema)[1:]))], names=schema.names)
 
     return run
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return counts[inverse] > 1
+    return counts[inverse] > 1 if len(keys) else np.zeros(0, bool)
 
 
-def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema, shard_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema, shard_bytes: int = 4 << 20) -> DataFrame:
     """docs: doc_id, text (binary). The rows that finish() makes, for each row of docs. With a column row (a struct of other
     columns), that comes first in the result instead of doc_id.
 
@@ -338,8 +437,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema,
     shards = max(1, -(-total // shard_bytes))
     partitions, buckets = min(shards, 20_000), max(1, min(shards // 8, 20_000))
     dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(shards)).alias("shard")).repartition(partitions, "shard")
-    offers = dealt.groupBy("shard").applyInArrow(_offers(kind, buckets), "bucket long, shard long, known boolean, keys binary")
-    answers = offers.groupBy("bucket").applyInArrow(_answers, "shard long, keys binary")
-    contents = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_contents(kind), "anchor long, shard long, content binary, least long, times long")
-    judged = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judgements(kind), "shard long, anchor long, content long, flags binary")
-    return dealt.groupBy("shard").cogroup(judged.groupBy("shard")).applyInArrow(_results(kind, schema), columns)
+    chunks = dealt.groupBy("shard").applyInArrow(_chunk_offers(kind, buckets), "bucket long, shard long, hashes binary, least binary, times binary")
+    settled = chunks.groupBy("bucket").applyInArrow(_chunk_answers(kind, buckets), TOLD)
+    with_told = lambda told, f, columns: dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(f, columns)
+    offers = with_told(settled, _offers(kind, buckets), "bucket long, shard long, known boolean, keys binary")
+    answers = offers.groupBy("bucket").applyInArrow(_answers, TOLD)
+    contents = with_told(settled.unionByName(answers), _contents(kind), "anchor long, shard long, content binary, least long, times long")
+    judged = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judgements(kind), TOLD)
+    return with_told(settled.unionByName(judged), _results(kind, schema), columns)

@@ -118,8 +118,8 @@ def finish(words: list[bytes], gone: np.ndarray) -> tuple:
     return len(words), hit, b" ".join(kept).decode("utf-8", "replace")
 
 
-def kind(window: int, gram: int = 6) -> Kind:
-    return Kind(window, gram, True, lambda x: x.split(), word_symbols, lambda u, a, n: b" ".join(u[a : a + n]), judge(window), finish)
+def kind(window: int, gram: int = 10) -> Kind:
+    return Kind(window, gram, 5, True, lambda x: x.split(), word_symbols, lambda u, a, n: b" ".join(u[a : a + n]), judge(window), finish)
 
 
 def dedup(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .repeats import LAST, Kind, Powers, PrefixHash, mixed, remove_repeats
 
 BYTE_SYMBOLS = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+_POWERS: dict[int, Powers] = {}
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
@@ -112,7 +113,7 @@ def equal_sets(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     number = np.full(len(text), -1, np.int64)
     number[starts] = np.arange(len(starts))
     for base in BASES:
-        suffixes = Suffixes(text, window, Powers(base | 1))
+        suffixes = Suffixes(text, window, _POWERS.setdefault(base, Powers(base | 1)))
         order = suffixes.sort(starts)
         same = suffixes.same_as_before(order)
         if same is not None:
@@ -141,8 +142,8 @@ def finish(text: bytes, gone: np.ndarray) -> tuple:
     return len(text), hit, spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def kind(window: int, gram: int = 12) -> Kind:
-    return Kind(window, gram, False, bytes, lambda x: BYTE_SYMBOLS[np.frombuffer(x, np.uint8)], lambda u, a, n: u[a : a + n], judge(window), finish)
+def kind(window: int, gram: int = 22) -> Kind:
+    return Kind(window, gram, 7, False, bytes, lambda x: BYTE_SYMBOLS[np.frombuffer(x, np.uint8)], lambda u, a, n: u[a : a + n], judge(window), finish)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
