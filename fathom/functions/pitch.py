@@ -56,10 +56,11 @@ def snap(cents: Column, degrees: Column, tolerance: float = 50.0) -> Column:
 
 
 def accuracy(hz: Column, target: Column) -> Column:
-    """struct(cents, score 0-100, in_tune within 15 cents); null where either is not positive."""
-    cents = F.log2(hz / target) * 1200.0
-    return F.when((hz > 0) & (target > 0), F.struct(cents.alias("cents"), F.greatest(F.lit(0.0), 100.0 - F.abs(cents)).alias("score"), (F.abs(cents) <= 15).alias("in_tune")))
+    """struct(cents to a tenth, score 0-100, in_tune within 15 cents); a pitch that is not positive counts as on target."""
+    cents = F.when((hz > 0) & (target > 0), F.log2(hz / target) * 1200.0).otherwise(0.0)
+    half_up = lambda x: F.floor(x + 0.5)
+    return F.struct((half_up(cents * 10) / 10).alias("cents"), half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.abs(cents)))).alias("score"), (F.abs(cents) <= 15).alias("in_tune"))
 
 
 def tempo_word(bpm: Column) -> Column:
-    return F.when(bpm < 80, "slow").when(bpm < 120, "moderate").otherwise("fast")
+    return F.when(bpm < 80, "slow").when(bpm <= 120, "moderate").otherwise("lively")

@@ -72,9 +72,9 @@ def split_of(key: Column, train_percent: int = 80) -> Column:
 
 
 def file_extension(url: Column) -> Column:
-    """Lower-cased extension of the last path segment of a url; null without one."""
-    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*", "")
-    return F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))
+    """Lower-cased extension, with its dot, of the last segment of a url's path; empty without one. The query is ignored."""
+    last = F.regexp_extract(F.substring_index(url, "?", 1), r"([^/]*)$", 1)
+    return F.lower(F.regexp_extract(last, r"[^.].*?(\.[^.]*)$", 1))
 
 
 def safe_name(text: Column) -> Column:
@@ -82,13 +82,25 @@ def safe_name(text: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """m:ss"""
-    s = F.floor(F.greatest(seconds, F.lit(0)))
-    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    """m:ss or h:mm:ss; 0:00 for what is negative or not finite."""
+    s = F.floor(F.when((seconds >= 0) & (seconds < float("inf")), seconds).otherwise(0))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    return F.when(h > 0, F.concat_ws(":", h.cast("string"), two(m), two(s % 60))).otherwise(F.concat_ws(":", m.cast("string"), two(s % 60)))
 
 
 def file_size(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
+    """A count of bytes as B, KB, MB or GB, to a tenth; 0 B for what is negative."""
+    n = F.when(n >= 0, n).otherwise(0)
+    tenth = lambda x: F.regexp_replace((F.floor(x * 10 + 0.5) / 10).cast("decimal(20,1)").cast("string"), r"\.0$", "")
+    k = F.lit(1024.0)
+    return F.when(n < k, F.concat(n.cast("string"), F.lit(" B"))).when(n < k * k, F.concat(tenth(n / k), F.lit(" KB"))).when(n < k * k * k, F.concat(tenth(n / k / k), F.lit(" MB"))).otherwise(F.concat(tenth(n / k / k / k), F.lit(" GB")))
+
+
+def quality_score(snr: Column, peak: Column) -> Column:
+    """0-100 from a signal-to-noise ratio of up to 40 dB; ten less where the peak clips; 0 where it was not measured."""
+    base = F.greatest(F.lit(0.0), F.least(F.lit(100.0), snr / 40.0 * 100.0)) - F.when(peak >= -0.1, 10.0).otherwise(0.0)
+    return F.when(snr.isNull() | F.isnan(snr), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), base), 1))
 
 
 def segment_confidence(logprob: Column) -> Column:
@@ -97,3 +109,29 @@ def segment_confidence(logprob: Column) -> Column:
 
 def looks_hallucinated(no_speech: Column, compression: Column, logprob: Column) -> Column:
     return (F.coalesce(no_speech, F.lit(0.0)) > 0.6) | (F.coalesce(compression, F.lit(1.0)) > 2.4) | (F.coalesce(logprob, F.lit(0.0)) < -1.0)
+
+
+def word_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Edits between the words of two texts, by the number of reference words; null without reference words.
+
+    Words become single characters, so that the built-in distance of characters counts words.
+    """
+    a, b = (F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda t: t != "") for x in (reference, hypothesis))
+    known = F.array_distinct(F.concat(a, b))
+    char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x3400), 4, "0")), "UTF-16BE")
+    line = lambda words: F.array_join(F.transform(words, char), "")
+    return F.when(F.size(a) > 0, F.levenshtein(line(a), line(b)) / F.size(a))
+
+
+def caption(genre: Column, bpm: Column, tonic: Column, year: Column, style: str = "traditional song") -> Column:
+    """A description of a clip, from what is known of it."""
+    word = F.when(bpm < 80, "slow").when(bpm <= 120, "moderate").otherwise("lively")
+    first = F.when(F.coalesce(genre, F.lit("")) != "", F.concat_ws(", ", genre, F.lit(style))).otherwise(style)
+    era = F.when(F.coalesce(year.cast("string"), F.lit("")) != "", decade(year)).otherwise("vintage")
+    return F.concat_ws(", ", first, F.concat(word, F.lit(" at "), F.bround(bpm).cast("long").cast("string"), F.lit(" BPM")), F.concat(F.lit("pentatonic melody rooted on "), tonic), F.concat(era, F.lit(" archival recording")))
+
+
+def tonic_in_caption(text: Column, names: list[str]) -> Column:
+    """The pitch class that a caption names, from 0; null without one."""
+    found = F.array_position(F.array(*map(F.lit, names)), F.trim(F.regexp_extract(text, "rooted on ([^,]*)", 1)))
+    return F.when(found > 0, (found - 1).cast("int"))

@@ -112,18 +112,41 @@ def template(mode: tuple[int, ...]) -> list[float]:
     return [3.0 if k == 0 else 1.5 if k == 7 and 7 in mode else 1.0 if k in mode else 0.0 for k in range(12)]
 
 
-def tonic(hist: DataFrame, key: str = "track") -> DataFrame:
+PENTATONIC = [template(m) for m in MODES]
+#: The Krumhansl and Kessler profiles of major and minor keys.
+KEYS = [
+    [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88],
+    [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17],
+]
+
+
+def tonic(hist: DataFrame, key: str = "track", templates: list[list[float]] = PENTATONIC) -> DataFrame:
     """hist: key, pc, weight. Tonic and mode whose template correlates best; the first tonic, then mode, of equal ones.
 
-    Twelve bins meet sixty fixed templates by an explode: 720 rows for each key, none for each frame.
+    Twelve bins meet the fixed templates by an explode: a row for each bin, tonic and template of a key, none for each frame.
     """
-    whole = hist.groupBy(key).agg(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.aggregate(F.filter(F.collect_list(F.struct("pc", "weight")), lambda s: s["pc"] == k), F.lit(0.0), lambda a, s: a + s["weight"])).alias("h"))
-    fixed = F.array(*(F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("mode"), F.array(*map(F.lit, template(x))).alias("w")) for t in range(12) for m, x in enumerate(MODES)))
+    bins = F.array(*(F.sum(F.when(F.col("pc") == k, F.col("weight")).otherwise(0.0)) for k in range(12)))
+    whole = hist.groupBy(key).agg(bins.alias("h"))
+    fixed = F.array(*(F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("mode"), F.array(*map(F.lit, x)).alias("w")) for t in range(12) for m, x in enumerate(templates)))
     rows = whole.select(key, "h", F.explode(fixed).alias("f")).select(key, "f.tonic", "f.mode", F.posexplode("f.w").alias("k", "w"), "h")
     r = rows.groupBy(key, "tonic", "mode").agg(F.corr(F.col("h")[F.pmod(F.col("k") + F.col("tonic"), F.lit(12)).cast("int")], F.col("w")).alias("r"))
     return r.where(F.col("r").isNotNull() & ~F.isnan("r")).groupBy(key).agg(F.max_by(F.struct("tonic", "mode", F.col("r").alias("score")), F.struct(F.round("r", 9), -F.col("tonic"), -F.col("mode"))).alias("b")).select(key, "b.*")
 
 
+def beat_position(times: DataFrame, beats: DataFrame, key: str, id: str) -> DataFrame:
+    """times: key, id, t; beats: key, b (at least two for a key). Fractional beat of each time: linear between beats, and on
+    past the first and last with the step at that edge. Both are sorted together once by key; there is no range join."""
+    w = Window.partitionBy(key).orderBy("b")
+    steps = beats.select(key, "b", (F.row_number().over(w) - 1).alias("i"), (F.lead("b").over(w) - F.col("b")).alias("step"), (F.col("b") - F.lag("b").over(w)).alias("back"))
+    steps = steps.withColumn("step", F.coalesce("step", "back"))
+    edge = steps.where("i = 0").select(key, F.struct("b", F.lit(0).alias("i"), "step").alias("edge"))
+    mark = F.struct("b", "i", "step")
+    both = steps.select(key, F.col("b").alias("t"), F.lit(0).alias("kind"), mark.alias("m"), F.lit(None).cast(times.schema[id].dataType).alias(id)).unionByName(times.select(key, "t", F.lit(1).alias("kind"), F.lit(None).cast("struct<b:double,i:int,step:double>").alias("m"), id))
+    last = F.last("m", True).over(Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("m", last).where("kind = 1").join(edge, key).withColumn("m", F.coalesce("m", "edge"))
+    return found.select(key, id, (F.col("m.i") + (F.col("t") - F.col("m.b")) / F.col("m.step")).alias("beat"))
+
+
 def tuning_offset(df: DataFrame, cents: Column, weight: Column, key: str = "track") -> DataFrame:
     """Circular mean of the deviation from twelve equal steps, in [-50, 50)."""
     a = F.radians(F.pmod(cents, F.lit(100.0)) * 3.6)

@@ -30,12 +30,17 @@ def supported(value: Column, n: Column, least: int) -> Column:
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """One row: n_a, n_b, u (of a, ties by average rank), z (normal approximation with tie and continuity correction).
 
-    Ranks come from the counts of distinct values: one window over values, not over rows.
+    Ranks come from the counts of distinct values. These are dealt to ranges; a window runs within a range, and one over
+    the few ranges' totals, so that no task walks through all values.
     """
-    by = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    t = F.col("na") + F.col("nb")
-    below = F.coalesce(F.sum(t).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("t", t).withColumn("rank", below + (F.col("t") + 1) / 2.0)
+    both = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
+    cuts = sorted(set(both.approxQuantile(value, [k / 64 for k in range(1, 64)], 0.01)))
+    part = F.aggregate(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), F.lit(0), lambda n, c: n + (F.col(value) > c).cast("int"))
+    by = both.groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")).withColumn("part", part).withColumn("t", F.col("na") + F.col("nb"))
+    totals = by.groupBy("part").agg(F.sum("t").alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    below = F.coalesce(F.sum("t").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by.withColumn("below", below).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("below") + (F.col("t") + 1) / 2.0)  # 64 rows at most
     s = ranked.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("rank") * F.col("na")).alias("r"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n_a") + F.col("n_b")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2.0
@@ -71,10 +76,10 @@ def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return s.select("label", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def upper_median(value: Column) -> Column:
-    """The upper of the two middle values, as an aggregate."""
-    s = F.array_sort(F.collect_list(value))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(df: DataFrame, value: str) -> DataFrame:
+    """One row: the upper of the two middle values. A sort finds it; no task holds all values."""
+    n = df.where(F.col(value).isNotNull()).count()
+    return df.where(F.col(value).isNotNull()).select(value).orderBy(value).offset(n // 2).limit(1)
 
 
 def modal_share(df: DataFrame, key: str, value: str) -> DataFrame:

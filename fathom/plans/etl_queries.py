@@ -75,7 +75,8 @@ def W9_ranked_split(spark, sf):
     """Two boundaries instead of a rank for each row: the rows at 80 and 90 % of the hash order are found by a top-n."""
     p = table(spark, sf, "part").select("p_partkey", F.struct(F.sha1(F.col("p_partkey").cast("string")).alias("h"), "p_partkey").alias("o"))
     n = p.count()
-    cuts = p.agg(*(F.sort_array(F.collect_list("o"))[int(round(n * q))].alias(c) for q, c in ((0.8, "a"), (0.9, "b")))) if n < 100_000 else p.orderBy("o").offset(int(round(n * 0.8))).limit(1).select(F.col("o").alias("a")).join(p.orderBy("o").offset(int(round(n * 0.9))).limit(1).select(F.col("o").alias("b")))
+    row = lambda q, c: p.orderBy("o").offset(int(round(n * q))).limit(1).select(F.col("o").alias(c))
+    cuts = row(0.8, "a").join(F.broadcast(row(0.9, "b")))
     return p.join(F.broadcast(cuts)).select("p_partkey", F.when(F.col("o") < F.col("a"), "train").when(F.col("o") < F.col("b"), "val").otherwise("test").alias("split"))  # one row is sent
 
 
@@ -129,15 +130,16 @@ def W18_delay_pattern(spark, sf):
     return e.select("user_id", "ts", "event_id", shifted.alias("shifted"))
 
 
-@query(r"""SELECT page_id, nullif(lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*', ''), '\.([A-Za-z0-9]+)$', 1)), '') AS ext, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe FROM pages""")
+@query(r"""SELECT page_id, lower(regexp_extract(regexp_extract(string_split(url, '?')[1], '([^/]*)$', 1), '[^.].*?(\.[^.]*)$', 1)) AS ext, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe FROM pages""")
 def F_S11_url_scalars(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.file_extension(F.col("url")).alias("ext"), text.safe_name(F.col("url")).alias("safe"))
 
 
-@query("""SELECT o_orderkey, CAST(floor(greatest(o_totalprice / 100, 0) / 60) AS BIGINT)::VARCHAR || ':' || lpad(CAST(CAST(floor(o_totalprice / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock, substr(CAST(year(o_orderdate) AS VARCHAR), 1, 3) || '0s' AS decade, CASE WHEN year(o_orderdate) < 1995 THEN 'early' ELSE 'late' END AS era FROM orders""")
-def F_S13_F_D4_formats(spark, sf):
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate, CAST(floor(o_totalprice / 10) AS BIGINT) AS s FROM orders)
+SELECT o_orderkey, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock, substr(CAST(year(o_orderdate) AS VARCHAR), 1, 3) || '0s' AS decade, CASE WHEN year(o_orderdate) < 1995 THEN 'early' ELSE 'late' END AS era FROM o""")
+def F_S13_F_D4_F_D5_formats(spark, sf):
     y = F.year("o_orderdate")
-    return table(spark, sf, "orders").select("o_orderkey", text.clock(F.col("o_totalprice") / 100).alias("clock"), text.decade(y).alias("decade"), F.when(y < 1995, "early").otherwise("late").alias("era"))
+    return table(spark, sf, "orders").select("o_orderkey", text.clock(F.col("o_totalprice") / 10).alias("clock"), text.decade(y).alias("decade"), F.when(y < 1995, "early").otherwise("late").alias("era"))
 
 
 @query("SELECT o_orderkey, o_orderdate + INTERVAL 15 DAY AS expires, CAST(date_trunc('day', o_orderdate) AS DATE) AS day FROM orders")
@@ -151,11 +153,21 @@ def O5_most_common(spark, sf):
     return archive.top_per_key(c, "user_id", [F.desc("n"), F.col("event_type")], 2).select("user_id", "event_type", "n")
 
 
-@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE doc_id < 100), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i FROM pages WHERE page_id < 100) SELECT doc_id, page_id FROM a LEFT JOIN b USING (i)""")
-def J1_J24_by_position(spark, sf):
-    """Rows that meet by their place in a stated order (here within one hundred rows)."""
-    place = lambda d, k: d.where(F.col(k) < 100).select(k, F.row_number().over(Window.orderBy(k)).alias("i"))
-    return place(table(spark, sf, "documents"), "doc_id").join(place(table(spark, sf, "pages"), "page_id"), "i", "left").select("doc_id", "page_id")
+@query("SELECT doc_id, url FROM documents LEFT JOIN pages ON doc_id = page_id")
+def J1_by_ordinal(spark, sf):
+    """The ordinal was given at ingest and is a column; it is never made up by a window over all rows."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return table(spark, sf, "documents").select("doc_id").join(p, "doc_id", "left")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)
+SELECT a.user_id, CAST(a.i AS INT) AS i, a.event_id AS click, b.event_id AS view FROM e a JOIN e b ON a.user_id = b.user_id AND a.i = b.i WHERE a.event_type = 'click' AND b.event_type = 'view'""")
+def J24_by_position(spark, sf):
+    """Each user's n-th click beside the n-th view."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").where("event_type in ('click', 'view')").withColumn("i", F.row_number().over(w))
+    side = lambda t: e.where(F.col("event_type") == t).select("user_id", "i", F.col("event_id").alias(t))
+    return side("click").join(side("view"), ["user_id", "i"])
 
 
 @query("""SELECT d.doc_id, coalesce(CASE WHEN trim(p.url) <> '' THEN p.url END, d.source) AS title, CASE WHEN p.page_id IS NOT NULL THEN 'catalog' ELSE 'filename' END AS source FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id""")
@@ -216,13 +228,14 @@ def A24_A48_split_summary(spark, sf):
     return p.groupBy("split").agg(F.count(F.lit(1)).alias("clips"), F.sum("p_size").alias("seconds"))
 
 
-@query("SELECT count(*) AS n, median(l_quantity) AS med, CAST(round(1000 * avg(l_quantity) FILTER (i <= 12)) AS BIGINT) AS head, CAST(round(1000 * avg(l_quantity) FILTER (i > n - 10)) AS BIGINT) AS tail FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER () AS n FROM lineitem WHERE l_orderkey < 500) WHERE i > 2")
+@query("""SELECT l_suppkey, count(*) AS n, median(l_quantity) AS med, CAST(round(1000 * avg(l_quantity) FILTER (i <= 12)) AS BIGINT) AS head, CAST(round(1000 * avg(l_quantity) FILTER (i > n - 10)) AS BIGINT) AS tail
+FROM (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) WHERE i > 2 GROUP BY l_suppkey""")
 def A50_A55_warm_up_summary(spark, sf):
-    """A training log is one short ordered series; the first two steps are left out."""
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500")
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    x = li.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where("i > 2")
-    return x.agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("med"), F.round(1000 * F.avg(F.when(F.col("i") <= 12, F.col("l_quantity")))).cast("long").alias("head"), F.round(1000 * F.avg(F.when(F.col("i") > F.col("n") - 10, F.col("l_quantity")))).cast("long").alias("tail"))
+    """Each supplier's lines stand for a training log; the first two steps are left out."""
+    w = Window.partitionBy("l_suppkey")
+    x = table(spark, sf, "lineitem").withColumn("i", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))).withColumn("n", F.count(F.lit(1)).over(w)).where("i > 2")
+    mean = lambda c: F.round(1000 * F.avg(F.when(c, F.col("l_quantity")))).cast("long")
+    return x.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("med"), mean(F.col("i") <= 12).alias("head"), mean(F.col("i") > F.col("n") - 10).alias("tail"))
 
 
 @query("SELECT count(*) AS n, min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last, CAST(round(quantile_cont(o_totalprice, 0.1)) AS BIGINT) AS p10, CAST(round(quantile_cont(o_totalprice, 0.9)) AS BIGINT) AS p90, count(*) FILTER (o_totalprice < 15000) AS below FROM orders")
@@ -254,20 +267,20 @@ def J14_J17_semi_then_lookup(spark, sf):
     return out.withColumnRenamed("doc_id", "p_partkey")
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 3 AS b FROM documents WHERE doc_id % 4 <> 0 AND doc_id < 60), n AS (SELECT a AS x FROM e UNION SELECT b FROM e), p AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 3 AS b FROM documents WHERE doc_id % 4 <> 0), n AS (SELECT a AS x FROM e UNION SELECT b FROM e), p AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT x, x AS y FROM n UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x) SELECT x AS node, min(y) AS root FROM r GROUP BY x""")
 def J23_tied_groups(spark, sf):
     """Ties chain short groups of glyphs; labels spread along them until nothing changes."""
     from fathom.operators.graph import closure
 
-    d = table(spark, sf, "documents").where("doc_id % 4 <> 0 and doc_id < 60")
+    d = table(spark, sf, "documents").where("doc_id % 4 <> 0")
     return closure(d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 3).alias("b")))
 
 
-@query("""WITH c(page_id, url) AS (SELECT page_id, url FROM pages), d AS (SELECT doc_id, source FROM documents WHERE doc_id < 300) SELECT d.doc_id, CASE WHEN c.page_id IS NOT NULL THEN c.url WHEN l.doc_id IS NOT NULL THEN 'label' || l.quality END AS meta
+@query("""WITH c(page_id, url) AS (SELECT page_id, url FROM pages), d AS (SELECT doc_id, source FROM documents) SELECT d.doc_id, CASE WHEN c.page_id IS NOT NULL THEN c.url WHEN l.doc_id IS NOT NULL THEN 'label' || l.quality END AS meta
 FROM d LEFT JOIN c ON c.page_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def J25_priority_of_matches(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 300").select("doc_id")
+    d = table(spark, sf, "documents").select("doc_id")
     c = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url", F.lit(True).alias("c"))
     lab = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("l"))
     return d.join(c, "doc_id", "left").join(lab, "doc_id", "left").select("doc_id", F.when(F.col("c"), F.col("url")).when(F.col("l"), F.concat(F.lit("label"), F.col("quality").cast("string"))).alias("meta"))
@@ -320,10 +333,10 @@ def W11_first_difference(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", (s - F.lag(s).over(w)).alias("gap"))
 
 
-@query(r"""WITH p AS (SELECT p_partkey, 'track_' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '_Side_b_Track_' || p_size || '_x.mp3' AS f, 'Side A. Track ' || p_size || ': Song, 19' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS t FROM part WHERE p_partkey < 3000)
-SELECT p_partkey, CASE WHEN p_partkey < 10000 THEN 'track_' || regexp_extract(f, '^track_(\d{4})_', 1) END AS track_id, 'B' AS side, p_size AS position, 'Song, 19' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS song, 1900 + p_size % 100 AS year FROM p JOIN part USING (p_partkey)""")
+@query(r"""WITH p AS (SELECT p_partkey, 'track_' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '_Side_b_Track_' || p_size || '_x.mp3' AS f, 'Side A. Track ' || p_size || ': Song, 19' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS t FROM part)
+SELECT p_partkey, 'track_' || regexp_extract(f, '^track_(\d{4})_', 1) AS track_id, 'B' AS side, p_size AS position, 'Song, 19' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS song, 1900 + p_size % 100 AS year FROM p JOIN part USING (p_partkey)""")
 def F_S1_F_S2_F_S3_names(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 3000")
+    p = table(spark, sf, "part")
     size, two = F.col("p_size").cast("string"), F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")
     f = F.concat(F.lit("track_"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.lit("_Side_b_Track_"), size, F.lit("_x.mp3"))
     t = F.concat(F.lit("Side A. Track "), size, F.lit(": Song, 19"), two)

@@ -215,11 +215,11 @@ def J20_active_at(spark, sf):
 
 
 @query(f"""WITH {FRAMES} SELECT ord, CAST(round(CASE WHEN hz > 0 THEN (69 + 12 * log2(hz / 440)) * 100 END * 1000) AS BIGINT) AS cents, CAST(round({FOLD.format(hz="hz", ref="440.0")} * 1000) AS BIGINT) AS folded,
- CAST(round(greatest(0, 100 - abs(1200 * log2(hz / 440))) * 1000) AS BIGINT) AS score, abs(1200 * log2(hz / 440)) <= 15 AS in_tune FROM frames WHERE hz > 0""")
+ CAST(floor(greatest(0, 100 - abs(1200 * log2(hz / 440))) + 0.5) AS BIGINT) AS score, abs(1200 * log2(hz / 440)) <= 15 AS in_tune FROM frames WHERE hz > 0""")
 def F_M_pitch_functions(spark, sf):
     hz = F.col("hz")
     a = pitch.accuracy(hz, F.lit(440.0))
-    return frames(spark, sf).where("hz > 0").select("ord", thousandths(pitch.hz_to_cents(hz)).alias("cents"), thousandths(pitch.octave_folded_cents(hz, F.lit(440.0))).alias("folded"), thousandths(a["score"]).alias("score"), a["in_tune"].alias("in_tune"))
+    return frames(spark, sf).where("hz > 0").select("ord", thousandths(pitch.hz_to_cents(hz)).alias("cents"), thousandths(pitch.octave_folded_cents(hz, F.lit(440.0))).alias("folded"), a["score"].alias("score"), a["in_tune"].alias("in_tune"))
 
 
 @query(f"WITH {FRAMES}, m AS (SELECT *, median(hz) OVER (PARTITION BY track) AS m FROM frames) SELECT track, count(*) AS n FROM m WHERE hz >= m - 20 GROUP BY track")

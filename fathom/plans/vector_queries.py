@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import vectors
-from fathom.operators import archive, stats
+from fathom.operators import neighbours, stats
 
 from . import query
 from .data import table, thousandths
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 NEAR = f"""near AS (SELECT a.vec_id AS id, b.vec_id AS other, a.label, b.label AS other_label, {COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS rank
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 40)"""
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
 
 
-def neighbours(spark, sf, k=3):
-    """Neighbours of a stated set of queries (ids under 40), cosine, self left out."""
+def neighbours_of(spark, sf, k=3):
+    """Neighbours of a stated set of queries, every row whose id is divisible by 50."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").alias("q"), F.col("label").alias("own"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("id"))  # forty rows at most are sent
-    sims = pairs.select("id", F.col("vec_id").alias("other"), F.col("own").alias("label"), F.col("label").alias("other_label"), vectors.cosine(F.col("q"), F.col("embedding")).alias("sim"))
-    return archive.top_per_key(sims, "id", [F.desc(F.round("sim", 9)), F.col("other")], k)
+    return neighbours.nearest(e, e.where("vec_id % 50 = 0"), k)
 
 
 @query(f"WITH {NEAR} SELECT id, CAST(rank AS INT) AS rank, other, CAST(round(sim * 1000) AS BIGINT) AS sim FROM near WHERE rank <= 3")
 def W15_O3_nearest(spark, sf):
-    return neighbours(spark, sf).select("id", "rank", "other", thousandths(F.col("sim")).alias("sim"))
+    return neighbours_of(spark, sf).select("id", "rank", "other", thousandths(F.col("sim")).alias("sim"))
 
 
 @query(f"""WITH {NEAR} SELECT count(*) AS n, count(*) FILTER (label = other_label) AS same, (SELECT CAST(round(1000 * sum(s * (s - 1)) / (sum(s) * (sum(s) - 1))) AS BIGINT) FROM (SELECT count(*) AS s FROM embeddings GROUP BY label)) AS chance,
 CAST(round(list_sort(list(sim))[len(list(sim)) // 2 + 1] * 1000) AS BIGINT) AS upper FROM near WHERE rank = 1""")
 def A27_J15_leakage_audit(spark, sf):
-    top = neighbours(spark, sf, 1).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("other_label")).alias("same"), thousandths(stats.upper_median(F.col("sim"))).alias("upper"))
+    label = table(spark, sf, "embeddings").select("vec_id", "label")
+    own, other = label.toDF("id", "own"), label.toDF("other", "its")
+    near = neighbours_of(spark, sf, 1)
+    top = near.join(own, "id").join(other, "other").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") == F.col("its")).alias("same"))
+    top = top.join(F.broadcast(stats.upper_median(near, "sim").select(thousandths(F.col("sim")).alias("upper"))))  # one row is sent
     s = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("s"))
     chance = s.agg(F.round(1000 * F.sum(F.col("s") * (F.col("s") - 1)) / (F.sum("s") * (F.sum("s") - 1))).cast("long").alias("chance"))
     return top.join(F.broadcast(chance))  # one row is sent

@@ -140,3 +140,15 @@ def test_rate_windows_and_closure(spark):
     assert [(r.win, r.hits) for r in stateful.fixed_windows(d, "k", "t", "ord", 60, 2).orderBy("ord").collect()] == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1)]
     got = {r.node: r.root for r in closure(spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "a int, b int")).collect()}
     assert all(got[k] == 0 for k in range(10)) and got[21] == 20
+
+
+def test_formats(spark):
+    r = one(spark, *(text.clock(F.lit(x)).alias(f"c{k}") for k, x in enumerate((0.0, 65.9, 3725.0, -1.0))), *(text.file_size(F.lit(n)).alias(f"s{k}") for k, n in enumerate((10, 1536, 4404019, 1024**3, -5))))
+    assert tuple(r) == ("0:00", "1:05", "1:02:05", "0:00", "10 B", "1.5 KB", "4.2 MB", "1 GB", "0 B")
+    r = one(spark, text.file_extension(F.lit("https://a.b/c/x.y.MP3?sig=.z")).alias("a"), text.file_extension(F.lit("https://a.b/c/xy")).alias("b"), text.quality_score(F.lit(20.0), F.lit(0.0)).alias("q"), text.quality_score(F.lit(float("nan")), F.lit(0.0)).alias("n"))
+    assert tuple(r) == (".mp3", "", 40.0, 0.0)
+
+
+def test_word_error_rate(spark):
+    r = one(spark, text.word_error_rate(F.lit("the cat sat down"), F.lit("The cat sits")).alias("a"), text.word_error_rate(F.lit(""), F.lit("x")).alias("b"), text.word_error_rate(F.lit("a b"), F.lit(None).cast("string")).alias("c"))
+    assert (r.a, r.b, r.c) == (0.5, None, 1.0)
