@@ -13,7 +13,7 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         near = both.join(label, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root").unionByName(label).groupBy("node").agg(F.min("root").alias("root"))
         far = near.join(near.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root"))
-        far = far.checkpoint() if far.sparkSession.conf.get("spark.checkpoint.dir", None) else far.persist()
+        far = far.persist()  # a round is read three times; lost parts are computed again
         moved = far.join(label.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
         label = far
         if moved:
