@@ -25,11 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words to a shingle) the document with the smallest id stays.
+    """Of each group of near-duplicates (five words to a shingle, similarity 0.8 or more) the smallest id stays.
 
     Rows with the id that stays remain together; rows without an id stay.
     """
-    groups = simhash.near_duplicates(docs, size=5)
+    groups = simhash.similar_documents(docs, size=5, similarity=0.8)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -178,3 +178,34 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(41)) and got[60] == got[50] == 50
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingle_sets(texts, size=5):
+    out = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOW))
+        out.append({" ".join(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set())
+    return out
+
+
+def test_similar_documents_recall(spark):
+    """Edited copies at similarities around the limit: nearly all above it are linked, nothing far below it is."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(r.randint(80, 400))]
+        rows.append((2 * k, " ".join(base)))
+        edited = base[:]
+        for _ in range(int(len(base) * r.choice([0, 0.005, 0.01, 0.02, 0.06, 0.1]))):
+            edited[r.randrange(len(edited))] = word()
+        rows.append((2 * k + 1, " ".join(edited)))
+    rows += [(None, rows[0][1]), (1000, ""), (1001, None)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = shingle_sets([t for _, t in rows])
+    similar = [(k, len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1])) for k in range(150)]
+    near, far = [k for k, s in similar if s >= 0.8], [k for k, s in similar if s < 0.65]
+    assert len(near) > 50 and len(far) > 20
+    assert sum(got[2 * k + 1] == 2 * k for k in near) >= 0.9 * len(near)
+    assert not any(got[2 * k + 1] == 2 * k for k in far)
+    assert got[1001] == got[1000] == 1000 and got[None] == 0

@@ -3,14 +3,12 @@
 import hashlib
 
 import corpus_pipeline
-from fathom.llm import toxicity
+from fathom.llm import simhash, toxicity
 from fathom.llm.queries import tokenizer_path
 
-from .test_dedup import brute_fingerprint, brute_roots, repeated_bytes
+from .test_dedup import shingle_sets
 from .test_text import brute_contamination
 
-import numpy as np
-
 
 def test_stages_follow_each_other(spark, sf):
     from sentencepiece import SentencePieceProcessor
@@ -19,12 +17,16 @@ def test_stages_follow_each_other(spark, sf):
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     toxic = {r.doc_id for r in toxicity.scored(docs, model).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
-    codes = np.array([brute_fingerprint(t, 5) for _, t in rows], np.uint64)
-    root = brute_roots(codes, 3)
-    least = {}
-    for (d, _), k in zip(rows, root):
-        least[k] = min(d, least.get(k, d))
-    rows = [x for x, k in zip(rows, root) if x[0] == least[k]]
+    groups = {r.doc_id: r.component_id for r in simhash.similar_documents(docs.where(~docs.doc_id.isin(list(toxic)))).collect()}
+    sets = shingle_sets([t for _, t in rows])
+    place = {d: k for k, (d, _) in enumerate(rows)}
+    for k, a in enumerate(sets):  # brute force: all that are clearly similar are in one group, and groups hold nothing else
+        like = [m for m, b in enumerate(sets) if m < k and len(a & b) >= 0.84 * len(a | b)]
+        assert all(groups[rows[k][0]] == groups[rows[m][0]] for m in like)
+    for d, c in groups.items():
+        if c != d:
+            assert any(len(sets[place[d]] & sets[place[e]]) >= 0.7 * len(sets[place[d]] | sets[place[e]]) for e, x in groups.items() if x == c and e != d)
+    rows = [x for x in rows if groups[x[0]] == x[0]]
     size = 50
     first = {}
     for d, t in rows:
