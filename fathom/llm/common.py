@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,6 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, most_bytes: int = 4 << 20, most_rows: int = 1000) -> DataFrame:
+    """df, after the session's Arrow batches were bounded: 10,000 whole texts in one would take tens of MB, in the JVM and
+    again in each Python worker. Smaller bounds that the session has already stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxBytesPerBatch", most_bytes), ("maxRecordsPerBatch", most_rows)):
+        now = re.fullmatch(r"(-?\d+)b?", conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now and not 0 < int(now[1]) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
     """The rows in order, in tables of about most_bytes (one longer row is a table of its own)."""
     held: list[pa.RecordBatch] = []

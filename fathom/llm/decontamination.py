@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import bounded_batches, chunks, written
 
 #: A-Z to a-z; digits, letters and all bytes of non-ASCII characters stay; the rest separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -196,7 +196,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, blo
                     d, p, n, item, a = zip(*rows[k : k + 10_000], strict=True)
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[x] for x in d], pa.int64()), "doc_start": p, "n_words": n, "item_id": item, "item_start": a})
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCH)
+        found = bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCH)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -222,7 +222,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     first = next(blocks)
     second = next(blocks, None)
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if second is None:
         sent = spark.sparkContext.broadcast(first)
 
@@ -272,6 +272,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                     keep.append(not (hit > 0 and share * hit >= size))
                 yield from shard.filter(pa.array(keep, pa.bool_())).to_batches()
 
-        return docs.mapInArrow(run, docs.schema)
+        return bounded_batches(docs).mapInArrow(run, docs.schema)
     dirty = report(docs, benchmark, window, share, block_bytes).where("contaminated").select("doc_id").distinct()
     return docs.join(dirty, "doc_id", "left_anti")

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Usual wordings of license notices.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -116,5 +118,5 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float =
             rows = [(i, *r) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in scanner.scan(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(OUT)], schema=OUT)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(pattern))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(pattern))
     return rows.mapInArrow(run, "doc_id long, start long, license string, differences long, bytes_alone long, bytes_given long, block string")

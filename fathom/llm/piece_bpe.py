@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
+from .common import bounded_batches
+
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -26,7 +28,7 @@ DIGEST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("i
 
 
 class PieceBpe:
-    def __init__(self, model_file: str, cache_size: int = 600_000):
+    def __init__(self, model_file: str, cache_size: int = 200_000):
         sp = SentencePieceProcessor(model_file=model_file)
         self.pieces: dict[str, int] = {}
         self.score: dict[int, float] = {}
@@ -66,7 +68,7 @@ class PieceBpe:
         self.shown = ["" if i in self.skipped else x.replace(SPACE, " ") for i, x in enumerate(self.texts)]
         self.parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self.pair_limit = 1_000_000
+        self.pair_limit = 500_000
         self.cache_size = cache_size
         self.cache: dict[str, bytes] = {}
         self.decoded: dict[bytes, str] = {}
@@ -287,4 +289,4 @@ def encode_decode(docs: DataFrame, model_file: str, key: str = "doc_id", digest:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *columns], schema=schema)
 
     out = "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, out)
+    return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, out)

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BASE = 0x9E3779B97F4A7C15 | 1
 SEGMENT = 1 << 18  # windows worked on at once
 ANCHOR_BYTES = 6
@@ -310,7 +312,7 @@ def _offers(kind: Kind, buckets: int):
             shared = np.unique(np.r_[shared, keys[twice]] if kind.within else shared)
             alone = np.setdiff1d(keys, shared)
             for known, part in ((False, alone), (True, shared)):
-                at = (part % np.uint64(buckets)).astype(np.int64)
+                at = (part // np.uint64(2) % np.uint64(buckets)).astype(np.int64)  # all keys are odd
                 order = np.argsort(at, kind="stable")
                 edges = np.searchsorted(at[order], np.arange(buckets + 1))
                 rows += [(b, s.shard, known, packed(part[order[edges[b] : edges[b + 1]]])) for b in range(buckets) if edges[b] < edges[b + 1]]
@@ -353,7 +355,7 @@ def _contents(kind: Kind):
     return run
 
 
-def _judgements(kind: Kind, most_bytes: int = 1 << 20):
+def _judgements(kind: Kind, most_bytes: int = 1 << 18):
     """Step 2, where all contents of an anchor are: flags for the windows of each content, for the shard that sent it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +434,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema,
     shard_bytes bounds a shard; for corpora beyond 100 GB it grows with the root of their size, so that the packed rows
     (shards by buckets) stay few and full.
     """
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = bounded_batches(docs).agg(F.sum(F.length("text"))).first()[0] or 0
     shard_bytes = int(shard_bytes * max(1.0, math.sqrt(total / 1e11)))
     shards = max(1, -(-total // shard_bytes))
     partitions, buckets = min(shards, 20_000), max(1, min(shards // 8, 20_000))

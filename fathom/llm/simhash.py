@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, written
+from .common import ASCII_LOWER, bounded_batches, written
 from .components import components
 
 FANOUT = 8
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                 bits = np.array([fingerprint(x, size) for x in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, bits long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, bits long")
 
 
 def gray_rank(bits: Column) -> Column:
@@ -243,7 +243,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wide_fingerprint(x, size, words).astype(">u8").tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "code"])
 
-    marks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, code binary"))
+    marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, code binary"))
     codes = marks.groupBy("code").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64("code")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

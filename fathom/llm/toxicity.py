@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SYMBOLS = 5  # bits for a character
 SPAN, DECAY = 6, 0.7
 LONGEST = 32  # longer units are judged in overlapping pieces
@@ -232,7 +234,7 @@ _CACHE: dict[str, float] = {}
 _CACHE_OF: list[object] = [None]
 
 
-def document_values(texts: list[str | None], model: Model, mark: object, most: int = 600_000) -> np.ndarray:
+def document_values(texts: list[str | None], model: Model, mark: object, most: int = 100_000) -> np.ndarray:
     """The highest value of any unit of each text; the lowest value known from training for a text without units."""
     if _CACHE_OF[0] != mark or len(_CACHE) > most:
         _CACHE.clear()
@@ -290,7 +292,7 @@ def scored(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
                 score = sent.value.score(document_values(part.column(1).to_pylist(), sent.value, mark))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= limit).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
@@ -304,4 +306,4 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
                 score = sent.value.score(document_values(part.column("text").to_pylist(), sent.value, mark))
                 yield part.filter(pa.array(score < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
