@@ -8,7 +8,9 @@ the root down; the differences on shared bits add up, and a pair beyond d is dro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +45,24 @@ def further(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def wide_fingerprint(text: bytes | None, size: int, words: int) -> np.ndarray:
-    """A bit is set if it is set in over half of the shingles' hashes (first word: XXH64, seed 42)."""
-    parts = shingles(text or b"", size)
+def hashed(text: bytes | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included."""
     h = xxhash.xxh64_intdigest
+    return np.array([h(x, 42) for x in shingles(text or b"", size)], dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A bit is set if it is set in over half of the hashes (further words: hashes drawn from them)."""
     ones = np.zeros((words, 64), np.int64)
-    for k in range(0, len(parts), 16384):
-        hashes = np.array([h(x, 42) for x in parts[k : k + 16384]], dtype=np.uint64)
+    for k in range(0, len(hashes), 16384):
         for w in range(words):
-            own = further(hashes, w) if w else hashes
+            own = further(hashes[k : k + 16384], w) if w else hashes[k : k + 16384]
             ones[w] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(parts), axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
-    return int(wide_fingerprint(text, size, 1)[0])
+    return int(wide_fingerprint(hashed(text, size), 1)[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -120,6 +125,8 @@ class GrayTree:
     """Trees over codes (rows of 64-bit words) that come group by group, each group in Gray order. groups: ascending numbers."""
 
     def __init__(self, codes: np.ndarray, groups: np.ndarray):
+        #: Pairs within the distance that links() joined: they connect all that is linked.
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []
         self.codes = codes = codes.reshape(len(groups), -1)
         #: Per level from the leaves up: bits that all codes below share, their values, first child of each node (and an end).
         self.shared, self.value, self.first = [np.full(codes.shape, FULL, np.uint64)], [codes], [np.arange(len(codes) + 1)]
@@ -165,8 +172,7 @@ class GrayTree:
             work += [(level - 1, x[k : k + most], y[k : k + most]) for k in range(0, len(x), most)]
         return label
 
-    @staticmethod
-    def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    def _join(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         while True:
             x, y = label[a], label[b]
             open_ = x != y
@@ -174,7 +180,10 @@ class GrayTree:
                 return
             a, b, x, y = a[open_], b[open_], x[open_], y[open_]
             low, high = np.minimum(x, y), np.maximum(x, y)
-            np.minimum.at(label, high, low)
+            order = np.lexsort((low, high))
+            best = order[np.r_[True, np.diff(high[order]) != 0]]
+            label[high[best]] = low[best]
+            self.used.append((a[best], b[best]))
             while not np.array_equal(up := label[label], label):
                 label[:] = up
 
@@ -226,25 +235,72 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFr
     return marks.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """Those of pairs (a, b: nodes) whose sets of shingles share at least that part. codes: node, least (a doc_id or null).
+
+    Only documents of the nodes in question are read again; their sets go to the pairs by joins.
+    """
+    pairs = written(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = codes.join(nodes, "node", "left_semi").select("least").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
+                sets = [np.unique(hashed(x, size)) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "set"])
+
+    sets = bounded_batches(texts).mapInArrow(gather, "node long, set binary").join(nodes, "node", "left_semi")
+    sets = written(sets.groupBy("node").agg(F.first("set").alias("set")))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * similarity.denominator >= (len(x) + len(y) - shared) * similarity.numerator)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
+
+
+def node_of(own: np.ndarray) -> int:
+    """A signed long for a set of hashes (ascending)."""
+    return int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little", signed=True)
+
+
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8, block: int = 16, batch: int = 20_000) -> DataFrame:
     """doc_id, component_id (the least doc_id reached over links) of every row of docs, linked where the sets of shingles
     are similar by at least the measure given.
 
     A wide fingerprint (words * 64 bits) tells the similarity of two texts from the share of bits that differ: s shared out
     of all shingles makes an angle of acos(2 s / (1 + s)), and that part of half a turn differs. Documents meet where they
-    agree on a run of `block` bits; at 0.8 and 512 bits over nine of ten similar pairs do, at 0.9 nearly all. In a group
-    the same tree in Gray order compares them. Null and empty texts are alike. Copies are reduced to one code first.
+    agree on a run of `block` bits; in a group the same tree in Gray order compares them. Its pairs are candidates: only
+    those whose sets of shingles are similar enough link. Null and empty texts are alike. Texts with the same set are one node.
     """
+    exact = Fraction(str(similarity))
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     far = int(words * 64 * share + np.sqrt(words * 64 * share * (1 - share)))  # one deviation more, not to lose those at the limit
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wide_fingerprint(x, size, words).astype(">u8").tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "code"])
-
-    marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, code binary"))
-    codes = marks.groupBy("code").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64("code")))
+                every = [hashed(x, size) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([node_of(np.unique(x)) for x in every], pa.int64()),
+                        pa.array([wide_fingerprint(x, words).astype(">u8").tobytes() for x in every], pa.binary()),
+                    ],
+                    names=["doc_id", "node", "code"],
+                )
+
+    marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, node long, code binary"))
+    codes = marks.groupBy("node").agg(F.min("doc_id").alias("least"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,7 +309,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
             n = values.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(raw))), pa.array(values.ravel()), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array([x for x in raw for _ in range(n)], pa.binary())], names=["part", "value", "node", "code"])
 
-    groups = codes.select("code", "node").mapInArrow(deal, "part int, value int, node long, code binary").repartition("part", "value").sortWithinPartitions("part", "value")
+    groups = marks.select("code", "node").distinct().mapInArrow(deal, "part int, value int, node long, code binary").repartition("part", "value").sortWithinPartitions("part", "value")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(key: np.ndarray, node: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
@@ -262,9 +318,10 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
                 rank ^= rank >> np.uint64(k)
             order = np.lexsort((rank[:, 1] if words > 1 else rank[:, 0], rank[:, 0], key))
             key, node, code = key[order], node[order], code[order]
-            first = GrayTree(code, np.cumsum(np.r_[False, np.diff(key) != 0])).links(far)
-            moved = np.flatnonzero(first != np.arange(len(first)))
-            return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[first[moved]])], names=["a", "b"])
+            tree = GrayTree(code, np.cumsum(np.r_[False, np.diff(key) != 0]))
+            tree.links(far)
+            a, b = (node[np.concatenate([np.zeros(0, np.int64), *(x[k] for x in tree.used)])] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         held: list[tuple] = []
         rows = 0
@@ -282,7 +339,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
         if rows:
             yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    roots = components(groups.mapInArrow(link, "a long, b long").distinct())
-    known = codes.join(roots, "node", "left").select("code", "least", F.coalesce("root", "node").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("code", "component_id")
-    return marks.join(named, "code").select("doc_id", "component_id")
+    links = alike(docs, codes, groups.mapInArrow(link, "a long, b long").where("a <> b").distinct(), size, exact)
+    known = codes.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return marks.join(named, "node").select("doc_id", "component_id")

@@ -209,3 +209,18 @@ def test_similar_documents_recall(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in near) >= 0.9 * len(near)
     assert not any(got[2 * k + 1] == 2 * k for k in far)
     assert got[1001] == got[1000] == 1000 and got[None] == 0
+
+
+def test_similar_documents_are_confirmed_by_their_sets(spark):
+    """7 of 9 shingles shared look like 0.8 to a fingerprint, but do not link; 8 of 10, exactly 0.8, do."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(12)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:11], word()]))]  # 7 of 9
+        base = [word() for _ in range(13)]
+        rows += [(10 * k + 2, " ".join(base)), (10 * k + 3, " ".join([*base[:12], word()]))]  # 8 of 10
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[10 * k + 1] == 10 * k + 1 for k in range(40))
+    assert sum(got[10 * k + 3] == 10 * k + 2 for k in range(40)) > 20
