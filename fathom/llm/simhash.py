@@ -289,11 +289,11 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
-                every = [hashed(x, size) for x in part.column(1).to_pylist()]
+                every = [np.unique(hashed(x, size)) for x in part.column(1).to_pylist()]  # sets: repeats have no vote
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([node_of(np.unique(x)) for x in every], pa.int64()),
+                        pa.array([node_of(x) for x in every], pa.int64()),
                         pa.array([wide_fingerprint(x, words).astype(">u8").tobytes() for x in every], pa.binary()),
                     ],
                     names=["doc_id", "node", "code"],

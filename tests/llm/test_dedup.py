@@ -224,3 +224,17 @@ def test_similar_documents_are_confirmed_by_their_sets(spark):
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[10 * k + 1] == 10 * k + 1 for k in range(40))
     assert sum(got[10 * k + 3] == 10 * k + 2 for k in range(40)) > 20
+
+
+def test_similar_documents_count_a_shingle_once(spark):
+    """A line repeated 50 times does not make texts alike, and repeats do not part texts whose sets are similar."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    line = [word() for _ in range(10)]
+    rows = [(k, " ".join(line * 50 + [word() for _ in range(300)])) for k in range(10)]
+    for k in range(10):
+        base = [word() for _ in range(104)]
+        rows += [(100 + 2 * k, " ".join(base)), (101 + 2 * k, " ".join(base + base[:14] * 20))]  # 100 of 108 shingles
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == k for k in range(10))
+    assert all(got[101 + 2 * k] == 100 + 2 * k for k in range(10))
