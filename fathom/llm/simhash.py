@@ -268,6 +268,95 @@ def alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, size: int, simila
     return written(both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
 
 
+def common_shingles(docs: DataFrame, size: int, rows: int = 8192, least: int = 3, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that many texts hold, and their ranks by frequency, from about `rows` texts.
+
+    They only order the shingles; candidates() is exact in any order, the same one for all texts.
+    """
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // rows))) == 0).select(F.encode("text", "UTF-8").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = [np.unique(hashed(x, size)) for x in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    count = bounded_batches(part).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = count.orderBy(F.desc("n"), "h").limit(most).toArrow()  # most bounds what is sent
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: Fraction) -> np.ndarray:
+    """The rarest shingles of a set, so many that any set similar enough has one of them among its own rarest."""
+    n = len(own)
+    if not n:
+        return own
+    h, count = common
+    rank = np.zeros(n, np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+        rank = np.where(h[at] == own, count[at], 0)
+    return own[np.lexsort((own, rank))[: n - -(-similarity.numerator * n // similarity.denominator) + 1]]
+
+
+def candidates(known: DataFrame, similarity: Fraction, batch: int = 100_000, block: int = 512) -> DataFrame:
+    """a, b: all pairs of nodes of different labels that share a shingle of their prefixes and whose sizes allow the
+    similarity. known: node, size, prefix, label."""
+    top, under = similarity.numerator, similarity.denominator
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            n = [len(x) for x in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw)), *(pa.array(np.repeat(b.column(k).to_numpy(), n)) for k in (0, 1, 3))], names=["token", "node", "size", "label"])
+
+    rows = bounded_batches(known).select("node", "size", "prefix", "label").mapInArrow(deal, "token long, node long, size long, label long")
+    rows = rows.repartition("token").sortWithinPartitions("token", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(token: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+            heads = np.flatnonzero(np.r_[True, np.diff(token) != 0])
+            ends = np.r_[heads[1:], len(token)]
+            mixed = np.minimum.reduceat(label, heads) != np.maximum.reduceat(label, heads)
+            found, held = [np.zeros((2, 0), np.int64)], 0
+            for i, j in zip(heads[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                for k in range(i, j, block):  # sizes ascend
+                    end = min(k + block, j)
+                    last = i + int(np.searchsorted(size[i:j] * top, size[end - 1] * under, side="right"))
+                    ok = (label[k:end, None] != label[None, k:last]) & (size[None, k:last] * top <= size[k:end, None] * under)
+                    x, y = np.nonzero(ok & (np.arange(k, end)[:, None] < np.arange(k, last)[None, :]))
+                    found.append(np.stack([node[k + x], node[k + y]]))
+                    held += len(x)
+                    if held > 200_000:
+                        yield pairs(found)
+                        found, held = [np.zeros((2, 0), np.int64)], 0
+            yield pairs(found)
+
+        def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+            x = np.concatenate(found, axis=1)
+            x = np.unique(np.stack([x.max(axis=0), x.min(axis=0)]), axis=1) if x.size else x
+            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+
+        held: list[np.ndarray] = []
+        n = 0
+        for b in batches:
+            held.append(np.stack([c.to_numpy() for c in b.columns]))
+            n += b.num_rows
+            if n >= batch:
+                now = np.concatenate(held, axis=1)
+                other = np.flatnonzero(now[0] != now[0, -1])
+                end = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+                if end:
+                    yield from solve(*now[:, :end])
+                held, n = [now[:, end:]], now.shape[1] - end
+        if n:
+            yield from solve(*np.concatenate(held, axis=1))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def node_of(own: np.ndarray) -> int:
     """A signed long for a set of hashes (ascending)."""
     return int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little", signed=True)
@@ -280,9 +369,12 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
     A wide fingerprint (words * 64 bits) tells the similarity of two texts from the share of bits that differ: s shared out
     of all shingles makes an angle of acos(2 s / (1 + s)), and that part of half a turn differs. Documents meet where they
     agree on a run of `block` bits; in a group the same tree in Gray order compares them. Its pairs are candidates: only
-    those whose sets of shingles are similar enough link. Null and empty texts are alike. Texts with the same set are one node.
+    those whose sets of shingles are similar enough link. Pairs that the fingerprints miss are found by exact prefixes: of
+    n shingles in one order for all, the first n - ceil(similarity n) + 1 of two similar sets have one in common. Only pairs
+    that no link connects yet are looked at. Null and empty texts are alike. Texts with the same set are one node.
     """
     exact = Fraction(str(similarity))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     far = int(words * 64 * share + np.sqrt(words * 64 * share * (1 - share)))  # one deviation more, not to lose those at the limit
 
@@ -295,11 +387,13 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
                         part.column(0),
                         pa.array([node_of(x) for x in every], pa.int64()),
                         pa.array([wide_fingerprint(x, words).astype(">u8").tobytes() for x in every], pa.binary()),
+                        pa.array([len(x) for x in every], pa.int64()),
+                        pa.array([prefix(x, common.value, exact).tobytes() for x in every], pa.binary()),
                     ],
-                    names=["doc_id", "node", "code"],
+                    names=["doc_id", "node", "code", "size", "prefix"],
                 )
 
-    marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, node long, code binary"))
+    marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, node long, code binary, size long, prefix binary"))
     codes = marks.groupBy("node").agg(F.min("doc_id").alias("least"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +433,10 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
         if rows:
             yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    links = alike(docs, codes, groups.mapInArrow(link, "a long, b long").where("a <> b").distinct(), size, exact)
+    first = groups.mapInArrow(link, "a long, b long").where("a <> b").groupBy("a").agg(F.min("b").alias("b"))  # one for each node; candidates() has the rest
+    links = alike(docs, codes, first, size, exact)
+    sets = marks.select("node", "size", "prefix").distinct().join(components(links), "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("label"))
+    links = links.unionByName(alike(docs, codes, candidates(sets, exact), size, exact))
     known = codes.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return marks.join(named, "node").select("doc_id", "component_id")

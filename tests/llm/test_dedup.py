@@ -238,3 +238,26 @@ def test_similar_documents_count_a_shingle_once(spark):
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k] == k for k in range(10))
     assert all(got[101 + 2 * k] == 100 + 2 * k for k in range(10))
+
+
+def test_similar_documents_equal_brute_force(spark):
+    """All pairs at 0.8 or more link, most of these at 0.80 to 0.85, and no others."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    line = [word() for _ in range(9)]
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(r.choice([12, 13, 40, 80, 150]))] + line * (k % 3)
+        rows.append((2 * k, " ".join(base)))
+        edited = base[:]
+        for _ in range(max(1, round(len(base) * r.choice([0.018, 0.021, 0.024, 0.027])))):
+            edited[r.randrange(len(edited))] = word()
+        rows.append((2 * k + 1, " ".join(edited)))
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = shingle_sets([t for _, t in rows])
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    root = np.arange(len(rows))
+    while not np.array_equal(new := np.array([root[n].min() for n in near]), root):
+        root = new
+    assert sum(near[2 * k, 2 * k + 1] for k in range(150)) > 60
+    assert [got[k] for k in range(300)] == root.tolist()
