@@ -138,25 +138,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
 
-def logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (at least a little above 0) and shift of the curve, by Newton steps with smoothed targets."""
+def logistic(value: np.ndarray, y: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
+    """Slope (at least a little above 0) and shift of the curve, by Newton steps with smoothed targets.
+
+    stands: for how many rows a clean and a toxic row stand; the curve has the rate of the rows they stand for.
+    """
     n1, n0 = int(y.sum()), int((1 - y).sum())
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, stands[1], stands[0])
+    weight = weight / weight.mean()
     w, x = np.array([1.0, 0.0]), np.stack([value, np.ones(len(value))], axis=1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (weight * (p - target)) + 1e-3 * (w - [1.0, 0.0]))
         w = w - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives: int = 20_000, rounds: int = 4, ridge: float = 1.0) -> Model:
+def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives: int = 20_000, rounds: int = 4, ridge: float = 1.0, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A machine from labelled texts (text, toxic 0/1), given in an order that does not depend on the label.
 
     negatives bounds how many units of clean sentences a round weighs; those that the machine of the round before took for
-    toxic come first. Without rows of both labels the score is the smoothed share of toxic rows for every text.
+    toxic come first. stands: see logistic(). Without rows of both labels the score is the smoothed share of toxic rows for every text.
     """
     docs = []
     for text, y in rows:
@@ -167,7 +172,8 @@ def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives:
     n1, n = sum(y for _, y in train), len(train)
     t1 = sum(y for _, y in tune)
     if not (0 < n1 < n and 0 < t1 < len(tune)):
-        share = (sum(y for _, y in docs) + 1) / (len(docs) + 2)
+        seen1 = stands[1] * sum(y for _, y in docs)
+        share = (seen1 + 1) / (seen1 + stands[0] * sum(1 - y for _, y in docs) + 2)
         return Model(np.zeros(1 << 3 * SYMBOLS, np.float32), 0.0, 1e-3, float(np.log(share / (1 - share))), 0.0)
 
     clean: Counter[str] = Counter()
@@ -226,7 +232,7 @@ def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives:
     tops = np.array(tops)
     model.lowest = float(np.nanmin(tops))
     tops = np.where(np.isnan(tops), model.lowest, tops)
-    model.slope, model.shift = logistic(tops, np.array([y for _, y in tune]))
+    model.slope, model.shift = logistic(tops, np.array([y for _, y in tune]), stands)
     return model
 
 
@@ -266,7 +272,8 @@ def in_fold(doc_id: "F.Column", folds: int, held: int):
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 3000) -> Model:
     """Fits on labelled documents outside the held-out fold: of each label at most max_rows, those with the least hashes of
     their ids. The bound is a parameter; it keeps what the driver gathers independent of the corpus. Null labels and rows of
-    labels without a document are left out; of repeated labels of a document the highest counts.
+    labels without a document are left out; of repeated labels of a document the highest counts. The curve of the score is
+    weighed to the labels' counts over all data outside the fold, so the bound does not move what a score means.
     """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = []
@@ -277,7 +284,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").toArrow()  # max_rows bounds what is sent
     table = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True), key=lambda r: (crc32(b"%d" % r[0]), r[0], r[1] or ""))
-    return fit((text, y) for _, text, y in table)
+    if len(ids) < 2 * max_rows and max(sum(y == k for _, y in ids) for k in (0, 1)) < max_rows:
+        return fit((text, y) for _, text, y in table)  # no bound bites
+    known = told.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id").groupBy("toxic").count()
+    true = {r.toxic: r["count"] for r in known.collect()}
+    taken = Counter(y for _, _, y in table)
+    stands = tuple(true[k] / taken[k] if taken[k] else 1.0 for k in (0, 1))
+    return fit(((text, y) for _, text, y in table), stands=stands)
 
 
 def scored(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:

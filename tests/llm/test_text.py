@@ -158,6 +158,19 @@ def test_toxicity_learns_gapped_insults(spark):
     assert toxicity.words("you b l o r k ok")[-1].replace(" ", "") == "blork"
 
 
+def test_toxicity_bound_keeps_the_rate(spark):
+    """Words that a tenth of their documents' labels call toxic score about a tenth, however few rows the bound leaves."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(k, " ".join(word() for _ in range(20)), int(r.random() < 0.1)) for k in range(3000)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    for bound in (3000, 150):
+        model = toxicity.train(docs, labels, max_rows=bound)
+        mean = toxicity.scored(docs, model).where("crc32(cast(doc_id as string)) % 3 = 1").agg({"score": "avg"}).first()[0]
+        assert 0.05 < mean < 0.2
+
+
 def test_toxicity_without_both_labels(spark):
     docs = spark.createDataFrame([(k, "some text") for k in range(5)], "doc_id long, text string")
     for rows in ([], [(k, 0) for k in range(5)]):
