@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a document with a smaller id has, too, are cut out; a document that has nothing
+    """Passages of 50 bytes or more that a document with a smaller id has, too, are cut out; a document that has nothing
     else goes. n_chars is counted anew where a text changed."""
     return suffix_dedup.cut_passages(docs)
 
