@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -69,3 +71,21 @@ def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Ta
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts parted at each space and before each line end: the distinct words, each word's place among them, and where each
+    text's words begin (and the end). A space stands before each word of a text but its first, unless it begins with a line
+    end. Work on words is then done once for each distinct one."""
+    parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+
+
+def strung(values: list[bytes], index: np.ndarray, edges: np.ndarray) -> list[memoryview]:
+    """For each text the values of its words in a row; index and edges as from distinct_words()."""
+    got = pa.array(values, pa.large_binary()).take(pa.array(index))
+    _, ends, data = got.buffers()
+    cuts = np.frombuffer(ends, "<i8", len(got) + 1)[edges] if len(got) else np.zeros(len(edges), np.int64)
+    raw = memoryview(data) if data is not None else memoryview(b"")
+    return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

@@ -8,20 +8,20 @@ A reader finds a document by the index and decompresses its frame only.
 
 from __future__ import annotations
 
+import gc
 import io
 import json
 import os
 import re
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
-from struct import pack
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_folder, written
+from .common import bounded_batches, chunks, distinct_words, shared_folder, strung, written
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FOOTER = struct.Struct("<IBI")
@@ -38,9 +38,9 @@ FRAME_BYTES = 1 << 18
 #: White space as Unicode and the tokenizers library define it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
-#: The byte-level pre-tokenizer's own pattern.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_THEN_SIGNS = re.compile(r"( ?[^\W\d_]+)([,.;:!?]+)")
+#: Runs of white space in which a space or a line end is no cut of the byte-level pattern.
+RUN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RUNS = rf"{RUN}{{3}}|{RUN}{{2}}\z"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -53,64 +53,95 @@ def byte_symbols() -> dict[str, int]:
 class ByteBpe:
     """A byte-level BPE of the tokenizers library, with a cache of words.
 
-    A word with the space before it is always cut off from its surroundings by the byte-level pattern, so its ids do not
-    depend on them. New words are merged by tiktoken with the file's own vocabulary as ranks, where ids follow the order of
-    the merges and the pre-tokenizer is the plain byte-level one; other files are left to the tokenizers library.
+    Outside longer runs of white space the byte-level pattern cuts before each space and each line end, so the ids of what
+    lies between do not depend on the surroundings. A batch of texts is reduced to its distinct words; new ones go to the library many at a time, as one text, and the ids
+    are dealt back by the number of bytes that each stands for. The cache has two generations; a full one replaces the
+    older, so frequent words stay.
     """
 
-    def __init__(self, file: str, cache_size: int = 600_000):
+    def __init__(self, file: str, cache_size: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file)
         with open(file, encoding="utf-8") as f:
             told = json.load(f)
-        model, pre = told["model"], told["pre_tokenizer"]
+        pre = told["pre_tokenizer"]
         if told.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("a byte-level BPE without normaliser and prefix space is asked for")
-        symbols, specials = byte_symbols(), {x["content"] for x in told["added_tokens"]}
-        ranks = {bytes(symbols[c] for c in x): i for x, i in model["vocab"].items() if x not in specials}
-        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if merged == sorted(merged) and not model.get("ignore_merges") else None
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        symbols, self.special = byte_symbols(), [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of text that an id stands for; 0 where that is not known.
+        self.bytes_of = np.zeros(1 + max(told["model"]["vocab"].values()), np.int64)
+        for x, i in told["model"]["vocab"].items():
+            self.bytes_of[i] = len(x) if all(c in symbols for c in x) else 0
         self.cache_size = cache_size
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return self._plain(texts)
-        code = self.fast.encode_ordinary
-        return [pack("<%dI" % len(ids), *ids) for ids in map(code, texts)]
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Ids of chunks that the cache does not hold; a full cache starts anew."""
-        missing, parts = list(dict.fromkeys(chunks)), {}
-        for x in missing:
-            m = WORD_THEN_SIGNS.fullmatch(x)
-            parts[x] = (m[1], m[2]) if m else (x,)
-        new = list(dict.fromkeys(y for p in parts.values() for y in p if y not in self.cache))
-        coded = dict(zip(new, self._words(new), strict=True))
-        got = {x: b"".join([coded[y] if y in coded else self.cache[y] for y in p]) for x, p in parts.items()}
-        if len(self.cache) + len(missing) + len(new) > self.cache_size:
-            self.cache = {}
-        self.cache |= {x: y for x, y in (coded | got).items() if len(x) < 64}
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space or line end before it, encoded as one text."""
+        text = "".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words if text.isascii() else [w.encode() for w in words]), np.int64, len(words)))
+        done = np.cumsum(self.bytes_of[ids])
+        at = np.searchsorted(done, ends)
+        if done[-1] != ends[-1] or (done[at] != ends).any():
+            return self._plain(words)
+        raw, cuts = ids.astype("<u4").tobytes(), [0, *((at + 1) * 4).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some distinct words, with a space before it unless it begins with a line end."""
+        got = list(map(self.cache.get, words))
+        new, alone = [], []
+        for k in [k for k, x in enumerate(got) if x is None]:
+            w = words[k]
+            if (x := self.older.get(w)) is not None:
+                got[k] = self.cache[w] = x
+            else:
+                (new if w.isprintable() and w and len(w) < 256 else alone).append(k)
+        for a in range(0, len(new), 4096):
+            part = new[a : a + 4096]
+            for k, x in zip(part, self._together([" " + words[k] for k in part]), strict=True):
+                got[k] = x
+                if len(words[k]) < 64:
+                    self.cache[words[k]] = x
+        for k, x in zip(alone, self._plain([words[k] if words[k][:1] == "\n" else " " + words[k] for k in alone]), strict=True):
+            got[k] = x
+            if len(words[k]) < 64:
+                self.cache[words[k]] = x
+        if len(self.cache) > self.cache_size:
+            self.cache, self.older = {}, self.cache
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
-            if any(x in text for x in self.special):
-                out += self._plain([text])
-                continue
-            chunks = CHUNK.findall(text)
-            got = list(map(self.cache.get, chunks))
-            if None in got:
-                learnt = self._learn(c for c, x in zip(chunks, got, strict=True) if x is None)
-                got = [learnt[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
-            out.append(b"".join(got))
-        return out
+        return [bytes(x) for x in self.encode_batch(pa.array(texts, pa.string()))]
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes | memoryview]:
+        """Ids of each text; no nulls."""
+        odd = pc.match_substring_regex(texts, RUNS)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        words, index, edges = distinct_words(texts.filter(pc.invert(odd)))
+        starts = edges[:-1]  # a text's first word has no space before it
+        first = self._plain([words[k] for k in index[starts].tolist()])
+        index = index.copy()
+        index[starts] = len(words) + np.arange(len(starts))
+        ids = iter(strung(self.known(words) + first, index, edges))
+        return [self._alone(texts[k].as_py()) if x else next(ids) for k, x in enumerate(odd.to_pylist())]
+
+    def _alone(self, text: str) -> bytes:
+        """Ids of a text with runs of white space or special strings."""
+        if any(x in text for x in self.special):
+            return self._plain([text])[0]
+        chunks = CHUNK.findall(text)
+        words = list({x[1:] for x in chunks if x[0] == " " and len(x) > 1 and not x[1].isspace()})
+        known = {" " + w: x for w, x in zip(words, self.known(words), strict=True)}
+        rest = list({x for x in chunks if x not in known})
+        known |= zip(rest, self._plain(rest), strict=True)
+        return b"".join([known[x] for x in chunks])
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -119,6 +150,7 @@ _LOADED: dict[str, ByteBpe] = {}
 def loaded(file: str) -> ByteBpe:
     if file not in _LOADED:
         _LOADED[file] = ByteBpe(file)
+        gc.freeze()  # the tables stay; they need not be looked through again and again
     return _LOADED[file]
 
 
@@ -208,12 +240,12 @@ class Reader:
 def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int | None = 0) -> DataFrame:
     """Writes the documents' ids in ascending doc_id order; returns the manifest: part, path, n_docs, n_tokens.
 
-    Parts hold ascending ranges of doc_id (null ids first, equal ids by text, in one part). Null texts count as empty: only
-    the end id. A part is written under a name of its own attempt and then moved to its final name, so a task that runs
+    Parts hold ascending ranges of doc_id (null ids first, rows of one id in the order of the input, over several parts if
+    they are many). Null texts count as empty: only the end id. A part is written under a name of its own attempt and then moved to its final name, so a task that runs
     again after a lost executor leaves the same file. folder must be one that all executors share.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +253,12 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
         fs, root = _file_system(folder)
         name, attempt = f"{root}/part-{part:06d}.zst", f"{root}/.part-{part:06d}.{uuid.uuid4().hex}"
         writer = None
-        for batch in batches:
-            for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                if writer is None:
-                    stream = fs.open_output_stream(attempt)
-                    writer = Writer(stream)
-                for doc_id, tokens in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, tokens + tail)
+        for piece in chunks(batches, 2 << 20):
+            if writer is None:
+                stream = fs.open_output_stream(attempt)
+                writer = Writer(stream)
+            for doc_id, tokens in zip(piece["doc_id"].to_pylist(), coder.encode_batch(piece["text"].combine_chunks()), strict=True):
+                writer.add(doc_id, bytes(tokens) + tail)
         if writer is not None:
             writer.close()
             stream.close()
@@ -252,8 +283,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     reader = Reader(source, source.size())
                     n = reader.index["n_tokens"].to_numpy()
                     start = (offset or 0) + reader.begin // 4
-                    for a in range(0, len(n), 1024):
-                        b = min(len(n), a + 1024)
+                    for a, b in runs(n, 1 << 20):
                         yield pa.RecordBatch.from_arrays(
                             [reader.index["doc_id"].slice(a, b - a).combine_chunks(), pa.array(start[a:b], pa.int64()), pa.array(n[a:b], pa.int64()), pa.array([reader.tokens(i) for i in range(a, b)], pa.binary())], names=["doc_id", "start", "n_tokens", "tokens"]
                         )
@@ -261,6 +291,16 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return offsets.select("path", "offset").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, tokens binary")
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose sizes sum up to about most, of one place at least and 1,024 at most."""
+    sums, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = int(np.searchsorted(sums, (sums[a - 1] if a else 0) + most, "right"))
+        b = min(max(b, a + 1), a + 1024)
+        yield a, min(b, len(sizes))
+        a = b
+
+
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in folder and not folder.startswith("file:"):
         return pafs.LocalFileSystem(), folder
