@@ -2,24 +2,28 @@
 
 For every prefix of a text the last token of its encoding is unique. The table holds it: an automaton over the
 vocabulary finds the tokens that end at a position; the one that is compatible with the last token of the prefix before
-it (the pair encodes to itself) is that prefix's last token. Ids are then recovered from the end backwards.
+it (the pair encodes to itself) is that prefix's last token. Ids are then recovered from the end backwards. A batch of
+texts is reduced to its distinct words first; the table is made once for each.
 Vocabularies are only read. Text is taken as it is (identity normalisation), with a space before it.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from .common import bounded_batches
+from .common import bounded_batches, chunks, distinct_words, strung
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -28,7 +32,7 @@ DIGEST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("i
 
 
 class PieceBpe:
-    def __init__(self, model_file: str, cache_size: int = 200_000):
+    def __init__(self, model_file: str, cache_size: int = 150_000):
         sp = SentencePieceProcessor(model_file=model_file)
         self.pieces: dict[str, int] = {}
         self.score: dict[int, float] = {}
@@ -63,15 +67,17 @@ class PieceBpe:
             if whole == [i]:  # a piece that no merging reaches never ends a prefix
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        #: Neighbouring characters that no piece holds: no merge reaches over them.
-        self.joined = {x[k : k + 2] for x in self.pieces for k in range(len(x) - 1)}
-        self.shown = ["" if i in self.skipped else x.replace(SPACE, " ") for i, x in enumerate(self.texts)]
-        self.parts: dict[str, bytes] = {}
+        if any("\n" in x and len(x) > 1 for x in self.pieces):
+            raise ValueError("a model whose pieces do not reach over line ends is asked for")
+        self.digits = [b"%d," % i for i in range(len(self.texts))]
+        self.shown = [None if i in self.skipped or i in self.bytes_of else x.replace(SPACE, " ") for i, x in enumerate(self.texts)]
         self.pairs: dict[int, bool] = {}
+        self.id_bits = len(self.texts).bit_length()
         self.pair_limit = 500_000
         self.cache_size = cache_size
-        self.cache: dict[str, bytes] = {}
-        self.decoded: dict[bytes, str] = {}
+        #: Two generations of words: their ids as decimal numbers, each with a comma, and their text; a full one replaces the older.
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text by merging its best pair again and again, leftmost first; the base that the table rests on."""
@@ -132,28 +138,29 @@ class PieceBpe:
             return self.merge(text)  # runs of spaces have tied scores
         n = len(text)
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        pairs, compatible, chars = self.pairs, self.compatible, self.chars
+        pairs, chars, bits = self.pairs, self.chars, self.id_bits
         for end, (token, size) in self.automaton.iter(text):
             end += 1
             if last[end] != -1:
                 continue
             at = end - size
-            if not at:
-                last[end] = token
-                continue
-            prior = last[at]
-            if prior == -1:
-                if text[at - 1] in chars:
-                    continue
-                ok = True  # what is outside the vocabulary merges with nothing
-            else:
-                ok = pairs.get(key := prior << 20 | token)
-                if ok is None:
-                    if len(pairs) >= self.pair_limit:
-                        pairs.clear()
-                    ok = pairs[key] = compatible(prior, token)
-            if ok:
-                last[end], start[end] = token, at
+            if at:
+                prior = last[at]
+                if prior == -1:
+                    if text[at - 1] in chars:
+                        continue  # what is outside the vocabulary merges with nothing
+                else:
+                    key = prior << bits | token
+                    try:
+                        if not pairs[key]:
+                            continue
+                    except KeyError:
+                        if len(pairs) >= self.pair_limit:
+                            pairs.clear()
+                        ok = pairs[key] = self.compatible(prior, token)
+                        if not ok:
+                            continue
+            last[end], start[end] = token, at
         out: list[int] = []
         end = n
         while end:
@@ -166,47 +173,58 @@ class PieceBpe:
                 end = start[end]
         return out[::-1]
 
-    def _coded(self, chunk: str) -> bytes:
-        """A new chunk, cut where no piece can reach over; its parts occur in many chunks and are kept, too."""
-        cuts = [k + 1 for k, x in enumerate(zip(chunk, chunk[1:], strict=False)) if x[0] + x[1] not in self.joined]
-        out = []
-        for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True):
-            got = self.parts.get(part := chunk[a:b])
-            if got is None:
-                got = ",".join(map(str, self.encode_chunk(part))).encode()
-                if len(part) < 64:
-                    if len(self.parts) >= self.cache_size:
-                        self.parts = {}
-                    self.parts[part] = got
-            out.append(got)
-        coded = b",".join(out)
-        if len(chunk) < 64:
-            if len(self.cache) >= self.cache_size:
-                self.cache = {}
-            self.cache[chunk] = coded
-        return coded
+    def known(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids as decimal numbers, each with a comma; the text that they stand for) of each chunk.
+
+        A chunk's bytes form whole characters, so chunks decode one by one.
+        """
+        got = list(map(self.cache.get, chunks))
+        if None in got:
+            for k, x in enumerate(got):
+                if x is None:
+                    chunk = chunks[k]
+                    if (x := self.older.get(chunk)) is None:
+                        ids = self.encode_chunk(chunk)
+                        x = b"".join([self.digits[i] for i in ids]), self._text(ids).encode()
+                    got[k] = x
+                    if len(chunk) < 64:
+                        self.cache[chunk] = x
+            if len(self.cache) > self.cache_size:
+                self.cache, self.older = {}, self.cache
+        return got
 
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
         if "  " in text or text[0] == " " or SPACE in text:
             return CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + x for x in text.split(" ")]
-
-    def encode_digits(self, text: str) -> list[bytes]:
-        """Per chunk its ids as decimal numbers with commas."""
-        chunks = self.chunks(text)
-        out = list(map(self.cache.get, chunks))
-        if None in out:
-            out = [self._coded(c) if x is None else x for c, x in zip(chunks, out, strict=True)]
-        return out
+        return [x if x[:1] == "\n" else SPACE + x for x in text.replace("\n", " \n").split(" ")]
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for part in self.encode_digits(text) for x in part.split(b",")]
+        return [int(x) for part, _ in self.known(self.chunks(text)) for x in part[:-1].split(b",")]
+
+    def encode_decode_batch(self, texts: pa.Array) -> tuple[list[bytes | memoryview], list[bytes | memoryview]]:
+        """Of each text the ids as decimal numbers, each with a comma, and the text that they decode to. No nulls."""
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, SPACE), pc.equal(texts, "")))
+        words, index, edges = distinct_words(texts.filter(pc.invert(odd)))
+        values = self.known([w if w[:1] == "\n" else SPACE + w for w in words])
+        digits, shown = (iter(strung([v[k] for v in values], index, edges)) for k in (0, 1))
+        out: tuple[list, list] = ([], [])
+        for k, alone in enumerate(odd.to_pylist()):
+            if alone:
+                parts = self.known(self.chunks(texts[k].as_py()))
+                a, b = (b"".join([x[n] for x in parts]) for n in (0, 1))
+            else:
+                a, b = next(digits), next(shown)
+            out[0].append(a)
+            out[1].append(b[1:] if b[:1] == b" " else b)
+        return out
 
     def _text(self, ids: list[int]) -> str:
-        if self.bytes_of.keys().isdisjoint(ids) and self.skipped.isdisjoint(ids):
+        try:
             return "".join([self.shown[i] for i in ids])
+        except TypeError:  # there are ids without a text of their own
+            pass
         out: list[str] = []
         raw = bytearray()
         for i in [*ids, -1]:
@@ -226,18 +244,6 @@ class PieceBpe:
         text = self._text(ids)
         return text[1:] if text.startswith(" ") and ids and self.texts[ids[0]].startswith(SPACE) else text
 
-    def decode_digits(self, parts: list[bytes]) -> str:
-        """The text of encode_digits; a chunk's bytes form whole characters, so chunks decode one by one."""
-        out = list(map(self.decoded.get, parts))
-        if None in out:
-            if len(self.decoded) >= self.cache_size:
-                self.decoded = {}
-            for k, x in enumerate(out):
-                if x is None:
-                    out[k] = self.decoded[parts[k]] = self._text([int(i) for i in parts[k].split(b",")])
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
-
 
 def _utf8(raw: bytes) -> str:
     """Bytes that are not UTF-8 become one replacement character each."""
@@ -263,6 +269,7 @@ def loaded(model_file: str) -> PieceBpe:
     """One table for each worker process."""
     if model_file not in _LOADED:
         _LOADED[model_file] = PieceBpe(model_file)
+        gc.freeze()  # the tables stay; they need not be looked through again and again
     return _LOADED[model_file]
 
 
@@ -277,16 +284,15 @@ def encode_decode(docs: DataFrame, model_file: str, key: str = "doc_id", digest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(model_file)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                coded = [table.encode_digits(x or "") for x in part.column(1).to_pylist()]
-                texts = [table.decode_digits(x) for x in coded]
-                if digest:
-                    lines = [b",".join(x) for x in coded]
-                    columns = [pa.array([x.count(b",") + bool(x) for x in lines], pa.int64()), pa.array([sha(x) for x in lines]), pa.array([sha(x.encode()) for x in texts])]
-                else:
-                    columns = [pa.array([[int(i) for y in x for i in y.split(b",")] for x in coded], pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *columns], schema=schema)
+        for part in chunks(batches, 2 << 20):
+            texts = part["text"].combine_chunks()
+            digits, shown = table.encode_decode_batch(pc.fill_null(texts, ""))
+            if digest:
+                columns = [pa.array([bytes(x).count(b",") for x in digits], pa.int64()), pa.array([sha(x[:-1]) for x in digits]), pa.array([sha(x) for x in shown])]
+            else:
+                ids = [np.array(bytes(x[:-1]).split(b",") if len(x) else [], np.int32) for x in digits]
+                columns = [pa.array(ids, pa.list_(pa.int32())), pa.array([str(x, "utf-8") for x in shown], pa.string())]
+            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), *columns], schema=schema)
 
     out = "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
     return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, out)
