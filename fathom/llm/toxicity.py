@@ -7,10 +7,11 @@ each divided by a norm that depends on the length alone. Landmarks are units; th
 values with them, whitened; the machine is linear there. As all of this is linear in the features, a trained machine is
 one table with a weight for each three characters.
 
-Training is by sentences with the label of their document. All sentences of clean documents are clean; of a toxic
-document at least one is toxic, and in each round the sentence with the highest value stands for it. A sentence's value is
-that of its highest unit, a document's that of its highest sentence; a logistic curve fitted on documents that the machine
-was not fitted on turns it into a score.
+Training is by sentences with the label of their document. All sentences of clean documents are clean, but for words that
+toxic documents have far more often; of a toxic document at least one sentence is toxic, and in each round the one with the
+highest value stands for it. A sentence's value is that of its highest unit, as insults are single words that hide among
+clean ones; a document's is that of its highest sentence. A logistic curve over the values that each document got from a
+machine fitted without it turns values into scores.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, chunks, distinct_words
 
 SYMBOLS = 5  # bits for a character
 SPAN, DECAY = 6, 0.7
 LONGEST = 32  # longer units are judged in overlapping pieces
 SPELLED = re.compile(r"(?: \w[.,!?;:]?){3,}(?= |$)")
+MAYBE_SPELLED = r"(?:^|[ \n])\S[.,!?;:]?[ \n]\S[.,!?;:]?[ \n]\S[.,!?;:]?(?:[ \n]|$)"
 SENTENCE_END = re.compile(r"[.!?\n]+")
 SIGNS = re.compile(r"[\W_]+")
+LEAN, PRIOR, POWER = 2.3, 0.4, 0.3
 STEPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -59,9 +63,11 @@ def pieces(word: str) -> list[str]:
 def words(text: str) -> list[str]:
     """Lower-cased words; runs of at least three single letters follow as words of their own."""
     text = text.lower()
-    out = text.split()
-    out += [x.group() for x in SPELLED.finditer(" " + text.replace("\n", " "))]
-    return out
+    return text.split() + [x.group() for x in spelled(text)]
+
+
+def spelled(text: str) -> Iterator[re.Match[str]]:
+    return SPELLED.finditer(" " + text.replace("\n", " "))
 
 
 def features(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,6 +140,32 @@ class Model:
     def values(self, units: list[str]) -> np.ndarray:
         return weighed(units, self.table) + self.offset
 
+    def of_words(self, words: list[str], most: int, keep: bool = True) -> list[float]:
+        """The highest value of the pieces of each word, -inf without pieces."""
+        if not hasattr(self, "cache"):
+            self.cache, self.older = {}, {}
+        got = list(map(self.cache.get, words))
+        missing = []
+        for k in [k for k, x in enumerate(got) if x is None]:
+            if (x := self.older.get(words[k])) is None:
+                missing.append(k)
+            else:
+                got[k] = self.cache[words[k]] = x
+        parts = [pieces(words[k]) if not keep else [p for w in words[k].lower().split() for p in pieces(w)] for k in missing]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        values = np.r_[self.values([p for x in parts for p in x]), -np.inf]
+        best = np.full(len(parts), -np.inf)
+        if sizes.any():
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            best[sizes > 0] = np.maximum.reduceat(values[:-1], starts)
+        for k, x in zip(missing, best.tolist(), strict=True):
+            got[k] = x
+            if keep and len(words[k]) < 64:
+                self.cache[words[k]] = x
+        if len(self.cache) > most:
+            self.cache, self.older = {}, self.cache
+        return got
+
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
@@ -157,31 +189,38 @@ def logistic(value: np.ndarray, y: np.ndarray, stands: tuple[float, float] = (1.
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives: int = 20_000, rounds: int = 4, ridge: float = 1.0, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """A machine from labelled texts (text, toxic 0/1), given in an order that does not depend on the label.
+Sentences = list[list[str]]  # the distinct units of each sentence of a document
+
+
+def sentences_of(text: str | None, most: int = 1 << 62) -> Sentences:
+    """The units of each sentence; of a document with more than `most` the rest of the units is left out."""
+    out, left = [], most
+    for s in SENTENCE_END.split(text or ""):
+        units = list(dict.fromkeys(p for w in words(s) for p in pieces(w)))[:left]
+        left -= len(units)
+        if units:
+            out.append(units)
+    return out
+
+
+def machine(docs: list[tuple[Sentences, int]], landmarks: int = 192, negatives: int = 20_000, rounds: int = 6, ridge: float = 1.0) -> Model | None:
+    """A machine from labelled documents; its values are not scores yet. None without both labels.
 
     negatives bounds how many units of clean sentences a round weighs; those that the machine of the round before took for
-    toxic come first. stands: see logistic(). Without rows of both labels the score is the smoothed share of toxic rows for every text.
+    toxic come first.
     """
-    docs = []
-    for text, y in rows:
-        sentences = [list(dict.fromkeys(p for w in words(s) for p in pieces(w))) for s in SENTENCE_END.split(text or "")]
-        docs.append(([s for s in sentences if s], int(y)))
-    train = [d for k, d in enumerate(docs) if k % 3] if len(docs) >= 60 else docs
-    tune = [d for k, d in enumerate(docs) if not k % 3] if len(docs) >= 60 else docs
-    n1, n = sum(y for _, y in train), len(train)
-    t1 = sum(y for _, y in tune)
-    if not (0 < n1 < n and 0 < t1 < len(tune)):
-        seen1 = stands[1] * sum(y for _, y in docs)
-        share = (seen1 + 1) / (seen1 + stands[0] * sum(1 - y for _, y in docs) + 2)
-        return Model(np.zeros(1 << 3 * SYMBOLS, np.float32), 0.0, 1e-3, float(np.log(share / (1 - share))), 0.0)
-
+    n1, n = sum(y for _, y in docs), len(docs)
+    if not 0 < n1 < n:
+        return None
     clean: Counter[str] = Counter()
     toxic: Counter[str] = Counter()
-    for sentences, y in train:
+    for sentences, y in docs:
         (toxic if y else clean).update({u for s in sentences for u in s})
-    order = sorted(clean, key=lambda u: crc32(u.encode()))
-    new = sorted(set(toxic) - set(clean))  # no unit of a clean sentence is an insult
+    #: Log odds of a unit in toxic against clean documents. Most words are in both; those that toxic documents have much
+    #: more often may be insults, also where a clean document quotes one.
+    lean = {u: float(np.log((k + 0.5) / (n1 + 1)) - np.log((clean[u] + 0.5) / (n - n1 + 1))) for u, k in toxic.items()}
+    new = sorted(u for u, x in lean.items() if x > LEAN or u not in clean)
+    order = sorted(set(clean) - set(new), key=lambda u: crc32(u.encode()))
 
     # The first round: characters in a row that many more toxic than clean documents hold.
     rows_of: dict[str, np.ndarray] = {}
@@ -192,17 +231,18 @@ def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives:
         c = coded(units)
         rows_of |= zip(units, c[:, :-2] << 2 * SYMBOLS | c[:, 1:-1] << SYMBOLS | c[:, 2:], strict=True)
     seen = np.zeros((2, 1 << 3 * SYMBOLS))
-    for sentences, y in train:
+    for sentences, y in docs:
         if sentences:
             seen[y, np.concatenate([rows_of[u] for s in sentences for u in s])] += 1  # once for each document
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n - n1 + 1))
-    value = {u: float(odds[rows_of[u]].mean()) + 0.5 * float(np.log1p(toxic[u])) for u in new}
+    prior = {u: PRIOR * float(np.log(toxic[u])) for u in new}  # a unit that many toxic documents share is likelier meant
+    value = {u: float(odds[rows_of[u]].mean()) + prior[u] for u in new}
     del rows_of
     hard: list[str] = []
     model = None
     for _ in range(rounds):
         chosen: Counter[str] = Counter()
-        for sentences, y in train:
+        for sentences, y in docs:
             if y and (best := max(((value[u], u) for s in sentences for u in s if u in value), default=None)):
                 chosen[best[1]] += 1
         pos = list(chosen)
@@ -218,50 +258,67 @@ def fit(rows: Iterable[tuple[str | None, int]], landmarks: int = 192, negatives:
         units = pos + neg
         x = weighed(units, phi) @ white
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = np.r_[np.array([chosen[u] for u in pos], float) ** 0.5, np.ones(len(neg))]
+        weight = np.r_[np.array([chosen[u] for u in pos], float) ** POWER, np.ones(len(neg))]
         weight[: len(pos)] *= 0.5 * len(neg) / weight[: len(pos)].sum()
         w = squared_hinge(x, y, weight, ridge)
         model = Model((phi @ (white @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0, 0.0)
-        value = dict(zip(new, model.values(new), strict=True))
+        value = {u: v + prior[u] for u, v in zip(new, model.values(new).tolist(), strict=True)}
         all_clean = model.values(order)
         hard = [order[k] for k in np.argsort(-all_clean)[: negatives // 2] if all_clean[k] > -1]
-    tops = []
-    for sentences, _ in tune:
-        units = [u for s in sentences for u in s]
-        tops.append(float(model.values(units).max()) if units else np.nan)
-    tops = np.array(tops)
-    model.lowest = float(np.nanmin(tops))
-    tops = np.where(np.isnan(tops), model.lowest, tops)
-    model.slope, model.shift = logistic(tops, np.array([y for _, y in tune]), stands)
     return model
 
 
-_CACHE: dict[str, float] = {}
-_CACHE_OF: list[object] = [None]
-
-
-def document_values(texts: list[str | None], model: Model, mark: object, most: int = 100_000) -> np.ndarray:
-    """The highest value of any unit of each text; the lowest value known from training for a text without units."""
-    if _CACHE_OF[0] != mark or len(_CACHE) > most:
-        _CACHE.clear()
-        _CACHE_OF[0] = mark
-    out = np.full(len(texts), model.lowest)
-    own = [words(x) if x else [] for x in texts]
-    missing = [w for w in dict.fromkeys(w for x in own for w in x) if w not in _CACHE]
-    parts = [pieces(w) for w in missing]
-    values = iter(model.values([p for x in parts for p in x]).tolist())
-    got = {w: max([next(values) for _ in x], default=-np.inf) for w, x in zip(missing, parts, strict=True)}
-    known = _CACHE | got if len(_CACHE) < len(got) else _CACHE
-    if known is _CACHE:
-        _CACHE.update({w: v for w, v in got.items()})
-    for k, x in enumerate(own):
-        if x:
-            top = max(map(known.__getitem__, x))
-            if top > -np.inf:
-                out[k] = top
-    if known is not _CACHE:
-        _CACHE.update(got)
-    return out
+def tops(model: Model, docs: list[tuple[Sentences, int]]) -> np.ndarray:
+    """The highest value of any sentence of each document; NaN without units."""
+    flat = list(dict.fromkeys(u for sentences, _ in docs for s in sentences for u in s))
+    value = dict(zip(flat, model.values(flat).tolist(), strict=True))
+    return np.array([max((value[u] for s in sentences for u in s), default=np.nan) for sentences, _ in docs])
+
+
+def without(docs: list[tuple[Sentences, int]], fold: int, folds: int) -> tuple[Model | None, np.ndarray]:
+    """The machine of all documents outside a fold, and the fold's values (fold = folds: all documents, no values)."""
+    model = machine([d for k, d in enumerate(docs) if k % folds != fold])
+    held = docs[fold::folds] if fold < folds else []
+    return model, tops(model, held) if model and held else np.full(len(held), np.nan)
+
+
+def calibrated(parts: dict[int, tuple[Model | None, np.ndarray]], labels: list[int], stands: tuple[float, float]) -> Model:
+    """The machine of all documents, with the curve of the values that each document got from a machine without it.
+
+    Without both labels, or without values, the score is the smoothed share of toxic rows for every text.
+    """
+    folds = len(parts) - 1
+    y, value = np.array(labels, np.int64), np.full(len(labels), np.nan)
+    for k in range(folds):
+        value[k::folds] = parts[k][1]
+    model, seen = parts[folds][0], ~np.isnan(value)
+    if model is None or len(set(y[seen].tolist())) < 2:
+        share = (stands[1] * y.sum() + 1) / (stands[1] * y.sum() + stands[0] * (1 - y).sum() + 2)
+        return Model(np.zeros(1 << 3 * SYMBOLS, np.float32), 0.0, 1e-3, float(np.log(share / (1 - share))), 0.0)
+    model.lowest = float(np.nanmin(value))
+    model.slope, model.shift = logistic(np.where(seen, value, model.lowest), y, stands)
+    return model
+
+
+def fit(rows: Iterable[tuple[str | None, int]], folds: int = 3, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A machine from labelled texts (text, toxic 0/1), given in an order that does not depend on the label. stands: see logistic()."""
+    docs = [(sentences_of(text), int(y)) for text, y in rows]
+    return calibrated({k: without(docs, k, folds) for k in range(folds + 1)}, [y for _, y in docs], stands)
+
+
+def document_values(texts: pa.Array, model: Model, most: int = 100_000) -> np.ndarray:
+    """The highest value of any unit of each text; the lowest value known from training for a text without units.
+
+    The model keeps the values of the words that it has seen, in two generations of at most `most` words.
+    """
+    texts = pc.fill_null(texts, "")
+    found, index, edges = distinct_words(texts)
+    value = np.array(model.of_words(found, most), np.float64)
+    out = np.maximum.reduceat(value[index], edges[:-1]) if len(texts) else np.zeros(0)
+    runs = [(k, x.group()) for k in np.flatnonzero(pc.match_substring_regex(texts, MAYBE_SPELLED).to_numpy(zero_copy_only=False)) for x in spelled(texts[k].as_py().lower())]
+    if runs:
+        np.maximum.at(out, [k for k, _ in runs], model.of_words([x for _, x in runs], most, keep=False))
+    return np.where(out > -np.inf, out, model.lowest)
 
 
 def in_fold(doc_id: "F.Column", folds: int, held: int):
@@ -269,54 +326,73 @@ def in_fold(doc_id: "F.Column", folds: int, held: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == held, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 3000) -> Model:
+FITTED = "fold long, empty boolean, model binary, offset double, held array<double>, labels array<int>"
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 3000, max_units: int = 2000, tuning: int = 3) -> Model:
     """Fits on labelled documents outside the held-out fold: of each label at most max_rows, those with the least hashes of
-    their ids. The bound is a parameter; it keeps what the driver gathers independent of the corpus. Null labels and rows of
-    labels without a document are left out; of repeated labels of a document the highest counts. The curve of the score is
+    their ids, and of each document at most its first max_units distinct units in sentences. These bounds are parameters;
+    they keep the fit independent of the corpus. Null labels and rows of labels without a document are left out; of repeated
+    labels of a document the highest counts, of repeated documents the text that is last in order. The curve of the score is
     weighed to the labels' counts over all data outside the fold, so the bound does not move what a score means.
+
+    Texts are reduced to units where they are. The machines that the curve needs (one without each of `tuning` parts, one of
+    all) are fitted in one task each; the driver gets the finished tables.
     """
-    told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = {r.toxic: r["count"] for r in told.groupBy("toxic").count().collect()}
     ids = []
     for y in (0, 1):
         ids += [(r.doc_id, y) for r in told.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()]
     if not ids:
         return fit([])
+    taken = Counter(y for _, y in ids)
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").toArrow()  # max_rows bounds what is sent
-    table = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True), key=lambda r: (crc32(b"%d" % r[0]), r[0], r[1] or ""))
-    if len(ids) < 2 * max_rows and max(sum(y == k for _, y in ids) for k in (0, 1)) < max_rows:
-        return fit((text, y) for _, text, y in table)  # no bound bites
-    known = told.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id").groupBy("toxic").count()
-    true = {r.toxic: r["count"] for r in known.collect()}
-    taken = Counter(y for _, _, y in table)
-    stands = tuple(true[k] / taken[k] if taken[k] else 1.0 for k in (0, 1))
-    return fit(((text, y) for _, text, y in table), stands=stands)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is sent
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
+                sentences = [sentences_of(x, max_units) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sentences, pa.list_(pa.list_(pa.string())))], names=["doc_id", "toxic", "sentences"])
+
+    units = bounded_batches(rows).mapInArrow(reduce, "doc_id long, toxic int, sentences array<array<string>>")
+    parts = units.select("*", F.explode(F.array(*(F.lit(k).cast("long") for k in range(tuning + 1)))).alias("fold")).repartition(tuning + 1, "fold")
+
+    def one(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["sentences"].to_pylist(), strict=True), key=lambda r: (crc32(b"%d" % r[0]), r[0]))
+        fold = table["fold"][0].as_py()
+        model, values = without([(s, y) for _, y, s in rows], fold, tuning)
+        return pa.table({"fold": pa.array([fold], pa.int64()), "empty": pa.array([model is None], pa.bool_()), "model": pa.array([model.table.tobytes() if model else b""], pa.binary()), "offset": pa.array([model.offset if model else 0.0]), "held": pa.array([values], pa.list_(pa.float64())), "labels": pa.array([[y for _, y, _ in rows]], pa.list_(pa.int32()))})
+
+    got = parts.groupBy("fold").applyInArrow(one, FITTED).collect()
+    if not got:
+        return fit([])
+    models = {r.fold: (None if r.empty else Model(np.frombuffer(bytes(r.model), np.float32), r.offset, 1.0, 0.0, 0.0), np.array(r.held, np.float64)) for r in got}
+    return calibrated(models, list(got[0].labels), tuple(known[k] / taken[k] if taken[k] else 1.0 for k in (0, 1)))
 
 
 def scored(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """doc_id, score, predicted (1 if score >= limit) of every row. Null texts count as empty; empty texts get the score of
     the lowest value. Ids may be null or repeated; each row is scored by its text alone. No shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    mark = f"{docs.sparkSession.sparkContext.applicationId}-{id(sent)}"
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # one table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                score = sent.value.score(document_values(part.column(1).to_pylist(), sent.value, mark))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= limit).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for part in chunks(batches, 2 << 20):
+            score = sent.value.score(document_values(part["text"].combine_chunks(), sent.value))
+            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(score), pa.array((score >= limit).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is below the limit, with all their columns."""
+    """The rows of docs whose score is below the limit, with all their columns; otherwise as scored()."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    mark = f"{docs.sparkSession.sparkContext.applicationId}-{id(sent)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                score = sent.value.score(document_values(part.column("text").to_pylist(), sent.value, mark))
-                yield part.filter(pa.array(score < limit))
+        for part in chunks(batches, 2 << 20):
+            score = sent.value.score(document_values(part["text"].combine_chunks(), sent.value))
+            yield from part.filter(pa.array(score < limit)).to_batches()
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -158,6 +158,63 @@ def test_toxicity_learns_gapped_insults(spark):
     assert toxicity.words("you b l o r k ok")[-1].replace(" ", "") == "blork"
 
 
+def test_toxicity_models_do_not_mix(spark):
+    """Two models used in turn in one session, with workers that live on, keep giving their own scores."""
+    docs = spark.createDataFrame([(k, f"alpha{k} beta gamma delta") for k in range(40)], "doc_id long, text string")
+    r = np.random.default_rng(2)
+    models = [toxicity.Model(r.normal(size=1 << 3 * toxicity.SYMBOLS).astype(np.float32), 0.0, 1.0, 0.0, 0.0) for _ in range(2)]
+    want = [sorted((x.doc_id, x.score) for x in toxicity.scored(docs, m).collect()) for m in models]
+    assert want[0] != want[1]
+    for k in range(12):
+        assert sorted((x.doc_id, x.score) for x in toxicity.scored(docs, models[k % 2]).collect()) == want[k % 2]
+
+
+def test_string_kernel_equals_a_naive_one():
+    """Inner products of features are the gapped subsequence kernel, counted triple by triple."""
+    units = ["idiot", "idixot", "aa", "b", "moron", "mor0n", "xxidiotxx", "é-ß"]
+
+    def naive(a, b):
+        def triples(x):
+            x = [0, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5 for c in x), 0]
+            return [((x[i], x[j], x[k]), toxicity.DECAY ** (k - i + 1)) for i in range(len(x)) for j in range(i + 1, len(x)) for k in range(j + 1, min(len(x), i + toxicity.SPAN))]
+
+        norm = lambda x: sum(w * w for _, w in triples(x)) ** 0.5
+        return sum(w * v for t, w in triples(a) for u, v in triples(b) if t == u) / (norm(a) * norm(b))
+
+    table = toxicity.dense(units)
+    got = toxicity.weighed(units, table)
+    assert np.allclose(got, [[naive(a, b) for b in units] for a in units], atol=1e-5)
+    assert naive("idiot", "idixot") > 3 * naive("moron", "idiot")
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """About a twelfth of the toxic labels stand on documents without a word that other toxic documents share."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.scored(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.in_fold("doc_id", 3, 1)).collect()
+    caught = sum(r.predicted for r in rows if r.toxic)
+    assert caught >= 0.8 * sum(r.toxic for r in rows) and caught >= 0.85 * sum(r.predicted for r in rows)
+
+
+def test_toxicity_of_odd_texts(spark):
+    """One value for each text, whatever it is: empty, null, signs only, very long, spelled out over lines."""
+    table = np.zeros(1 << 3 * toxicity.SYMBOLS, np.float32)
+    for _, keys, w in toxicity.features(["idiot"]):
+        table[keys[0]] += w.astype(np.float32)
+    model = toxicity.Model(table, 0.0, 1.0, 0.0, -3.0)
+    texts = ["you idiot", "IDIOT.\nx", "i d i o t", "i\nd i\no t", "i.d.i.o.t", "a\tidiot b", "x " * 200_000 + "idiot", "--- !!", "", None, "\n\n"]
+    import pyarrow as pa
+
+    got = toxicity.document_values(pa.array(texts), model)
+    assert (got[:7] > 0.9).all() and (got[7:] == -3.0).all()
+    whole = [max((float(model.values([p])[0]) for w in toxicity.words(t or "") for p in toxicity.pieces(w)), default=-3.0) for t in texts]
+    assert np.allclose(got, whole)
+    docs = spark.createDataFrame([(1, "x", "a"), (None, None, "b")], "doc_id long, text string, score string")
+    assert [tuple(r) for r in toxicity.keep_clean(docs, model, 2.0).collect()] == [(1, "x", "a"), (None, None, "b")]
+    assert toxicity.scored(docs.limit(0), model).count() == 0 and toxicity.keep_clean(docs.limit(0), model).count() == 0
+
+
 def test_toxicity_bound_keeps_the_rate(spark):
     """Words that a tenth of their documents' labels call toxic score about a tenth, however few rows the bound leaves."""
     r = random.Random(8)
