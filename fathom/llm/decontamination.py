@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from .common import bounded_batches, chunks, written
 #: A-Z to a-z; digits, letters and all bytes of non-ASCII characters stay; the rest separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SHARD_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20  # of test items, about 100 MB in the driver and in each worker
 MATCH = "doc_id long, doc_start long, n_words long, item_id string, item_start long"
 
 
@@ -31,31 +33,48 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """The windows of one block of test items, ready for searching: each item's suffixes cut at `window` words."""
+    """The windows of one block of test items, ready for searching: each item's suffixes cut at `window` words.
+
+    low: the sorted distinct windows as keys; a window's places are edges[k]:edges[k + 1] of item and start.
+    """
 
     __test__ = False  # not a test class
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[tuple[str, int]]] = {}
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for a in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[a : a + window]), set()).add((item_id, a))
-        self.windows = sorted(found)
-        self.places = [sorted(found[w]) for w in self.windows]
-        self.item_sets = [frozenset(x[0] for x in p) for p in self.places]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest, self.longest = (int(self.lengths.min()), int(self.lengths.max())) if len(self.windows) else (1, 1)
+        self.names = [x for x, _ in items]
+        get = self.vocabulary.setdefault
+        texts = [np.array([get(w, len(self.vocabulary) + 1) for w in words(text)], np.int32) for _, text in items]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        count = np.where(sizes > 0, np.maximum(sizes - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), count)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        lengths = np.minimum(sizes, window)[item]
         self.bits = max(1, len(self.vocabulary).bit_length())
         self.per_key = 62 // self.bits
-        padded = np.zeros((len(self.windows), self.longest), np.int64)
-        full = np.zeros_like(padded)
-        for k, w in enumerate(self.windows):
-            padded[k, : len(w)] = w
-            full[k, : len(w)] = w
-            full[k, len(w) :] = (1 << self.bits) - 1
-        self.low, self.high = self.keys(padded), self.keys(full)
+        self.shortest, self.longest = (int(lengths.min()), int(lengths.max())) if len(item) else (1, 1)
+        flat = np.concatenate([*texts, np.zeros(window, np.int32)])
+        rows = np.lib.stride_tricks.sliding_window_view(flat, self.longest)[(np.cumsum(sizes) - sizes)[item] + start]
+        low = self.keys(np.where(np.arange(self.longest) < lengths[:, None], rows, 0))
+        order = np.lexsort(low[::-1]) if len(item) else np.zeros(0, np.int64)
+        new = np.zeros(len(order), bool)
+        for key in low:
+            new[1:] |= key[order[1:]] != key[order[:-1]]
+        new[:1] = True
+        heads = np.flatnonzero(new)
+        self.low, self.lengths = [key[order[heads]] for key in low], lengths[order[heads]]
+        self.item, self.start, self.edges = item[order].astype(np.int32), start[order].astype(np.int32), np.r_[heads, len(order)]
+
+    @cached_property
+    def high(self) -> list[np.ndarray]:
+        """As low, with the greatest word in the places behind shorter windows."""
+        full = np.where(np.arange(self.longest) < self.lengths[:, None], 0, (1 << self.bits) - 1)
+        return [a | b for a, b in zip(self.low, self.keys(full), strict=True)]
+
+    def names_of(self, windows: np.ndarray) -> list[str]:
+        """The items that hold any of some windows."""
+        found = {int(i) for w in np.unique(windows) for i in np.unique(self.item[self.edges[w] : self.edges[w + 1]])}
+        return sorted({self.names[i] for i in found})
 
     def keys(self, rows: np.ndarray) -> list[np.ndarray]:
         """Each row's words packed into a few integers that compare as the words do."""
@@ -63,7 +82,7 @@ class TestSuffixes:
         for a in range(0, rows.shape[1], self.per_key):
             key = np.zeros(len(rows), np.int64)
             for b in range(a, a + self.per_key):
-                key = key << self.bits | (rows[:, b] if b < rows.shape[1] else 0)
+                key = key << self.bits | (rows[:, b].astype(np.int64) if b < rows.shape[1] else 0)
             out.append(key)
         return out
 
@@ -98,7 +117,7 @@ class Shard:
 
     def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
         """(window, position) of every occurrence of every test window in the shard."""
-        if not len(self.suffixes) or not len(self.tests.windows):
+        if not len(self.suffixes) or not len(self.tests.lengths):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lo, hi = self._bound(self.tests.low, False), self._bound(self.tests.high, True)
         n = hi - lo
@@ -143,14 +162,13 @@ def judged(texts: list[bytes | None], tests: TestSuffixes) -> list[tuple[int, np
             out.append((int(size), at[:0], at[:0], []))
             continue
         part = slice(edges[k], edges[k + 1])
-        items = set().union(*{tests.item_sets[w] for w in np.unique(window[part])})
-        out.append((int(size), at[part], tests.lengths[window[part]], sorted(items)))
+        out.append((int(size), at[part], tests.lengths[window[part]], tests.names_of(window[part])))
     return out
 
 
 def maximal(doc: np.ndarray, window: np.ndarray, at: np.ndarray, tests: TestSuffixes) -> list[tuple[int, int, int, str, int]]:
     """Longest verbatim matches (document, place, words, item, place in the item), from the occurrences of windows."""
-    rows = sorted((int(d), item, int(p) - a, int(p), a, int(tests.lengths[w])) for d, w, p in zip(doc, window, at, strict=True) for item, a in tests.places[w])
+    rows = sorted((int(d), int(tests.item[x]), int(p) - int(tests.start[x]), int(p), int(tests.start[x]), int(tests.lengths[w])) for d, w, p in zip(doc, window, at, strict=True) for x in range(tests.edges[w], tests.edges[w + 1]))
     out: list[list] = []
     for d, item, shift, p, a, length in rows:
         last = out[-1] if out else None
@@ -158,7 +176,7 @@ def maximal(doc: np.ndarray, window: np.ndarray, at: np.ndarray, tests: TestSuff
             last[5] = max(last[5], p + length - last[3])
         else:
             out.append([d, item, shift, p, a, length])
-    return [(d, p, length, item, a) for d, item, _, p, a, length in out]
+    return [(d, p, length, tests.names[item], a) for d, item, _, p, a, length in out]
 
 
 def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[TestSuffixes]:
@@ -176,7 +194,7 @@ def _texts(table: pa.Table, name: str = "text") -> list[bytes | None]:
     return (pc.cast(column, pa.large_binary()) if pa.types.is_large_string(column.type) else pc.cast(column, pa.binary())).to_pylist()
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, doc_start, n_words, item_id, item_start: the longest verbatim matches of at least a window.
 
     Starts count words from 0. An item of fewer words than a window must match as a whole. Null texts have no words. A
@@ -212,19 +230,45 @@ def _digest(ids: list, rows: list[tuple[int, np.ndarray, np.ndarray, list[str]]]
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 32 << 20) -> DataFrame:
-    """Per row of docs: n_words, n_hit (words inside a match), n_items, items_sha256, contaminated (share * n_hit >= n_words > 0).
+def _spans(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """rows (row, text) to row, n_words, at, n, items: the spans of all occurrences (starts and lengths) and the items.
 
-    Null and empty texts have no words and are clean. Null doc_ids and repeated rows are judged row by row. Items with a
-    null id count as one item with an empty id. No shuffle, unless the benchmark needs more than one block.
+    Each block of items is one pass over the rows; its finds are written at once, so one block at a time is in memory.
     """
+    spans = None
+    for tests in blocks_of(benchmark, window, block_bytes):
+        sent = rows.sparkSession.sparkContext.broadcast(tests)
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for shard in chunks(batches, SHARD_BYTES):
+                got = judged(_texts(shard), sent.value)
+                hit = pa.array([len(x[1]) > 0 for x in got])
+                columns = {"n_words": pa.array([x[0] for x in got], pa.int64()), "at": pa.array([x[1] for x in got], pa.list_(pa.int64())), "n": pa.array([x[2] for x in got], pa.list_(pa.int64())), "items": pa.array([x[3] for x in got], pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict({"row": shard["row"].combine_chunks()} | columns).filter(hit)
+
+        part = written(rows.mapInArrow(find, "row long, n_words long, at array<long>, n array<long>, items array<string>"))
+        sent.destroy()
+        spans = part if spans is None else spans.unionByName(part)
+    return spans.groupBy("row").agg(F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("at", "n", "items")))
+
+
+def _in_one_block(benchmark: DataFrame, window: int, block_bytes: int) -> TestSuffixes | None:
     blocks = blocks_of(benchmark, window, block_bytes)
     first = next(blocks)
-    second = next(blocks, None)
-    spark = docs.sparkSession
+    return first if next(blocks, None) is None else None
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: n_words, n_hit (words inside a match), n_items, items_sha256, contaminated (share * n_hit >= n_words > 0).
+
+    Null and empty texts have no words and are clean. Null doc_ids and repeated rows are judged row by row. Items with a
+    null id count as one item with an empty id. A benchmark of one block needs no shuffle; beyond that the rows are numbered
+    and the finds of all blocks are put together by row, with the same results.
+    """
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if second is None:
-        sent = spark.sparkContext.broadcast(first)
+    tests = _in_one_block(benchmark, window, block_bytes)
+    if tests is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(tests)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard in chunks(batches, SHARD_BYTES):
@@ -232,46 +276,44 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
         return rows.mapInArrow(run, DIGEST)
     numbered = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    spans = None
-    for tests in chain([first, second], blocks):
-        sent = spark.sparkContext.broadcast(tests)
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for shard in chunks(batches, SHARD_BYTES):
-                got = judged(_texts(shard), sent.value)
-                yield pa.RecordBatch.from_pydict({"row": shard["row"].combine_chunks(), "doc_id": shard["doc_id"].combine_chunks(), "n_words": [x[0] for x in got], "at": pa.array([x[1] for x in got], pa.list_(pa.int64())), "n": pa.array([x[2] for x in got], pa.list_(pa.int64())), "items": pa.array([x[3] for x in got], pa.list_(pa.string()))})
-
-        part = written(numbered.mapInArrow(find, "row long, doc_id long, n_words long, at array<long>, n array<long>, items array<string>"))
-        sent.destroy()
-        spans = part if spans is None else spans.unionByName(part)
-    merged = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("at", "n", "items")))
+    joined = numbered.join(_spans(numbered.select("row", "text"), benchmark, window, block_bytes).drop("n_words"), "row", "left")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             d = x.to_pydict()
-            yield _digest(d["doc_id"], [(s, np.array(a, np.int64), np.array(n, np.int64), sorted(set(i))) for s, a, n, i in zip(d["n_words"], d["at"], d["n"], d["items"], strict=True)], share)
+            found = [(len(words(t.encode()) if t else []), np.array(a or [], np.int64), np.array(n or [], np.int64), sorted(set(i or []))) for t, a, n, i in zip(d["text"], d["at"], d["n"], d["items"], strict=True)]
+            yield _digest(d["doc_id"], found, share)
 
-    return merged.select("doc_id", "n_words", "at", "n", "items").mapInArrow(join, DIGEST)
+    return joined.select("doc_id", "text", "at", "n", "items").mapInArrow(join, DIGEST)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns, judged row by row as in report().
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns, judged row by row as in report(), however many
+    blocks the benchmark has."""
 
-    With a benchmark of more than one block, rows that share a doc_id go together.
-    """
-    blocks = blocks_of(benchmark, window, block_bytes)
-    first = next(blocks)
-    if next(blocks, None) is None:
-        sent = docs.sparkSession.sparkContext.broadcast(first)
+    def clean(found: tuple[int, np.ndarray, np.ndarray]) -> bool:
+        size, at, n = found[:3]
+        hit = covered(at, n, size)
+        return not (hit > 0 and share * hit >= size)
+
+    tests = _in_one_block(benchmark, window, block_bytes)
+    if tests is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(tests)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard in chunks(batches, SHARD_BYTES):
-                keep = []
-                for size, at, n, _ in judged(_texts(shard), sent.value):
-                    hit = covered(at, n, size)
-                    keep.append(not (hit > 0 and share * hit >= size))
-                yield from shard.filter(pa.array(keep, pa.bool_())).to_batches()
+                yield from shard.filter(pa.array([clean(x) for x in judged(_texts(shard), sent.value)], pa.bool_())).to_batches()
 
         return bounded_batches(docs).mapInArrow(run, docs.schema)
-    dirty = report(docs, benchmark, window, share, block_bytes).where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    # Own names, so that no column of docs clashes.
+    numbered = written(bounded_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")))
+
+    def dirty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            d = x.to_pydict()
+            gone = [not clean((s, np.array(a, np.int64), np.array(n, np.int64))) for s, a, n in zip(d["n_words"], d["at"], d["n"], strict=True)]
+            yield x.select(["row"]).filter(pa.array(gone, pa.bool_()))
+
+    spans = _spans(numbered.select("row", F.col("doc.text").alias("text")), benchmark, window, block_bytes)
+    gone = spans.select("row", "n_words", "at", "n").mapInArrow(dirty, "row long")
+    return numbered.join(gone, "row", "left_anti").select("doc.*")
