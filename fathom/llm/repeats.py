@@ -1,14 +1,16 @@
 """Routing of repeated windows: what substring and suffix-array dedup share.
 
-A window is a fixed number of symbols (words or bytes) in a row. The corpus is dealt to shards of bounded size by document.
+A window is a fixed number of symbols (words or bytes) in a row. The corpus is dealt to shards of bounded size.
 
-0. Texts are cut into chunks where the content says so. A chunk, with all of the windows that begin in it, is known by a
-   hash of 128 bits. Long repeats are settled here; of equal chunks only the first takes part in what follows.
-1. Each window has an anchor: the least hash among its short grams. Equal windows have equal anchors wherever they stand;
-   neighbours mostly share one, so a chunk falls into runs of windows with one anchor. Each shard sends its distinct anchors,
-   packed, to buckets by hash; a bucket tells each shard which of its anchors others hold, too.
+1. A shard cuts its texts into chunks where the content says so. A chunk, with all of the windows that begin in it, is known
+   by a cryptographic digest of 128 bits. Each window also has an anchor: the least hash among its short grams. Equal windows
+   have equal anchors wherever they stand; neighbours mostly share one, so a chunk falls into runs of windows with one anchor.
+   Digests and anchors go, packed, to buckets by hash. A bucket settles equal chunks (long repeats; only the first takes
+   part in what follows) and tells each shard which of its anchors others hold, too, and which are hot.
 2. Each shard sends the runs of these anchors, once for each distinct content, with the text that their windows span. All
-   runs of an anchor meet in one task, which judges their windows (the operators differ here).
+   runs of an anchor meet in one task, which judges their windows (the operators differ here). The windows of a hot anchor
+   are sent one by one and meet by the hash of the whole window, so a phrase that a third of all documents hold in different
+   surroundings is spread over all tasks.
 3. Each shard takes the judgements back and applies them to its documents.
 
 The documents are shuffled once: all steps read the same exchange. Copies are reduced to one row for each shard and content
@@ -17,12 +19,14 @@ before anything is shuffled, so a passage in a third of all documents sends at m
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,8 @@ from .common import bounded_batches
 BASE = 0x9E3779B97F4A7C15 | 1
 SEGMENT = 1 << 18  # windows worked on at once
 ANCHOR_BYTES = 6
-SETTLED, HOLDER = 1, 2
+SETTLED, OPEN = 1, 2
+HOT_RUNS, HOT_A_SHARD = 10_000, 2  # an anchor with more runs than both (the second for each shard) is hot
 
 
 class Powers:
@@ -107,7 +112,7 @@ class Chunks:
     count: np.ndarray
 
 
-def cut_up(docs: list[np.ndarray], window: int, gram: int, chunk_bits: int, want_runs: bool = True, want_doubled: bool = False) -> tuple[Chunks, Runs | None]:
+def cut_up(docs: list[np.ndarray], window: int, gram: int, chunk_bits: int, want_doubled: bool = False) -> tuple[Chunks, Runs]:
     """Chunks and runs of all windows of the documents' symbols (64-bit, spread evenly). Long documents are worked on in
     segments; a segment's begin is a cut, too, which does no harm."""
     out_chunks: list[tuple] = []
@@ -138,22 +143,21 @@ def cut_up(docs: list[np.ndarray], window: int, gram: int, chunk_bits: int, want
 
         heads, count = stretches(cut)
         out_chunks.append((number[piece[heads]], place[heads] + origin[piece[heads]], count))
-        if want_runs:
-            wide = window - gram + 1
-            least = sliding_min(h, wide)
-            new = cut.copy()
-            new[1:] |= valid[1:] & (least[1:] != least[:-1])
-            runs, count = stretches(new)
-            doubled = np.zeros(len(runs), bool)
-            if want_doubled:  # the gram's places in the run: those of its windows' grams that equal the anchor
-                run = np.repeat(np.arange(len(runs)), count)
-                inside = np.flatnonzero(valid)
-                hits = np.bincount(run[h[inside] == least[inside]], minlength=len(runs)).astype(np.int64)
-                tail = runs + count
-                for k in range(wide - 1):
-                    hits += h[np.minimum(tail + k, len(h) - 1)] == least[runs]
-                doubled = hits > 1
-            out_runs.append((number[piece[runs]], place[runs] + origin[piece[runs]], count, least[runs], doubled, np.searchsorted(heads, runs, "right") - 1 + chunks_before))
+        wide = window - gram + 1
+        least = sliding_min(h, wide)
+        new = cut.copy()
+        new[1:] |= valid[1:] & (least[1:] != least[:-1])
+        runs, count = stretches(new)
+        doubled = np.zeros(len(runs), bool)
+        if want_doubled:  # the gram's places in the run: those of its windows' grams that equal the anchor
+            run = np.repeat(np.arange(len(runs)), count)
+            inside = np.flatnonzero(valid)
+            hits = np.bincount(run[h[inside] == least[inside]], minlength=len(runs)).astype(np.int64)
+            tail = runs + count
+            for k in range(wide - 1):
+                hits += h[np.minimum(tail + k, len(h) - 1)] == least[runs]
+            doubled = hits > 1
+        out_runs.append((number[piece[runs]], place[runs] + origin[piece[runs]], count, least[runs], doubled, np.searchsorted(heads, runs, "right") - 1 + chunks_before))
         chunks_before += len(heads)
         group, size = [], 0
 
@@ -166,8 +170,6 @@ def cut_up(docs: list[np.ndarray], window: int, gram: int, chunk_bits: int, want
     flush()
     none = np.zeros(0, np.int64)
     chunks = Chunks(*(np.concatenate(x) for x in zip(*out_chunks, strict=True))) if out_chunks else Chunks(none, none, none)
-    if not want_runs:
-        return chunks, None
     return chunks, Runs(*(np.concatenate(x) for x in zip(*out_runs, strict=True))) if out_runs else Runs(none, none, none, none.astype(np.uint64), none.astype(bool), none)
 
 
@@ -209,147 +211,178 @@ class Kind:
 LAST = 2**63 - 1  # stands for a null id
 
 
-class Shard:
-    """The documents of a shard, cut up; told: what buckets have said about its chunks (None in the first step)."""
+TOLD = "shard long, anchor long, content long, flags binary"
+CHUNK_FLAGS, SHARED, HOT = -1, -2, -3  # what a row of TOLD holds, instead of an anchor
 
-    def __init__(self, table: pa.Table, kind: Kind, told: pa.Table | None = None, runs: bool = True, doubled: bool = False):
-        self.shard = table["shard"][0].as_py()
-        self.ids = [LAST if x is None else x for x in table["doc_id"].to_pylist()]
-        self.units = [kind.units(x or b"") for x in table["text"].to_pylist()]
-        self.kind = kind
-        self.chunks, self.runs = cut_up([kind.symbols(u) for u in self.units], kind.window, kind.gram, kind.chunk_bits, runs, doubled)
-        c = self.chunks
-        self.known: dict[bytes, list[int]] = {}  # least document, times, first place
-        self.hashes = []
-        for k, (d, a, n) in enumerate(zip(c.doc.tolist(), c.start.tolist(), c.count.tolist(), strict=True)):
-            h = xxhash.xxh3_128_digest(kind.span(self.units[d], a, n + kind.window - 1))
-            self.hashes.append(h)
-            entry = self.known.setdefault(h, [self.ids[d], 0, k])
-            entry[0] = min(entry[0], self.ids[d])
-            entry[1] += 1
-        if told is not None:
-            self._settle({b: f for b, f in zip(told["anchor"].to_pylist(), told["flags"].to_pylist(), strict=True) if b < 0})
-
-    def by_bucket(self, buckets: int) -> dict[int, list[bytes]]:
-        out: dict[int, list[bytes]] = {}
-        for h in sorted(self.known):
-            out.setdefault(int.from_bytes(h[:4], "big") % buckets, []).append(h)
-        return out
-
-    def _settle(self, flags: dict[int, bytes]) -> None:
-        """settled: the chunk's windows all go; open: they take part in the steps that follow."""
-        buckets = int.from_bytes(flags[min(flags)][:4], "big") if flags else 1  # see _chunk_answers
-        said = {h: f for b, hs in self.by_bucket(buckets).items() for h, f in zip(hs, flags[-b - 1][4:], strict=True)}
-        c = self.chunks
-        self.settled, self.open = np.zeros(len(self.hashes), bool), np.ones(len(self.hashes), bool)
-        for k, (h, d) in enumerate(zip(self.hashes, c.doc.tolist(), strict=True)):
-            if self.kind.within:
-                self.settled[k] = bool(said[h] & SETTLED)
-                self.open[k] = not said[h] & SETTLED or (bool(said[h] & HOLDER) and self.known[h][2] == k)
-            else:
-                self.settled[k] = self.ids[d] > self.known[h][0] or bool(said[h] & SETTLED)
-                self.open[k] = not self.settled[k]
-        if self.runs is not None:
-            self.at = np.flatnonzero(self.open[self.runs.chunk]) if len(self.hashes) else np.zeros(0, np.int64)
 
+def told_rows(shards: list[int], kind: int, flags: list[bytes]) -> pa.Table:
+    n = len(shards)
+    return pa.table({"shard": pa.array(shards, pa.int64()), "anchor": pa.array(np.full(n, kind, np.int64)), "content": pa.array(np.zeros(n, np.int64)), "flags": pa.array(flags, pa.binary())})
 
-TOLD = "shard long, anchor long, content long, flags binary"
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A shard's rows in the order that all steps count them in; rows come in any order. Rows that tie are alike."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
 
-def _chunk_offers(kind: Kind, buckets: int):
-    """Step 0: hashes of the shard's distinct chunks with their least document and whether they occur twice."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard = Shard(table, kind, runs=False)
-        rows = []
-        for b, hs in shard.by_bucket(buckets).items():
-            entries = [shard.known[h] for h in hs]
-            rows.append((b, shard.shard, b"".join(hs), np.array([e[0] for e in entries], "<i8").tobytes(), bytes(min(e[1], 2) for e in entries)))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), **{c: pa.array([r[k + 2] for r in rows], pa.binary()) for k, c in enumerate(("hashes", "least", "times"))}})
+class Shard:
+    """The documents of a shard (rows in_order), cut up. told: what buckets have said about its chunks and anchors (None in the first step)."""
 
-    return run
+    def __init__(self, table: pa.Table, kind: Kind, told: pa.Table | None = None):
+        self.shard, self.kind = table["shard"][0].as_py(), kind
+        self.ids = np.array([LAST if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
+        self.units = [kind.units(x or b"") for x in table["text"].to_pylist()]
+        self.chunks, self.runs = cut_up([kind.symbols(u) for u in self.units], kind.window, kind.gram, kind.chunk_bits, want_doubled=kind.within and told is None)
+        if told is None:
+            return
+        flags, kinds = told["flags"].to_pylist(), told["anchor"].to_numpy()
+        said = [np.frombuffer(flags[k], np.uint8).reshape(-1, 5) for k in np.flatnonzero(kinds == CHUNK_FLAGS)]
+        rows = np.concatenate([np.zeros((0, 5), np.uint8), *said])
+        got = np.zeros(len(self.chunks.doc), np.uint8)
+        got[np.ascontiguousarray(rows[:, :4]).view("<u4").ravel()] = rows[:, 4]
+        self.settled = np.flatnonzero(got & SETTLED)
+        keys = key_of(self.runs.anchor)
+        shared, hot = (np.concatenate([np.zeros(0, np.uint64), *(unpacked(flags[k]) for k in np.flatnonzero(kinds == x))]) for x in (SHARED, HOT))
+        at = np.flatnonzero(got[self.runs.chunk] & OPEN) if len(got) else np.zeros(0, np.int64)
+        self.at = at[np.isin(keys[at], shared)]
+        self.keys, self.is_hot = keys[self.at], np.isin(keys[self.at], hot)
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The runs that take part, windows of hot anchors each for itself: document, first window, number, key, content."""
+        r, window, span = self.runs, self.kind.window, self.kind.span
+        cold, hot = self.at[~self.is_hot], self.at[self.is_hot]
+        n = r.count[hot]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        doc = np.r_[r.doc[cold], np.repeat(r.doc[hot], n)]
+        start = np.r_[r.start[cold], np.repeat(r.start[hot], n) + inside]
+        count = np.r_[r.count[cold], np.ones(len(inside), np.int64)]
+        content = [span(self.units[d], a, k + window - 1) for d, a, k in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)]
+        own = np.fromiter((xxhash.xxh64_intdigest(x) for x in content[len(cold) :]), np.uint64, len(inside))
+        return doc, start, count, np.r_[self.keys[~self.is_hot], key_of(own)], content
+
+    def numbered(self) -> tuple[tuple[np.ndarray, ...], np.ndarray, list[int]]:
+        """spread(), for each of its rows the number of its key and content among the distinct ones (in the order of their
+        first rows, the same in each step), and the place of the first row of each number."""
+        rows = self.spread()
+        found: dict[tuple[int, bytes], int] = {}
+        number = np.fromiter((found.setdefault(x, len(found)) for x in zip(rows[3].tolist(), rows[4], strict=True)), np.int64, len(rows[4]))
+        first = np.full(len(found), len(number), np.int64)
+        np.minimum.at(first, number, np.arange(len(number)))
+        return rows, number, first.tolist()
+
+
+OFFER = "bucket long, shard long, digests binary, ids binary, places binary, alone binary, several binary, counts binary"
 
 
-def _chunk_answers(kind: Kind, buckets: int):
-    """Step 0, in a bucket: for each chunk of each shard whether it is settled, and whether the shard holds the first one."""
+def _offers(kind: Kind, buckets: int):
+    """Step 1: the shard's chunks (digest, document, place) and its distinct anchors, packed by bucket; anchors of several
+    runs come apart, with the number of runs (to 255)."""
 
     def run(table: pa.Table) -> pa.Table:
-        shards, hashes = table["shard"].to_pylist(), table["hashes"].to_pylist()
-        sizes = np.array([len(x) // 16 for x in hashes])
-        words = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
-        least, times = np.frombuffer(b"".join(table["least"].to_pylist()), "<i8"), np.frombuffer(b"".join(table["times"].to_pylist()), np.uint8).astype(np.int64)
-        owner = np.repeat(np.array(shards), sizes)
-        order = np.lexsort((owner, words[:, 1], words[:, 0]))
-        w = words[order]
-        heads = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]).any(axis=1)])
-        n = np.diff(np.r_[heads, len(w)])
-        flags = np.zeros(len(w), np.uint8)
+        s = Shard(in_order(table), kind)
+        c, r = s.chunks, s.runs
+        digest, span, extra = hashlib.blake2b, kind.span, kind.window - 1
+        digests = b"".join([digest(span(s.units[d], a, n + extra), digest_size=16).digest() for d, a, n in zip(c.doc.tolist(), c.start.tolist(), c.count.tolist(), strict=True)])
+        words = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        order, edges = dealt_by((words[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
+        raw = np.frombuffer(digests, np.uint8).reshape(-1, 16)[order], s.ids[c.doc[order]].astype("<i8"), order.astype("<u4")
+        # Of equal chunks in the shard one is enough for the anchors; a run may hold a window twice.
+        _, firsts = np.unique(words.view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True)
+        chosen = np.zeros(len(c.doc), bool)
+        chosen[firsts] = True
+        at = np.flatnonzero(chosen[r.chunk]) if len(chosen) else np.zeros(0, np.int64)
+        keys, of = key_of(r.anchor[at]), r.doc[at]
         if kind.within:
-            flags[order] = np.where(np.repeat(np.add.reduceat(times[order], heads), n) > 1, SETTLED, 0)
-            flags[order[heads]] |= HOLDER
-        else:
-            flags[order] = np.where(np.repeat(np.minimum.reduceat(least[order], heads), n) < least[order], SETTLED, 0)
-        parts = np.split(flags, np.cumsum(sizes)[:-1])
-        bucket = table["bucket"][0].as_py()
-        rows = len(shards)
-        return pa.table({"shard": pa.array(shards, pa.int64()), "anchor": pa.array([-bucket - 1] * rows, pa.int64()), "content": pa.array([0] * rows, pa.int64()), "flags": pa.array([buckets.to_bytes(4, "big") + x.tobytes() for x in parts], pa.binary())})
+            keys = np.r_[keys, keys[r.doubled[at]]]
+        else:  # repeats in one document do not count
+            order = np.lexsort((of, keys))
+            keys, of = keys[order], of[order]
+            keys = keys[np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])][: len(keys)]]
+        keys, count = np.unique(keys, return_counts=True)
+        parts = []
+        for some in (count == 1, count > 1):
+            own, e = dealt_by((keys[some] // np.uint64(2) % np.uint64(buckets)).astype(np.int64), buckets)  # all keys are odd
+            parts.append((keys[some][own], np.minimum(count[some][own], 255).astype(np.uint8), e))
+        out: dict[str, list] = {x.split()[0]: [] for x in OFFER.split(", ")}
+        for b in range(buckets):
+            i, j = edges[b], edges[b + 1]
+            (alone, _, p), (several, counts, q) = parts
+            if i < j or p[b] < p[b + 1] or q[b] < q[b + 1]:
+                row = b, s.shard, *(x[i:j].tobytes() for x in raw), packed(alone[p[b] : p[b + 1]]), packed(several[q[b] : q[b + 1]]), counts[q[b] : q[b + 1]].tobytes()
+                for name, x in zip(out, row, strict=True):
+                    out[name].append(x)
+        return pa.table({k: pa.array(x, pa.int64() if k in ("bucket", "shard") else pa.binary()) for k, x in out.items()})
 
     return run
 
 
-def _offers(kind: Kind, buckets: int):
-    """Step 1: the shard's distinct anchors, packed by bucket; those that two of its own runs share come apart."""
+def dealt_by(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int]]:
+    """An order by bucket, and where each bucket begins in it."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
 
-    def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        rows = []
-        if table.num_rows:
-            s = Shard(table, kind, told, doubled=kind.within)
-            keys, docs, twice = key_of(s.runs.anchor[s.at]), s.runs.doc[s.at], s.runs.doubled[s.at]
-            order = np.lexsort((docs, keys))
-            keys, docs, twice = keys[order], docs[order], twice[order]
-            same = keys[1:] == keys[:-1]
-            shared = keys[1:][same if kind.within else same & (docs[1:] != docs[:-1])]
-            shared = np.unique(np.r_[shared, keys[twice]] if kind.within else shared)
-            alone = np.setdiff1d(keys, shared)
-            for known, part in ((False, alone), (True, shared)):
-                at = (part // np.uint64(2) % np.uint64(buckets)).astype(np.int64)  # all keys are odd
-                order = np.argsort(at, kind="stable")
-                edges = np.searchsorted(at[order], np.arange(buckets + 1))
-                rows += [(b, s.shard, known, packed(part[order[edges[b] : edges[b + 1]]])) for b in range(buckets) if edges[b] < edges[b + 1]]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), "known": pa.array([r[2] for r in rows], pa.bool_()), "keys": pa.array([r[3] for r in rows], pa.binary())})
+
+def _answers(kind: Kind, hot_runs: int):
+    """Step 1, in a bucket: for each shard its chunks (settled, open), those of its anchors that are shared, and hot ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        column = {c: table[c].to_pylist() for c in table.column_names}
+        shards = column["shard"]
+        sizes = np.array([len(x) // 8 for x in column["ids"]])
+        words, ids = np.frombuffer(b"".join(column["digests"]), "<u8").reshape(-1, 2), np.frombuffer(b"".join(column["ids"]), "<i8")
+        order = np.lexsort((np.repeat(np.arange(len(sizes)), sizes), ids, words[:, 1], words[:, 0]))
+        w = words[order]
+        new = np.r_[True, (w[1:] != w[:-1]).any(axis=1)][: len(w)]
+        heads = np.flatnonzero(new)
+        n = np.diff(np.r_[heads, len(w)])
+        flags = np.zeros(len(w), np.uint8)
+        if kind.within:  # all of equal chunks go; the first stays in, for windows that it shares with others
+            flags[order] = np.where(np.repeat(n, n) > 1, SETTLED, OPEN)
+            flags[order[heads]] |= OPEN
+        else:
+            flags[order] = np.where(np.repeat(ids[order[heads]], n) < ids[order], SETTLED, OPEN)
+        places = np.frombuffer(b"".join(column["places"]), np.uint8).reshape(-1, 4)
+        rows = np.concatenate([places, flags[:, None]], axis=1)
+        ends = np.cumsum(sizes)
+        out = [told_rows(shards, CHUNK_FLAGS, [rows[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)])]
+
+        alone, several = ([unpacked(x) for x in column[c]] for c in ("alone", "several"))
+        counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in column["counts"]]
+        both = [np.concatenate(x) for x in zip(alone, several, strict=True)]
+        every, weight = np.concatenate(both), np.concatenate([x for k, n in zip(alone, counts, strict=True) for x in (np.ones(len(k), np.int64), n)])
+        order = np.argsort(every)
+        values = every[order]
+        heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+        total = np.zeros(len(every), np.int64)
+        if len(heads):
+            total[order] = np.repeat(np.add.reduceat(weight[order], heads), np.diff(np.r_[heads, len(values)]))
+        edges = np.cumsum([len(x) for x in both])[:-1]
+        for what, some in ((SHARED, total > 1), (HOT, total > hot_runs)):
+            got = [(s, packed(x[f])) for s, x, f in zip(shards, both, np.split(some, edges), strict=True) if f.any()]
+            out.append(told_rows([x[0] for x in got], what, [x[1] for x in got]))
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Step 1, in a bucket: for each shard those of its anchors that another shard or two of its own runs have."""
-    shards, known, keys = table["shard"].to_pylist(), table["known"].to_pylist(), [unpacked(x) for x in table["keys"].to_pylist()]
-    values, counts = np.unique(np.concatenate(keys), return_counts=True)
-    shared = np.union1d(values[counts > 1], np.concatenate([np.zeros(0, np.uint64), *(k for k, x in zip(keys, known, strict=True) if x)]))
-    told = [(s, packed(got)) for s, k in zip(shards, keys, strict=True) if len(got := k[np.isin(k, shared, assume_unique=True)])]
-    return pa.table({"shard": pa.array([x[0] for x in told], pa.int64()), "anchor": pa.array([0] * len(told), pa.int64()), "content": pa.array([0] * len(told), pa.int64()), "flags": pa.array([x[1] for x in told], pa.binary())})
+CONTENT = "anchor long, shard long, number long, content binary, least long, times long"
 
 
 def _contents(kind: Kind):
-    """Step 2: each distinct content of the runs of shared anchors, with its least document and its number."""
+    """Step 2: each distinct content of the runs of shared anchors, with its least document and its number of places."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        found: dict[tuple[int, bytes], list[int]] = {}
-        shard = 0
+        shard, rows, number, first, ids = 0, ([],) * 5, np.zeros(0, np.int64), [], np.zeros(0, np.int64)
         if table.num_rows:
-            s = Shard(table, kind, told)
-            shard, r = s.shard, s.runs
-            shared = np.concatenate([np.zeros(0, np.uint64), *(unpacked(f) for a, f in zip(told["anchor"].to_pylist(), told["flags"].to_pylist(), strict=True) if a == 0)])
-            keys = key_of(r.anchor)
-            at = s.at[np.isin(keys[s.at], shared)]
-            for key, d, a, n in zip(keys[at].tolist(), r.doc[at].tolist(), r.start[at].tolist(), r.count[at].tolist(), strict=True):
-                entry = found.setdefault((key, kind.span(s.units[d], a, n + kind.window - 1)), [s.ids[d], 0])
-                entry[0] = min(entry[0], s.ids[d])
-                entry[1] += 1
-        n = len(found)
+            s = Shard(in_order(table), kind, told)
+            rows, number, first = s.numbered()
+            shard, ids = s.shard, s.ids[rows[0]]
+        least = np.full(len(first), LAST)
+        np.minimum.at(least, number, ids)
+        key = np.asarray(rows[3], np.uint64)[first].astype(np.int64) if first else np.zeros(0, np.int64)
         return pa.table({
-            "anchor": pa.array(np.fromiter((k[0] for k in found), np.int64, n)), "shard": pa.array(np.full(n, shard, np.int64)), "content": pa.array([k[1] for k in found], pa.binary()),
-            "least": pa.array(np.fromiter((v[0] for v in found.values()), np.int64, n)), "times": pa.array(np.fromiter((v[1] for v in found.values()), np.int64, n)),
+            "anchor": pa.array(key), "shard": pa.array(np.full(len(first), shard, np.int64)), "number": pa.array(np.arange(len(first))), "content": pa.array([rows[4][k] for k in first], pa.binary()),
+            "least": pa.array(least), "times": pa.array(np.bincount(number, minlength=len(first)).astype(np.int64)),
         })
 
     return run
@@ -360,10 +393,9 @@ def _judgements(kind: Kind, most_bytes: int = 1 << 18):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
-            contents, anchor, shard = t["content"].to_pylist(), t["anchor"].to_pylist(), t["shard"].to_pylist()
-            flags = kind.judge(contents, t["least"].to_numpy(), t["times"].to_numpy())
-            rows = [(s, a, xxhash.xxh64_intdigest(c) - 2**63, np.packbits(f).tobytes()) for s, a, c, f in zip(shard, anchor, contents, flags, strict=True) if f.any()]
-            return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int64()), "anchor": pa.array([r[1] for r in rows], pa.int64()), "content": pa.array([r[2] for r in rows], pa.int64()), "flags": pa.array([r[3] for r in rows], pa.binary())})
+            flags = kind.judge(t["content"].to_pylist(), t["least"].to_numpy(), t["times"].to_numpy())
+            some = [k for k, f in enumerate(flags) if f.any()]
+            return pa.RecordBatch.from_arrays([t["shard"].combine_chunks().take(pa.array(some, pa.int64())), pa.array(np.zeros(len(some), np.int64)), t["number"].combine_chunks().take(pa.array(some, pa.int64())), pa.array([np.packbits(flags[k]).tobytes() for k in some], pa.binary())], names=["shard", "anchor", "content", "flags"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -389,32 +421,41 @@ def _results(kind: Kind, schema: pa.Schema):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([table[0].combine_chunks(), *(pa.array([], f.type) for f in list(schema)[1:])], names=schema.names)
+        table = in_order(table)
         s = Shard(table, kind, told)
-        flags = {(a, c): f for a, c, f in zip(told["anchor"].to_pylist(), told["content"].to_pylist(), told["flags"].to_pylist(), strict=True) if a > 0}
-        r, keys = s.runs, key_of(s.runs.anchor)
-        judged = np.isin(keys[s.at], np.array(sorted({a for a, _ in flags}), np.uint64))
-        at = s.at[judged if kind.within else judged | _repeated(keys[s.at])]
-        rows = [(kind.span(s.units[d], a, n + kind.window - 1), key, d, a, n) for key, d, a, n in zip(keys[at].tolist(), r.doc[at].tolist(), r.start[at].tolist(), r.count[at].tolist(), strict=True)]
-        least: dict[tuple[int, bytes], int] = {}
-        for content, key, d, _, _ in rows:
-            least[key, content] = min(least.get((key, content), LAST), s.ids[d])
-        hits: list[list[np.ndarray]] = [[] for _ in s.ids]
+        (doc, start, count, _, _), number, first = s.numbered()
+        judged = np.flatnonzero(told["anchor"].to_numpy() == 0)
+        bits, of = told["flags"].take(pa.array(judged)).to_pylist(), told["content"].to_numpy()[judged]
+        flags: list[bytes | None] = [None] * len(first)
+        for k, x in zip(of.tolist(), bits, strict=True):
+            flags[k] = x
         c = s.chunks
-        for k in np.flatnonzero(s.settled).tolist():
-            hits[c.doc[k]].append(np.arange(c.start[k], c.start[k] + c.count[k]))
-        for content, key, d, a, n in rows:
-            if not kind.within and least[key, content] < s.ids[d]:  # a smaller document of the shard has the content
-                hits[d].append(np.arange(a, a + n))
-            elif (f := flags.get((key, xxhash.xxh64_intdigest(content) - 2**63))) is not None:
-                hits[d].append(np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8), count=n)) + a)
+        hit_doc, hit_start, hit_count = [c.doc[s.settled]], [c.start[s.settled]], [c.count[s.settled]]
+        if not kind.within:  # a smaller document of the shard has the content
+            least = np.full(len(first), LAST)
+            np.minimum.at(least, number, s.ids[doc])
+            later = least[number] < s.ids[doc]
+            for x, y in zip((hit_doc, hit_start, hit_count), (doc, start, count), strict=True):
+                x.append(y[later])
+        else:
+            later = np.zeros(len(number), bool)
+        ones: list[list[np.ndarray]] = [[] for _ in s.units]
+        known = np.array([x is not None for x in flags], bool)
+        for k in np.flatnonzero(known[number] & ~later).tolist() if len(number) else []:
+            n = int(count[k])
+            ones[doc[k]].append(np.flatnonzero(np.unpackbits(np.frombuffer(flags[number[k]], np.uint8), count=n)) + start[k])
+        hit_doc, hit_start, hit_count = (np.concatenate(x) for x in (hit_doc, hit_start, hit_count))
+        order, edges = dealt_by(hit_doc, len(s.units))
+        hit_start, hit_count = hit_start[order], hit_count[order]
         out = []
-        for u, parts in zip(s.units, hits, strict=True):
-            n = len(u)
-            if not parts:
+        for d, (u, parts) in enumerate(zip(s.units, ones, strict=True)):
+            n, (a, b) = len(u), (edges[d], edges[d + 1])
+            if a == b and not parts:
                 out.append(kind.finish(u, np.zeros(n, bool)))
                 continue
-            windows = np.concatenate(parts)
-            steps = np.bincount(windows, minlength=n + 1)[: n + 1] - np.bincount(windows + kind.window, minlength=n + 1)[: n + 1]
+            single = np.concatenate([np.zeros(0, np.int64), *parts])
+            begin, end = np.r_[hit_start[a:b], single], np.r_[hit_start[a:b] + hit_count[a:b], single + 1] + kind.window - 1
+            steps = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
             out.append(kind.finish(u, np.cumsum(steps[:n]) > 0))
         head = table["row"].combine_chunks() if "row" in table.column_names else table["doc_id"].combine_chunks().cast(pa.int64())
         return pa.table([head, *(pa.array([x[k] for x in out], f.type) for k, f in enumerate(list(schema)[1:]))], names=schema.names)
@@ -422,28 +463,22 @@ def _results(kind: Kind, schema: pa.Schema):
     return run
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return counts[inverse] > 1 if len(keys) else np.zeros(0, bool)
-
-
-def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema, shard_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind: Kind, columns: str, schema: pa.Schema, shard_bytes: int = 4 << 20, hot_runs: int | None = None) -> DataFrame:
     """docs: doc_id, text (binary). The rows that finish() makes, for each row of docs. With a column row (a struct of other
     columns), that comes first in the result instead of doc_id.
 
-    shard_bytes bounds a shard; for corpora beyond 100 GB it grows with the root of their size, so that the packed rows
-    (shards by buckets) stay few and full.
+    shard_bytes bounds a shard; for corpora beyond 100 GB it grows with the root of their size, and a bucket with it (four
+    shards' anchors), so that the packed rows (shards by buckets) stay few and full: at 100 TB a shard has 130 MB, a bucket
+    about 220 MB, a packed row some hundred bytes. hot_runs: with more runs than that an anchor is hot.
     """
     total = bounded_batches(docs).agg(F.sum(F.length("text"))).first()[0] or 0
     shard_bytes = int(shard_bytes * max(1.0, math.sqrt(total / 1e11)))
     shards = max(1, -(-total // shard_bytes))
-    partitions, buckets = min(shards, 20_000), max(1, min(shards // 8, 20_000))
-    dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(shards)).alias("shard")).repartition(partitions, "shard")
-    chunks = dealt.groupBy("shard").applyInArrow(_chunk_offers(kind, buckets), "bucket long, shard long, hashes binary, least binary, times binary")
-    settled = chunks.groupBy("bucket").applyInArrow(_chunk_answers(kind, buckets), TOLD)
+    buckets = max(1, shards // 4)
+    dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard")).repartition(shards, "shard")
     with_told = lambda told, f, columns: dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(f, columns)
-    offers = with_told(settled, _offers(kind, buckets), "bucket long, shard long, known boolean, keys binary")
-    answers = offers.groupBy("bucket").applyInArrow(_answers, TOLD)
-    contents = with_told(settled.unionByName(answers), _contents(kind), "anchor long, shard long, content binary, least long, times long")
+    offers = dealt.groupBy("shard").applyInArrow(_offers(kind, buckets), OFFER)
+    told = offers.groupBy("bucket").applyInArrow(_answers(kind, hot_runs or max(HOT_RUNS, HOT_A_SHARD * shards)), TOLD)
+    contents = with_told(told, _contents(kind), CONTENT)
     judged = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judgements(kind), TOLD)
-    return with_told(settled.unionByName(judged), _results(kind, schema), columns)
+    return with_told(told.unionByName(judged), _results(kind, schema), columns)

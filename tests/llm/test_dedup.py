@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fathom.llm import simhash, substring_dedup, suffix_dedup
+from fathom.llm import repeats, simhash, substring_dedup, suffix_dedup
 from fathom.llm.components import components
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -67,24 +67,61 @@ def repeated_bytes(docs, size):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [8 << 20, 2000])
-def test_substring_dedup(spark, texts, shard_bytes, monkeypatch):
+@pytest.mark.parametrize(("shard_bytes", "hot_runs"), [(8 << 20, None), (2000, None), (2000, 3)])
+def test_substring_dedup(spark, texts, shard_bytes, hot_runs, monkeypatch):
     whole = substring_dedup.remove_repeats
-    monkeypatch.setattr(substring_dedup, "remove_repeats", lambda *a: whole(*a, shard_bytes=shard_bytes))
+    monkeypatch.setattr(substring_dedup, "remove_repeats", lambda *a: whole(*a, shard_bytes=shard_bytes, hot_runs=hot_runs))
     docs = spark.createDataFrame([(d, t, 1, b"s") for d, t in texts], "doc_id long, text string, shard int, keys binary")
     got = substring_dedup.digest(docs).collect()
     assert by_null(map(tuple, got)) == by_null(repeated_words(texts, 35))
 
 
-@pytest.mark.parametrize("shard_bytes", [8 << 20, 2000])
-def test_suffix_dedup(spark, texts, shard_bytes, monkeypatch):
+@pytest.mark.parametrize(("shard_bytes", "hot_runs"), [(8 << 20, None), (2000, None), (2000, 3)])
+def test_suffix_dedup(spark, texts, shard_bytes, hot_runs, monkeypatch):
     whole = suffix_dedup.remove_repeats
-    monkeypatch.setattr(suffix_dedup, "remove_repeats", lambda *a: whole(*a, shard_bytes=shard_bytes))
+    monkeypatch.setattr(suffix_dedup, "remove_repeats", lambda *a: whole(*a, shard_bytes=shard_bytes, hot_runs=hot_runs))
     docs = spark.createDataFrame([(d, t, 1, b"s") for d, t in texts], "doc_id long, text string, shard int, keys binary")
     got = suffix_dedup.digest(docs).collect()
     assert by_null(map(tuple, got)) == by_null(repeated_bytes(texts, 50))
 
 
+def test_rows_of_a_shard_in_any_order():
+    """A shuffle hands a shard's rows over in another order each time; all steps count them alike."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    rows = [(r.choice([None, 1, 2, 3]), r.choice([None, b"", b"x y", b"z" * 60, b"z" * 70])) for _ in range(40)]
+    table = lambda x: pa.table({"doc_id": pa.array([d for d, _ in x], pa.int64()), "text": pa.array([t for _, t in x], pa.binary())})
+    first = repeats.in_order(table(rows)).to_pylist()
+    for _ in range(5):
+        r.shuffle(rows)
+        assert repeats.in_order(table(rows)).to_pylist() == first
+
+
+def test_a_phrase_in_all_documents(spark, monkeypatch):
+    """One anchor with thousands of distinct contents: its windows are dealt one by one."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    line = " ".join(word() for _ in range(30))
+    rows = [(k, " ".join(word() for _ in range(12)) + f" {line} " + " ".join(word() for _ in range(r.choice([3, 12])))) for k in range(3000)]
+    rows += [(5000 + k, rows[k][1]) for k in range(0, 600, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, brute, size in ((substring_dedup, repeated_words, 35), (suffix_dedup, repeated_bytes, 50)):
+        whole = module.remove_repeats
+        monkeypatch.setattr(module, "remove_repeats", lambda *a, whole=whole: whole(*a, shard_bytes=60_000))
+        assert by_null(map(tuple, module.digest(docs).collect())) == by_null(brute(rows, size))
+
+
+def test_very_long_text_in_small_shards(spark, monkeypatch):
+    whole = suffix_dedup.remove_repeats
+    monkeypatch.setattr(suffix_dedup, "remove_repeats", lambda *a: whole(*a, shard_bytes=10_000))
+    r = random.Random(1)
+    long = "".join(r.choice("ab c") for _ in range(400_000))
+    rows = [(1, long), (2, "x" + long[1000:9000]), (None, long[:300]), (3, ""), (4, None)]
+    got = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_null(map(tuple, got)) == by_null(repeated_bytes(rows, 50))
+
+
 def test_suffix_sort_is_lexicographic():
     r = np.random.default_rng(3)
     raw = [bytes(r.choice(list(b"ab"), 80)) for _ in range(40)] + [b"a" * 90, b"ab" * 45]
