@@ -32,7 +32,7 @@ DIGEST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("i
 
 
 class PieceBpe:
-    def __init__(self, model_file: str, cache_size: int = 150_000):
+    def __init__(self, model_file: str, cache_size: int = 100_000):
         sp = SentencePieceProcessor(model_file=model_file)
         self.pieces: dict[str, int] = {}
         self.score: dict[int, float] = {}

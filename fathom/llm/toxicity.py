@@ -228,7 +228,7 @@ def machine(docs: list[tuple[Sentences, int]], landmarks: int = 192, negatives:
     for u in dict.fromkeys([*clean, *toxic]):
         by.setdefault(len(u), []).append(u)
     for units in by.values():
-        c = coded(units)
+        c = coded(units).astype(np.int32)
         rows_of |= zip(units, c[:, :-2] << 2 * SYMBOLS | c[:, 1:-1] << SYMBOLS | c[:, 2:], strict=True)
     seen = np.zeros((2, 1 << 3 * SYMBOLS))
     for sentences, y in docs:
@@ -326,10 +326,18 @@ def in_fold(doc_id: "F.Column", folds: int, held: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == held, F.lit(False))
 
 
+def shared_units(column: pa.Array) -> list[Sentences]:
+    """The sentences of each document as lists; equal units are one object, which takes little memory."""
+    coded = column.flatten().flatten().dictionary_encode()
+    known, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    docs, sentences = (np.cumsum(np.r_[0, pc.list_value_length(x).to_numpy()]).tolist() for x in (column, column.flatten()))
+    return [[[known[k] for k in at[sentences[s] : sentences[s + 1]].tolist()] for s in range(a, b)] for a, b in zip(docs, docs[1:], strict=False)]
+
+
 FITTED = "fold long, empty boolean, model binary, offset double, held array<double>, labels array<int>"
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 3000, max_units: int = 2000, tuning: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 2000, max_units: int = 2000, tuning: int = 3) -> Model:
     """Fits on labelled documents outside the held-out fold: of each label at most max_rows, those with the least hashes of
     their ids, and of each document at most its first max_units distinct units in sentences. These bounds are parameters;
     they keep the fit independent of the corpus. Null labels and rows of labels without a document are left out; of repeated
@@ -361,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max
     parts = units.select("*", F.explode(F.array(*(F.lit(k).cast("long") for k in range(tuning + 1)))).alias("fold")).repartition(tuning + 1, "fold")
 
     def one(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["sentences"].to_pylist(), strict=True), key=lambda r: (crc32(b"%d" % r[0]), r[0]))
+        rows = sorted(zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), shared_units(table["sentences"].combine_chunks()), strict=True), key=lambda r: (crc32(b"%d" % r[0]), r[0]))
         fold = table["fold"][0].as_py()
         model, values = without([(s, y) for _, y, s in rows], fold, tuning)
         return pa.table({"fold": pa.array([fold], pa.int64()), "empty": pa.array([model is None], pa.bool_()), "model": pa.array([model.table.tobytes() if model else b""], pa.binary()), "offset": pa.array([model.offset if model else 0.0]), "held": pa.array([values], pa.list_(pa.float64())), "labels": pa.array([[y for _, y, _ in rows]], pa.list_(pa.int32()))})
