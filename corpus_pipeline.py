@@ -6,10 +6,8 @@ figures for each document. docs is what the stage before returned, written and r
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +62,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"  # each run has its own, so a later run leaves this result alone
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return docs
