@@ -402,12 +402,11 @@ def _judgements(kind: Kind, most_bytes: int = 1 << 18):
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= most_bytes:
+            if size >= most_bytes and held[0]["anchor"][0] != held[-1]["anchor"][-1]:
                 t = pa.Table.from_batches(held)
                 anchors = t["anchor"].to_numpy()
                 end = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
-                if end:
-                    yield solve(t.slice(0, end))
+                yield solve(t.slice(0, end))
                 held, size = t.slice(end).combine_chunks().to_batches(), t.slice(end).nbytes
         if held:
             yield solve(pa.Table.from_batches(held))

@@ -207,12 +207,10 @@ def links(codes: DataFrame, distance: int = 3, limit: int = 4096, batch: int = 5
         for x in batches:
             held.append(np.stack([c.to_numpy() for c in x.columns]))
             size += x.num_rows
-            if size >= batch:
+            if size >= batch and (held[0][:2, 0] != held[-1][:2, -1]).any():
                 rows = np.concatenate(held, axis=1)
-                other = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
-                end = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
-                if end:
-                    yield solve(*(np.ascontiguousarray(c) for c in rows[:, :end]))
+                end = int(np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))[-1]) + 1  # the last group may go on
+                yield solve(*(np.ascontiguousarray(c) for c in rows[:, :end]))
                 held, size = [rows[:, end:]], rows.shape[1] - end
         if size:
             yield solve(*(np.ascontiguousarray(c) for c in np.concatenate(held, axis=1)))
@@ -302,36 +300,55 @@ def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: F
 
 
 def candidates(known: DataFrame, similarity: Fraction, batch: int = 100_000, block: int = 512) -> DataFrame:
-    """a, b: all pairs of nodes of different labels that share a shingle of their prefixes and whose sizes allow the
-    similarity. known: node, size, prefix, label."""
+    """a, b: pairs of nodes of different labels that share a shingle of their prefixes. known: node, size, prefix, code, label.
+
+    A similar pair has at most |x| - o shingles before its first common one, o being the least overlap that its sizes allow;
+    pairs are looked at where that holds. Of larger sets the first 256 bits of the fingerprints are compared, too: a pair
+    further apart than five deviations from what the similarity makes likely is left out (one in three million that are just
+    similar enough). Where most nodes of a group have one label, only the others are compared with all.
+    """
     top, under = similarity.numerator, similarity.denominator
+    share = np.arccos(2 * float(similarity) / (1 + float(similarity))) / np.pi
+    far = int(256 * share + 5 * np.sqrt(256 * share * (1 - share)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
-            n = [len(x) for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw)), *(pa.array(np.repeat(b.column(k).to_numpy(), n)) for k in (0, 1, 3))], names=["token", "node", "size", "label"])
+            n = np.array([len(x) for x in raw], np.int64)
+            sketch = np.frombuffer(b"".join([x.as_py()[:32].ljust(32) for x in b.column(4)]), np.int64).reshape(-1, 4)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.repeat(x, n) for x in (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(), *sketch.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([np.zeros(0, np.int64), *raw]), *columns, place)], names=["token", "node", "size", "label", "s", "t", "u", "v", "place"])
 
-    rows = bounded_batches(known).select("node", "size", "prefix", "label").mapInArrow(deal, "token long, node long, size long, label long")
+    rows = bounded_batches(known).select("node", "size", "prefix", "label", "code").mapInArrow(deal, "token long, node long, size long, label long, s long, t long, u long, v long, place long")
     rows = rows.repartition("token").sortWithinPartitions("token", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(token: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            token, node, size, label, *sketch, place = rows
             heads = np.flatnonzero(np.r_[True, np.diff(token) != 0])
             ends = np.r_[heads[1:], len(token)]
             mixed = np.minimum.reduceat(label, heads) != np.maximum.reduceat(label, heads)
             found, held = [np.zeros((2, 0), np.int64)], 0
             for i, j in zip(heads[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                for k in range(i, j, block):  # sizes ascend
-                    end = min(k + block, j)
-                    last = i + int(np.searchsorted(size[i:j] * top, size[end - 1] * under, side="right"))
-                    ok = (label[k:end, None] != label[None, k:last]) & (size[None, k:last] * top <= size[k:end, None] * under)
-                    x, y = np.nonzero(ok & (np.arange(k, end)[:, None] < np.arange(k, last)[None, :]))
-                    found.append(np.stack([node[k + x], node[k + y]]))
-                    held += len(x)
-                    if held > 200_000:
-                        yield pairs(found)
-                        found, held = [np.zeros((2, 0), np.int64)], 0
+                values, of, n = np.unique(label[i:j], return_inverse=True, return_counts=True)
+                some = i + np.flatnonzero(of != n.argmax())  # each pair of labels has one of these
+                for k in range(0, len(some), block):
+                    mine = some[k : k + block]
+                    first = i + int(np.searchsorted(size[i:j] * under, size[mine[0]] * top, side="left"))  # sizes ascend
+                    last = i + int(np.searchsorted(size[i:j] * top, size[mine[-1]] * under, side="right"))
+                    for m in range(first, last, block):
+                        other = slice(m, min(m + block, last))
+                        least = -(-top * (size[mine, None] + size[None, other]) // (top + under))
+                        ok = (label[mine, None] != label[None, other]) & (np.minimum((size - place)[mine, None], (size - place)[None, other]) >= least)
+                        x, y = np.nonzero(ok)
+                        x, y = mine[x], m + y
+                        near = (np.minimum(size[x], size[y]) < 64) | (sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in sketch) <= far)
+                        found.append(np.stack([node[x[near]], node[y[near]]]))
+                        held += int(near.sum())
+                        if held > 200_000:
+                            yield pairs(found)
+                            found, held = [np.zeros((2, 0), np.int64)], 0
             yield pairs(found)
 
         def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -344,15 +361,13 @@ def candidates(known: DataFrame, similarity: Fraction, batch: int = 100_000, blo
         for b in batches:
             held.append(np.stack([c.to_numpy() for c in b.columns]))
             n += b.num_rows
-            if n >= batch:
+            if n >= batch and held[0][0, 0] != held[-1][0, -1]:
                 now = np.concatenate(held, axis=1)
-                other = np.flatnonzero(now[0] != now[0, -1])
-                end = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
-                if end:
-                    yield from solve(*now[:, :end])
+                end = int(np.flatnonzero(now[0] != now[0, -1])[-1]) + 1  # the last group may go on
+                yield from solve(now[:, :end])
                 held, n = [now[:, end:]], now.shape[1] - end
         if n:
-            yield from solve(*np.concatenate(held, axis=1))
+            yield from solve(np.concatenate(held, axis=1))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -362,14 +377,14 @@ def node_of(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little", signed=True)
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8, block: int = 16, batch: int = 20_000) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8, batch: int = 20_000) -> DataFrame:
     """doc_id, component_id (the least doc_id reached over links) of every row of docs, linked where the sets of shingles
     are similar by at least the measure given.
 
     A wide fingerprint (words * 64 bits) tells the similarity of two texts from the share of bits that differ: s shared out
     of all shingles makes an angle of acos(2 s / (1 + s)), and that part of half a turn differs. Documents meet where they
-    agree on a run of `block` bits; in a group the same tree in Gray order compares them. Its pairs are candidates: only
-    those whose sets of shingles are similar enough link. Pairs that the fingerprints miss are found by exact prefixes: of
+    agree on a run of 16 bits (32 from a million texts on); in a group the same tree in Gray order compares them. A large
+    group is cut into ranges of codes, over several tasks. Its pairs are candidates: only those whose sets of shingles are similar enough link. Pairs that the fingerprints miss are found by exact prefixes: of
     n shingles in one order for all, the first n - ceil(similarity n) + 1 of two similar sets have one in common. Only pairs
     that no link connects yet are looked at. Null and empty texts are alike. Texts with the same set are one node.
     """
@@ -395,15 +410,16 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
 
     marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, node long, code binary, size long, prefix binary"))
     codes = marks.groupBy("node").agg(F.min("doc_id").alias("least"))
+    block = 16 if marks.count() < 1 << 20 else 32  # what meets here only saves work in candidates()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(0).to_pylist()
-            values = np.frombuffer(b"".join(raw), ">u2" if block == 16 else ">u4").reshape(len(raw), -1).astype(np.int32)
+            values = np.frombuffer(b"".join(raw), ">u2" if block == 16 else ">u4").reshape(len(raw), -1).astype(np.int64)
             n = values.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(raw))), pa.array(values.ravel()), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array([x for x in raw for _ in range(n)], pa.binary())], names=["part", "value", "node", "code"])
 
-    groups = marks.select("code", "node").distinct().mapInArrow(deal, "part int, value int, node long, code binary").repartition("part", "value").sortWithinPartitions("part", "value")
+    groups = marks.select("code", "node").distinct().mapInArrow(deal, "part int, value long, node long, code binary").repartitionByRange("part", "value", "code").sortWithinPartitions("part", "value")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(key: np.ndarray, node: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
@@ -414,28 +430,29 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
             key, node, code = key[order], node[order], code[order]
             tree = GrayTree(code, np.cumsum(np.r_[False, np.diff(key) != 0]))
             tree.links(far)
-            a, b = (node[np.concatenate([np.zeros(0, np.int64), *(x[k] for x in tree.used)])] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in tree.used)]) for k in (0, 1))
+            apart = np.bitwise_count(code[a] ^ code[b]).sum(axis=1, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[node[a], node[b]], np.r_[node[b], node[a]], np.r_[apart, apart])], names=["a", "b", "apart"])
 
         held: list[tuple] = []
         rows = 0
         for b in batches:
-            key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy().astype(np.int64)
+            key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
             held.append((key, b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), ">u8").reshape(b.num_rows, words).astype(np.uint64)))
             rows += b.num_rows
-            if rows >= batch:
+            if rows >= batch and held[0][0][0] != held[-1][0][-1]:
                 key, node, code = (np.concatenate(x) for x in zip(*held, strict=True))
-                other = np.flatnonzero(key != key[-1])
-                end = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
-                if end:
-                    yield solve(key[:end], node[:end], code[:end])
+                end = int(np.flatnonzero(key != key[-1])[-1]) + 1  # the last group may go on
+                yield solve(key[:end], node[:end], code[:end])
                 held, rows = [(key[end:], node[end:], code[end:])], len(key) - end
         if rows:
             yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    first = groups.mapInArrow(link, "a long, b long").where("a <> b").groupBy("a").agg(F.min("b").alias("b"))  # one for each node; candidates() has the rest
+    nearest = groups.mapInArrow(link, "a long, b long, apart long").where("a <> b").groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, 3).alias("near"))
+    near = nearest.select("a", F.explode("near.b").alias("b"))  # a few for each node; candidates() has the rest
+    first = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = alike(docs, codes, first, size, exact)
-    sets = marks.select("node", "size", "prefix").distinct().join(components(links), "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("label"))
+    sets = marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "prefix", "code"))).join(components(links), "node", "left").select("node", "size", "prefix", "code", F.coalesce("root", "node").alias("label"))
     links = links.unionByName(alike(docs, codes, candidates(sets, exact), size, exact))
     known = codes.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
