@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns, words and limits that equal results ask for.
+STAGE_TAG = r"(?i)[\[\(]\s*(?:music|applause|laughter|singing|instrumental|foreign|noise)\s*[\]\)]"
+NOTE_GLYPHS = "[♪♫♬]+"
+TRAILING_DATE = r",\s*((19\d{2})(?:-\d{2}-\d{2})?)\s*$"
+TRACK_NAME = r"^track_(\d{4})_(.+)$"
+SIDE_AND_TRACK = r"(?i)^Side_([AB])_Track_(\d+)_?(.*)$"
+CATALOG_SIDE = r"(?i)^Side\s+([AB])\.?\s*Track\s+(\d+):?\s*(.*)$"
+CATALOG_ARTISTS = r"(?i)^Songs\s+by\s+(.+)$"
+NO_SPEECH_LIMIT, COMPRESSION_LIMIT, LOGPROB_LIMIT = 0.6, 2.4, -1.0
+TEMPO_WORDS = ("slow", "moderate", "lively")  # below 80, to 120, beyond
+# End of the fixed values.
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null gives none."""
@@ -17,14 +29,14 @@ def blank_to_null(text: Column) -> Column:
 
 def clean_segment(text: Column) -> Column:
     """Without note glyphs and stage tags, white space folded."""
-    text = F.regexp_replace(text, "[♪♫♬]+", " ")
-    text = F.regexp_replace(text, r"(?i)[\[\(]\s*(?:music|applause|laughter|singing|instrumental|foreign|noise)\s*[\]\)]", " ")
+    text = F.regexp_replace(text, NOTE_GLYPHS, " ")
+    text = F.regexp_replace(text, STAGE_TAG, " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def trailing_date(text: Column) -> Column:
     """struct(date, year) of a date at the end, after a comma; nulls without one."""
-    hit = r",\s*((19\d{2})(?:-\d{2}-\d{2})?)\s*$"
+    hit = TRAILING_DATE
     date = F.regexp_extract(text, hit, 1)
     return F.struct(F.nullif(date, F.lit("")).alias("date"), F.regexp_extract(text, hit, 2).try_cast("int").alias("year"))
 
@@ -32,10 +44,10 @@ def trailing_date(text: Column) -> Column:
 def track_name(filename: Column) -> Column:
     """struct(track_id, index, slug, side, position) of ``track_0005_Side_B_Track_1_Name.mp3``; null for other names."""
     stem = F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")
-    index, slug = F.regexp_extract(stem, r"^track_(\d{4})_(.+)$", 1), F.regexp_extract(stem, r"^track_(\d{4})_(.+)$", 2)
-    side = r"(?i)^Side_([AB])_Track_(\d+)_?(.*)$"
+    index, slug = F.regexp_extract(stem, TRACK_NAME, 1), F.regexp_extract(stem, TRACK_NAME, 2)
+    side = SIDE_AND_TRACK
     return F.when(
-        stem.rlike(r"^track_\d{4}_.+$"),
+        stem.rlike(TRACK_NAME),
         F.struct(F.concat(F.lit("track_"), index).alias("track_id"), index.try_cast("int").alias("index"), slug.alias("slug"), F.upper(F.nullif(F.regexp_extract(slug, side, 1), F.lit(""))).alias("side"), F.regexp_extract(slug, side, 2).try_cast("int").alias("position")),
     )
 
@@ -43,7 +55,7 @@ def track_name(filename: Column) -> Column:
 def catalog_title(title: Column) -> Column:
     """struct(kind, side, position, song_title, artists) of a catalogue title."""
     title = F.trim(title)
-    side, by = r"(?i)^Side\s+([AB])\.?\s*Track\s+(\d+):?\s*(.*)$", r"(?i)^Songs\s+by\s+(.+)$"
+    side, by = CATALOG_SIDE, CATALOG_ARTISTS
     none = F.lit(None).cast("string")
     track = F.struct(F.lit("track").alias("kind"), F.upper(F.regexp_extract(title, side, 1)).alias("side"), F.regexp_extract(title, side, 2).try_cast("int").alias("position"), F.nullif(F.trim(F.regexp_extract(title, side, 3)), F.lit("")).alias("song_title"), none.alias("artists"))
     songs = F.struct(F.lit("cassette").alias("kind"), none.alias("side"), F.lit(None).cast("int").alias("position"), none.alias("song_title"), F.trim(F.regexp_extract(title, by, 1)).alias("artists"))
@@ -108,7 +120,7 @@ def segment_confidence(logprob: Column) -> Column:
 
 
 def looks_hallucinated(no_speech: Column, compression: Column, logprob: Column) -> Column:
-    return (F.coalesce(no_speech, F.lit(0.0)) > 0.6) | (F.coalesce(compression, F.lit(1.0)) > 2.4) | (F.coalesce(logprob, F.lit(0.0)) < -1.0)
+    return (F.coalesce(no_speech, F.lit(0.0)) > NO_SPEECH_LIMIT) | (F.coalesce(compression, F.lit(1.0)) > COMPRESSION_LIMIT) | (F.coalesce(logprob, F.lit(0.0)) < LOGPROB_LIMIT)
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -125,7 +137,7 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 def caption(genre: Column, bpm: Column, tonic: Column, year: Column, style: str = "traditional song") -> Column:
     """A description of a clip, from what is known of it."""
-    word = F.when(bpm < 80, "slow").when(bpm <= 120, "moderate").otherwise("lively")
+    word = F.when(bpm < 80, TEMPO_WORDS[0]).when(bpm <= 120, TEMPO_WORDS[1]).otherwise(TEMPO_WORDS[2])
     first = F.when(F.coalesce(genre, F.lit("")) != "", F.concat_ws(", ", genre, F.lit(style))).otherwise(style)
     era = F.when(F.coalesce(year.cast("string"), F.lit("")) != "", decade(year)).otherwise("vintage")
     return F.concat_ws(", ", first, F.concat(word, F.lit(" at "), F.bround(bpm).cast("long").cast("string"), F.lit(" BPM")), F.concat(F.lit("pentatonic melody rooted on "), tonic), F.concat(era, F.lit(" archival recording")))
@@ -135,3 +147,20 @@ def tonic_in_caption(text: Column, names: list[str]) -> Column:
     """The pitch class that a caption names, from 0; null without one."""
     found = F.array_position(F.array(*map(F.lit, names)), F.trim(F.regexp_extract(text, "rooted on ([^,]*)", 1)))
     return F.when(found > 0, (found - 1).cast("int"))
+
+
+def encoded(value: Column, codes: list[str]) -> Column:
+    """The place of a value in the code book, from 0; null stays null, an unknown value is an error."""
+    book = F.create_map(*(x for k, c in enumerate(codes) for x in (F.lit(c), F.lit(k))))
+    return F.when(value.isNotNull(), F.coalesce(book[value], F.raise_error(F.concat(F.lit("unknown value: "), value)).cast("int")))
+
+
+def attribution(text: Column) -> Column:
+    """Without a trailing date; blank as null."""
+    return blank_to_null(F.regexp_replace(text, TRAILING_DATE, ""))
+
+
+def name_parts(filename: Column) -> Column:
+    """struct(artist, title) of ``artist_some_title.mp3``: before and after the first underscore, the rest as spaces."""
+    stem = F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")
+    return F.struct(F.substring_index(stem, "_", 1).alias("artist"), F.nullif(F.replace(F.array_join(F.slice(F.split(stem, "_"), 2, 1 << 20), "_"), F.lit("_"), F.lit(" ")), F.lit("")).alias("title"))

@@ -28,3 +28,11 @@ def normalised(v: Column, digits: int | None = None) -> Column:
 def valid(v: Column, size: int) -> Column:
     """Of the size, without null or non-finite numbers, not all zero."""
     return F.coalesce((F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def percentile(values: Column, share: float) -> Column:
+    """The percentile of an array, between its two nearest elements in proportion; null for an empty one."""
+    sorted_ = F.array_sort(F.transform(values, lambda x: x.cast("double")))
+    at = (F.size(values) - 1) * F.lit(share)
+    low = F.get(sorted_, F.floor(at).cast("int"))
+    return low + (F.get(sorted_, F.ceil(at).cast("int")) - low) * (at - F.floor(at))

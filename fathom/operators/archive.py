@@ -90,3 +90,26 @@ def carry_forward(df: DataFrame, is_header: Column, value: Column, key: list[str
     """The value of the last header row so far; a header without a value resets it."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(F.when(is_header, F.struct(value.alias("v"))), ignorenulls=True).over(w)["v"])
+
+
+def first_write(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Of each key the row that was written first; later ones do not change it."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first")).select(key, "_first.*")
+
+
+def page_after(df: DataFrame, newest: str, key: str, last, size: int) -> DataFrame:
+    """The next rows, newest first and then by key, after the last row of the page before (None: the first page). A
+    condition on the keys; rows before it are not sorted again."""
+    rows = df
+    if last is not None:
+        rows = df.where((F.col(newest) < F.lit(last[newest])) | ((F.col(newest) == F.lit(last[newest])) & (F.col(key) > F.lit(last[key]))))
+    return rows.orderBy(F.desc(newest), key).limit(size)
+
+
+def next_try(attempts: Column, permanent: Column, most: int, base: int) -> Column:
+    """struct(action, wait in seconds) after a failed try: permanent errors are rejected, the rest is tried again after a
+    pause that doubles, until there were `most` tries."""
+    again = ~permanent & (attempts < most)
+    action = F.when(permanent, "rejected").when(again, "retry").otherwise("failed")
+    return F.struct(action.alias("action"), F.when(again, F.lit(base) * F.pow(F.lit(2), attempts).cast("long")).alias("wait"))

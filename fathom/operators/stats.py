@@ -28,7 +28,8 @@ def supported(value: Column, n: Column, least: int) -> Column:
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """One row: n_a, n_b, u (of a, ties by average rank), z (normal approximation with tie and continuity correction).
+    """One row: n_a, n_b, u (of a, ties by average rank), z (normal approximation with tie and continuity correction), p
+    (two-sided; null with fewer than three values on a side).
 
     Ranks come from the counts of distinct values. These are dealt to ranges; a window runs within a range, and one over
     the few ranges' totals, so that no task walks through all values.
@@ -45,7 +46,21 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     n = F.col("n_a") + F.col("n_b")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2.0
     sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return s.select("n_a", "n_b", u.alias("u"), ((F.abs(u - F.col("n_a") * F.col("n_b") / 2.0) - 0.5) / sd).alias("z"))
+    z = F.greatest(F.lit(0.0), (F.abs(u - F.col("n_a") * F.col("n_b") / 2.0) - 0.5) / sd)
+    return s.select("n_a", "n_b", u.alias("u"), z.alias("z"), F.when(F.least("n_a", "n_b") >= 3, erfc(z / F.sqrt(F.lit(2.0)))).alias("p"))
+
+
+#: The error function's rational approximation (Abramowitz and Stegun 7.1.26, error below 1.5e-7).
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erfc(x: Column) -> Column:
+    """Of x >= 0."""
+    t = 1 / (1 + ERF_P * x)
+    total = F.lit(0.0)
+    for a in reversed(ERF_A):
+        total = (total + a) * t
+    return total * F.exp(-x * x)
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

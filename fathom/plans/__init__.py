@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import archive_queries, etl_queries, more_queries, series_queries, state_queries, vector_queries  # noqa: E402, F401
+from . import archive_queries, etl_queries, more_queries, series_queries, source_queries, state_queries, vector_queries  # noqa: E402, F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.functions import pitch, text
+from fathom.functions import pitch, text, vectors
 from fathom.operators import series
 
 from . import query
@@ -99,12 +99,12 @@ def F_M10_F_M17_F_M21_levels(spark, sf):
     )
 
 
-@query("""SELECT vec_id, CAST(list_sum(list_transform(embedding[5:] || embedding[:4], lambda x, i: CAST(round(x * 1000) AS BIGINT) * i)) AS BIGINT) AS rolled, len(embedding) AS n, CAST(round(1000 * list_sort(embedding)[32]) AS BIGINT) AS middle FROM embeddings""")
+@query("""SELECT vec_id, CAST(list_sum(list_transform(embedding[5:] || embedding[:4], lambda x, i: CAST(round(x * 1000) AS BIGINT) * i)) AS BIGINT) AS rolled, len(embedding) AS n, CAST(round(1000 * list_aggregate(CAST(embedding AS DOUBLE[]), 'quantile_cont', 0.9)) AS BIGINT) AS p90 FROM embeddings""")
 def F_A1_F_A5_arrays(spark, sf):
     v = F.col("embedding")
     rolled = F.concat(F.slice(v, 5, F.size(v)), F.slice(v, 1, 4))
     s = F.aggregate(F.transform(rolled, lambda x, i: F.round(x * 1000).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return table(spark, sf, "embeddings").select("vec_id", s.alias("rolled"), F.size(v).cast("long").alias("n"), F.round(1000 * F.array_sort(v)[31]).cast("long").alias("middle"))
+    return table(spark, sf, "embeddings").select("vec_id", s.alias("rolled"), F.size(v).cast("long").alias("n"), F.round(1000 * vectors.percentile(v, 0.9)).cast("long").alias("p90"))
 
 
 @query("SELECT event_id, CAST(coalesce(try_cast(CASE WHEN event_id % 9 = 0 THEN 'no date' ELSE CAST(ts AS VARCHAR) END AS TIMESTAMP), TIMESTAMP '1970-01-01') AS DATE) AS day FROM events")
@@ -127,8 +127,8 @@ def F_A4_F_A7_counter_to_map(spark, sf):
     return g.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("top"))
 
 
-@query("SELECT event_id, CAST(round(1000 * greatest(0, least(100, value / 12 / 40 * 100) - CASE WHEN event_id % 5 = 0 THEN 10 ELSE 0 END)) AS BIGINT) AS quality, CASE WHEN value >= 300 THEN 'high' WHEN value >= 100 THEN 'mid' ELSE 'low' END AS tier FROM events")
+@query("SELECT event_id, CAST(10 * greatest(0, least(100, event_id % 50 / 40.0 * 100) - CASE WHEN event_id % 7 = 0 THEN 10 ELSE 0 END) AS BIGINT) AS quality, CASE WHEN value >= 300 THEN 'high' WHEN value >= 100 THEN 'mid' ELSE 'low' END AS tier FROM events")
 def F_M11_F_M15_scores(spark, sf):
-    v = F.col("value")
-    exact = F.greatest(F.lit(0.0), F.least(F.lit(100.0), v / 12 / 40 * 100) - F.when(F.col("event_id") % 5 == 0, 10.0).otherwise(0.0))
-    return table(spark, sf, "events").select("event_id", F.round(1000 * exact).cast("long").alias("quality"), F.when(v >= 300, "high").when(v >= 100, "mid").otherwise("low").alias("tier"))
+    v, e = F.col("value"), F.col("event_id")
+    quality = text.quality_score((e % 50).cast("double"), F.when(e % 7 == 0, 0.0).otherwise(-6.0))
+    return table(spark, sf, "events").select("event_id", F.round(10 * quality).cast("long").alias("quality"), F.when(v >= 300, "high").when(v >= 100, "mid").otherwise("low").alias("tier"))

@@ -70,11 +70,13 @@ def A7_track_percentiles(spark, sf):
     return t.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("m"), p.alias("p")).select("n", thousandths(F.col("m")).alias("mean"), *(thousandths(F.col("p")[k]).alias(c) for k, c in enumerate(("p10", "p50", "p90"))))
 
 
-@query("""WITH v AS (SELECT event_type AS g, value AS x FROM events WHERE event_type IN ('click', 'purchase')), r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM v)
-SELECT count(*) FILTER (g = 'click') AS n_a, count(*) FILTER (g = 'purchase') AS n_b, CAST(round((sum(r) FILTER (g = 'click') - count(*) FILTER (g = 'click') * (count(*) FILTER (g = 'click') + 1) / 2.0) * 1000) AS BIGINT) AS u FROM r""")
+@query("""WITH v AS (SELECT event_type AS g, value AS x FROM events WHERE event_type IN ('click', 'purchase')), r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM v),
+t AS (SELECT sum(n * n * n - n) AS ties FROM (SELECT count(*)::DOUBLE AS n FROM v GROUP BY x)), c AS (SELECT count(*) FILTER (g = 'click') AS a, count(*) FILTER (g = 'purchase') AS b, sum(r) FILTER (g = 'click') AS s FROM r),
+u AS (SELECT a, b, s - a * (a + 1) / 2.0 AS u, sqrt(a * b / 12.0 * (a + b + 1 - ties / ((a + b) * (a + b - 1.0)))) AS sd FROM c, t), z AS (SELECT *, greatest(0, (abs(u - a * b / 2.0) - 0.5) / sd) / sqrt(2.0) AS z FROM u), k AS (SELECT *, 1 / (1 + 0.3275911 * z) AS k FROM z)
+SELECT a AS n_a, b AS n_b, CAST(round(u * 1000) AS BIGINT) AS u, CAST(round(1000 * (k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429))))) * exp(-z * z)) AS BIGINT) AS p FROM k""")
 def A8_mann_whitney(spark, sf):
     m = stats.mann_whitney(table(spark, sf, "events"), "event_type", "value", "click", "purchase")
-    return m.select("n_a", "n_b", thousandths(F.col("u")).alias("u"))
+    return m.select("n_a", "n_b", thousandths(F.col("u")).alias("u"), thousandths(F.col("p")).alias("p"))
 
 
 EVENTS = f"""{POINTS}, marked AS (SELECT *, CASE WHEN lag(note) OVER w IS NULL OR lag(note) OVER w <> note OR t - lag(t) OVER w > 86400 THEN 1 ELSE 0 END AS nw FROM points WINDOW w AS (PARTITION BY track ORDER BY t, ord)),

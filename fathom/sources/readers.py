@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINT = "time_sec DOUBLE, frequency_hz DOUBLE, confidence DOUBLE, note_label STRING, cents_deviation DOUBLE"
-INVENTORY = "track_id STRING, filename STRING, source_dir STRING, title STRING, artists STRING, recorded_date STRING, recorded_year DOUBLE, duration_sec DOUBLE, format STRING, filesize_bytes BIGINT, side STRING, cassette_number DOUBLE, harvard_url STRING, sha1 STRING, flags STRING".replace("harvard_url", "source_url")
 
 
 def files(spark: SparkSession, folders: list[str], extensions: list[str]) -> DataFrame:
@@ -34,10 +33,6 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt STRING").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    return csv(spark, path, INVENTORY)
-
-
 def tracks(spark: SparkSession, glob: str) -> DataFrame:
     """One row for each point of per-track JSON files {track_id, points: [...]}: track_id, pos and the point's fields."""
     d = spark.read.schema(f"track_id STRING, points ARRAY<STRUCT<{POINT.replace(' DOUBLE', ': DOUBLE').replace(' STRING', ': STRING')}>>").option("multiLine", True).json(glob)
@@ -49,9 +44,41 @@ def json_lines(spark: SparkSession, path: str, schema: str, split: str | None =
     return rows if split is None else rows.where(F.col("split") == split)
 
 
+LEDGER = "stage STRING, track_id STRING, status STRING"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions below a folder: those with the marker that a job leaves when all of its tasks are committed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(x.getName()) for x in found if x.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A progress ledger, read tolerantly: stage, track_id, status; unreadable lines are left out."""
-    return spark.read.schema("stage STRING, track_id STRING, status STRING").option("mode", "DROPMALFORMED").json(path)
+    """The last finished version of a progress ledger (see writers.save_ledger), read tolerantly: stage, track_id, status;
+    unreadable lines are left out. Empty if there is none."""
+    known = versions(spark, path)
+    if not known:
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").json(f"{path}/{known[-1]}")
+
+
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """id (file name without its ending) and vector (array of double, of length 1; a zero vector stays) of .npy files."""
+
+    @F.pandas_udf("array<double>")
+    def parse(column):
+        import io
+
+        import numpy as np
+
+        rows = [np.load(io.BytesIO(bytes(x)), allow_pickle=False).ravel().astype(float) for x in column]
+        return column.__class__([(r / n if (n := np.linalg.norm(r)) > 0 else r).tolist() for r in rows])
+
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(folder)
+    return f.select(F.regexp_extract("path", r"([^/]*)\.npy$", 1).alias("id"), parse("content").alias("vector"))
 
 
 def table_over_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
@@ -70,9 +97,11 @@ def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def notes_in_xml(df: DataFrame, column: str) -> DataFrame:
-    """pos, note, tie of the <note> elements with an id in a column of markup, in their order."""
-    one = r'<note\b[^>]*\bid="([^"]+)"[^>]*>'
-    return df.select("*", F.posexplode(F.regexp_extract_all(column, F.lit(one), F.lit(1))).alias("pos", "note"))
+    """pos, note, tie (start, stop or null) of the <note> elements with an id in a column of markup, in their order."""
+    whole = r'(?s)<note\b[^>]*\bid="[^"]+"[^>]*?(?:/>|>.*?</note>)'
+    found = df.select("*", F.posexplode(F.regexp_extract_all(column, F.lit(whole), F.lit(0))).alias("pos", "_note"))
+    note, tie = F.regexp_extract("_note", r'\bid="([^"]+)"', 1), F.regexp_extract("_note", r'<tie\b[^>]*\btype="([^"]+)"', 1)
+    return found.select("*", note.alias("note"), F.nullif(tie, F.lit("")).alias("tie")).drop("_note")
 
 
 def pcm16(df: DataFrame, content: str = "content") -> DataFrame:

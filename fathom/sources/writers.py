@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +31,8 @@ def dataset(df: DataFrame, folder: str, private: list[str]) -> None:
 
 
 def ingest(rows: DataFrame, known: DataFrame, key: str, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(new valid rows, rejected rows with their errors); rows whose key is known are passed over."""
+    """(new valid rows, rejected rows with their errors); rows whose key is known are passed over. Nothing is written, so
+    this is the dry run, too; the caller appends the first and reports the second."""
     from .readers import validated
 
     new = validated(rows.join(known.select(key).distinct(), key, "left_anti"), rules)
@@ -36,3 +42,32 @@ def ingest(rows: DataFrame, known: DataFrame, key: str, rules: dict[str, Column]
 def resumed_log(log: DataFrame, more: DataFrame, step: int) -> DataFrame:
     """A metrics log cut at the step that is resumed from, with the rows that follow."""
     return log.where(F.col("step") <= step).unionByName(more.where(F.col("step") > step))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; of this machine only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="fathom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def csv(df: DataFrame, path: str) -> None:
+    flattened(df).write.option("header", True).csv(path)
+
+
+def save_ledger(df: DataFrame, path: str) -> int:
+    """A progress ledger (stage, track_id, status) as the next version below path; its number. Readers take the last
+    version that is finished, so a job that dies half way leaves the version before."""
+    from .readers import versions
+
+    number = (versions(df.sparkSession, path) or [-1])[-1] + 1
+    df.select("stage", "track_id", "status").write.mode("overwrite").json(f"{path}/{number}")
+    return number
+
+
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """df as it is now, kept in a table of its own and read from there; later changes of its sources do not reach it."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

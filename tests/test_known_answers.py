@@ -133,6 +133,29 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r.step for r in writers.resumed_log(log, spark.createDataFrame([(3, 0.2)], "step int, loss double"), 2).collect()) == [1, 2, 3]
 
 
+def test_markup_vectors_and_ledger(spark, tmp_path):
+
+    markup = '<note id="a" x="1"><tie type="start"/></note><note id="b"/><note id="c"><p/></note>'
+    assert [(r.pos, r.note, r.tie) for r in readers.notes_in_xml(spark.createDataFrame([(markup,)], "m string"), "m").collect()] == [(0, "a", "start"), (1, "b", None), (2, "c", None)]
+    np.save(tmp_path / "v1.npy", np.array([3.0, 4.0]))
+    np.save(tmp_path / "v2.npy", np.zeros(2))
+    assert sorted((r.id, r.vector) for r in readers.vectors(spark, str(tmp_path)).collect()) == [("v1", [0.6, 0.8]), ("v2", [0.0, 0.0])]
+    path = str(tmp_path / "ledger")
+    assert readers.ledger(spark, path).count() == 0
+    rows = spark.createDataFrame([("s", "t", "done")], "stage string, track_id string, status string")
+    assert [writers.save_ledger(rows, path), writers.save_ledger(rows, path)] == [0, 1]
+    (tmp_path / "ledger/2").mkdir()  # a version that was never finished
+    (tmp_path / "ledger/2/part-0.json").write_text("{")
+    assert readers.ledger(spark, path).count() == 1
+
+
+def test_unknown_codes_are_errors(spark):
+    df = spark.createDataFrame([("a",), (None,), ("z",)], "c string")
+    assert [r[0] for r in df.where("c is null or c = 'a'").select(text.encoded(F.col("c"), ["b", "a"])).collect()] == [1, None]
+    with pytest.raises(Exception, match="unknown value"):
+        df.select(text.encoded(F.col("c"), ["b", "a"])).collect()
+
+
 def test_rate_windows_and_closure(spark):
     from fathom.operators.graph import closure
 
