@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -89,3 +90,11 @@ def strung(values: list[bytes], index: np.ndarray, edges: np.ndarray) -> list[me
     cuts = np.frombuffer(ends, "<i8", len(got) + 1)[edges] if len(got) else np.zeros(len(edges), np.int64)
     raw = memoryview(data) if data is not None else memoryview(b"")
     return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def hand_back() -> None:
+    """Returns what a task has freed to the system. Python workers live on and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)

@@ -9,7 +9,6 @@ Vocabularies are only read. Text is taken as it is (identity normalisation), wit
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from .common import bounded_batches, chunks, distinct_words, strung
+from .common import bounded_batches, chunks, distinct_words, hand_back, strung
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -32,7 +31,7 @@ DIGEST_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("i
 
 
 class PieceBpe:
-    def __init__(self, model_file: str, cache_size: int = 100_000):
+    def __init__(self, model_file: str, cache_size: int = 60_000):
         sp = SentencePieceProcessor(model_file=model_file)
         self.pieces: dict[str, int] = {}
         self.score: dict[int, float] = {}
@@ -266,10 +265,9 @@ _LOADED: dict[str, PieceBpe] = {}
 
 
 def loaded(model_file: str) -> PieceBpe:
-    """One table for each worker process."""
+    """One table for a worker process, until its task ends."""
     if model_file not in _LOADED:
         _LOADED[model_file] = PieceBpe(model_file)
-        gc.freeze()  # the tables stay; they need not be looked through again and again
     return _LOADED[model_file]
 
 
@@ -293,6 +291,9 @@ def encode_decode(docs: DataFrame, model_file: str, key: str = "doc_id", digest:
                 ids = [np.array(bytes(x[:-1]).split(b",") if len(x) else [], np.int32) for x in digits]
                 columns = [pa.array(ids, pa.list_(pa.int32())), pa.array([str(x, "utf-8") for x in shown], pa.string())]
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), *columns], schema=schema)
+        _LOADED.clear()  # the worker lives on for other work; a table is read again in a third of a second
+        del table
+        hand_back()
 
     out = "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
     return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, out)

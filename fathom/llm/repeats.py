@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, hand_back
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SEGMENT = 1 << 18  # windows worked on at once
@@ -112,7 +112,7 @@ class Chunks:
     count: np.ndarray
 
 
-def cut_up(docs: list[np.ndarray], window: int, gram: int, chunk_bits: int, want_doubled: bool = False) -> tuple[Chunks, Runs]:
+def cut_up(docs: Iterable[np.ndarray], window: int, gram: int, chunk_bits: int, want_doubled: bool = False) -> tuple[Chunks, Runs]:
     """Chunks and runs of all windows of the documents' symbols (64-bit, spread evenly). Long documents are worked on in
     segments; a segment's begin is a cut, too, which does no harm."""
     out_chunks: list[tuple] = []
@@ -232,7 +232,7 @@ class Shard:
         self.shard, self.kind = table["shard"][0].as_py(), kind
         self.ids = np.array([LAST if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
         self.units = [kind.units(x or b"") for x in table["text"].to_pylist()]
-        self.chunks, self.runs = cut_up([kind.symbols(u) for u in self.units], kind.window, kind.gram, kind.chunk_bits, want_doubled=kind.within and told is None)
+        self.chunks, self.runs = cut_up((kind.symbols(u) for u in self.units), kind.window, kind.gram, kind.chunk_bits, want_doubled=kind.within and told is None)
         if told is None:
             return
         flags, kinds = told["flags"].to_pylist(), told["anchor"].to_numpy()
@@ -311,6 +311,7 @@ def _offers(kind: Kind, buckets: int):
                 row = b, s.shard, *(x[i:j].tobytes() for x in raw), packed(alone[p[b] : p[b + 1]]), packed(several[q[b] : q[b + 1]]), counts[q[b] : q[b + 1]].tobytes()
                 for name, x in zip(out, row, strict=True):
                     out[name].append(x)
+        hand_back()
         return pa.table({k: pa.array(x, pa.int64() if k in ("bucket", "shard") else pa.binary()) for k, x in out.items()})
 
     return run
@@ -377,6 +378,7 @@ def _contents(kind: Kind):
             s = Shard(in_order(table), kind, told)
             rows, number, first = s.numbered()
             shard, ids = s.shard, s.ids[rows[0]]
+        hand_back()
         least = np.full(len(first), LAST)
         np.minimum.at(least, number, ids)
         key = np.asarray(rows[3], np.uint64)[first].astype(np.int64) if first else np.zeros(0, np.int64)
@@ -410,6 +412,7 @@ def _judgements(kind: Kind, most_bytes: int = 1 << 18):
                 held, size = t.slice(end).combine_chunks().to_batches(), t.slice(end).nbytes
         if held:
             yield solve(pa.Table.from_batches(held))
+        hand_back()
 
     return run
 
@@ -456,6 +459,7 @@ def _results(kind: Kind, schema: pa.Schema):
             begin, end = np.r_[hit_start[a:b], single], np.r_[hit_start[a:b] + hit_count[a:b], single + 1] + kind.window - 1
             steps = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
             out.append(kind.finish(u, np.cumsum(steps[:n]) > 0))
+        hand_back()
         head = table["row"].combine_chunks() if "row" in table.column_names else table["doc_id"].combine_chunks().cast(pa.int64())
         return pa.table([head, *(pa.array([x[k] for x in out], f.type) for k, f in enumerate(list(schema)[1:]))], names=schema.names)
 

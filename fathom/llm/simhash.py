@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, written
+from .common import ASCII_LOWER, bounded_batches, hand_back, written
 from .components import components
 
 FANOUT = 8
@@ -368,6 +368,7 @@ def candidates(known: DataFrame, similarity: Fraction, batch: int = 100_000, blo
                 held, n = [now[:, end:]], now.shape[1] - end
         if n:
             yield from solve(np.concatenate(held, axis=1))
+        hand_back()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -407,6 +408,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
                     ],
                     names=["doc_id", "node", "code", "size", "prefix"],
                 )
+        hand_back()
 
     marks = written(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(mark, "doc_id long, node long, code binary, size long, prefix binary"))
     codes = marks.groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -447,6 +449,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, w
                 held, rows = [(key[end:], node[end:], code[end:])], len(key) - end
         if rows:
             yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        hand_back()
 
     nearest = groups.mapInArrow(link, "a long, b long, apart long").where("a <> b").groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, 3).alias("near"))
     near = nearest.select("a", F.explode("near.b").alias("b"))  # a few for each node; candidates() has the rest

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, distinct_words
+from .common import bounded_batches, chunks, distinct_words, hand_back
 
 SYMBOLS = 5  # bits for a character
 SPAN, DECAY = 6, 0.7
@@ -140,10 +140,13 @@ class Model:
     def values(self, units: list[str]) -> np.ndarray:
         return weighed(units, self.table) + self.offset
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def of_words(self, words: list[str], most: int, keep: bool = True) -> list[float]:
         """The highest value of the pieces of each word, -inf without pieces."""
         if not hasattr(self, "cache"):
-            self.cache, self.older = {}, {}
+            self.forget()
         got = list(map(self.cache.get, words))
         missing = []
         for k in [k for k, x in enumerate(got) if x is None]:
@@ -306,7 +309,7 @@ def fit(rows: Iterable[tuple[str | None, int]], folds: int = 3, stands: tuple[fl
     return calibrated({k: without(docs, k, folds) for k in range(folds + 1)}, [y for _, y in docs], stands)
 
 
-def document_values(texts: pa.Array, model: Model, most: int = 100_000) -> np.ndarray:
+def document_values(texts: pa.Array, model: Model, most: int = 50_000) -> np.ndarray:
     """The highest value of any unit of each text; the lowest value known from training for a text without units.
 
     The model keeps the values of the words that it has seen, in two generations of at most `most` words.
@@ -372,6 +375,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max
         rows = sorted(zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), shared_units(table["sentences"].combine_chunks()), strict=True), key=lambda r: (crc32(b"%d" % r[0]), r[0]))
         fold = table["fold"][0].as_py()
         model, values = without([(s, y) for _, y, s in rows], fold, tuning)
+        hand_back()
         return pa.table({"fold": pa.array([fold], pa.int64()), "empty": pa.array([model is None], pa.bool_()), "model": pa.array([model.table.tobytes() if model else b""], pa.binary()), "offset": pa.array([model.offset if model else 0.0]), "held": pa.array([values], pa.list_(pa.float64())), "labels": pa.array([[y for _, y, _ in rows]], pa.list_(pa.int32()))})
 
     got = parts.groupBy("fold").applyInArrow(one, FITTED).collect()
@@ -390,6 +394,8 @@ def scored(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
         for part in chunks(batches, 2 << 20):
             score = sent.value.score(document_values(part["text"].combine_chunks(), sent.value))
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(score), pa.array((score >= limit).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        sent.value.forget()
+        hand_back()
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -402,5 +408,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
         for part in chunks(batches, 2 << 20):
             score = sent.value.score(document_values(part["text"].combine_chunks(), sent.value))
             yield from part.filter(pa.array(score < limit)).to_batches()
+        sent.value.forget()
+        hand_back()
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)
