@@ -30,7 +30,7 @@ def path_of(url: Column) -> Column:
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """(rule, verdict) of the longest rule that fits, else null. rules: (verdict, host + path), few and stated by the caller.
 
-    A rule fits its host and all subdomains, if the path starts with the rule's. Of equally long ones the first stands.
+    A rule fits its host and all subdomains, if the path starts with the rule's. Of equally long ones the last stands.
     """
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda x: len(x[1])):
