@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-A block of sentences is compressed alone and with each template as a raw zstandard dictionary. The template that saves
-most is the best guess; it is confirmed by the exact wording: the number of words that must be put in, left out or
-exchanged to get from one to the other.
+A block is the words around a trigger word, whatever line ends and comment marks lie between them. It is compressed
+alone and with each template as a raw zstandard dictionary; templates are tried by the bytes they save. A template is
+confirmed by the exact wording: the number of words that must be put in, left out or exchanged to get from a run of the
+block's words to the template's.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,19 @@ TEMPLATES = {
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     "Apache-2.0-notice": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
 }
+#: Names and versions. A wording without them is that of another license.
+NAMES = {
+    "MIT": {"mit"},
+    "Apache-2.0": {"apache", "2.0"},
+    "GPL-3.0": {"gnu", "3"},
+    "CC-BY-NC-4.0": {"by-nc", "4.0"},
+    "CC-BY-SA-4.0": {"attribution-sharealike", "4.0"},
+    "MPL-2.0": {"mozilla", "2.0"},
+    "BSD-3-Clause": {"bsd-style"},
+    "GPL-3.0-notice": {"gnu", "3"},
+}
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\n)|$)")
+LINE_END = re.compile(r"\s*[\r\n][\s#/*;%!\-]*")
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("license", pa.string()), ("differences", pa.int64()), ("bytes_alone", pa.int64()), ("bytes_given", pa.int64()), ("block", pa.string())])
 
 
@@ -40,80 +52,104 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def differences(a: list[str], b: list[str]) -> int:
-    """Least number of words to put in, leave out or exchange."""
-    row = np.arange(len(b) + 1)
-    other = np.array(b, object)
-    for k, w in enumerate(a, 1):
-        step = np.minimum(row[1:] + 1, row[:-1] + (other != w))
-        row = np.r_[k, step]
-        row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
-    return int(row[-1])
+def best_run(own: list[str], at: int, wording: list[str], allowed: int, names: frozenset[str] = frozenset()) -> tuple[int, int, int, int] | None:
+    """(differences, surplus or lack of words, start, end) of the best run of own that has the word at, None if all have over allowed.
+
+    Differences are the least number of words to put in, leave out or exchange; words in names can't be left out or
+    exchanged. Fewest differences go first, then the length nearest to the wording's, then the first start.
+    """
+    most = len(wording) + allowed
+    starts = np.arange(max(0, at - most + 1), at + 1)
+    code = {w: k for k, w in enumerate(dict.fromkeys(wording))}
+    coded = np.array([code.get(w, -1) for w in own] + [-1] * most)
+    grid, steps = coded[starts[:, None] + np.arange(most)], np.arange(most + 1)
+    row = np.broadcast_to(steps, (len(starts), most + 1))
+    for w in wording:
+        price = allowed + 1 if w in names else 1
+        row = np.concatenate([row[:, :1] + price, np.minimum(row[:, 1:] + price, row[:, :-1] + price * (grid != code[w]))], axis=1)
+        row = np.minimum.accumulate(row - steps, axis=1) + steps
+    ends = starts[:, None] + steps
+    s, n = np.nonzero((row <= allowed) & (ends > at) & (ends <= len(own)))
+    return min(((int(row[i, j]), abs(int(j) - len(wording)), int(starts[i]), int(ends[i, j])) for i, j in zip(s, n, strict=True)), default=None)
 
 
 class Scanner:
-    """share: differing words allowed, as a part of the template's words."""
+    """share: differing words allowed, as a part of the template's words; one at least, if others are left to know it by."""
 
-    def __init__(self, templates: dict[str, str], share: float = 0.1, level: int = 3):
-        self.names = list(templates)
-        self.words = [words(templates[x]) for x in self.names]
-        self.allowed = [int(share * len(w)) for w in self.words]
+    def __init__(self, templates: Mapping[str, str], share: float = 0.1, names: Mapping[str, set[str]] = NAMES, level: int = 3):
+        self.licenses = list(templates)
+        self.words = [words(templates[x]) for x in self.licenses]
+        self.names = [frozenset(names.get(x, ())) & frozenset(w) for x, w in zip(self.licenses, self.words, strict=True)]
+        self.allowed = [min(max(1, int(share * len(w))), len(set(w)) - 1) for w in self.words]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        raw = [zstandard.ZstdCompressionDict(templates[x].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in self.names]
+        raw = [zstandard.ZstdCompressionDict(templates[x].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in self.licenses]
         self.given = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False) for d in raw]
-        #: Of each template so many words that a block within its allowance has at least one of them.
-        self.triggers = sorted({w for ws, n in zip(self.words, self.allowed, strict=True) for w in sorted(set(ws), key=lambda x: (-len(x), x))[: n + 1]})
-        self.trigger = re.compile("|".join(map(re.escape, self.triggers)), re.IGNORECASE)
-        self.known: dict[str, tuple[int, int, int, int] | None] = {}
-
-    def judge(self, block: str) -> tuple[int, int, int, int] | None:
-        """Template, differences, bytes alone, bytes given the template; None if no template's wording is near enough."""
-        if block in self.known:
-            return self.known[block]
-        raw, own = block.encode("utf-8", "replace"), words(block)
-        alone = len(self.plain.compress(raw))
-        fits = [k for k, w in enumerate(self.words) if abs(len(w) - len(own)) <= self.allowed[k]]
-        ranked = sorted((len(self.given[k].compress(raw)), k) for k in fits)
-        got = None
-        for size, k in ranked:
-            if size >= alone:
-                break
-            n = differences(own, self.words[k])
-            if n <= self.allowed[k]:
-                got = (k, n, alone, size)
+        #: Of each template so many words (the longest) that a run within its allowance has at least one of them.
+        self.triggers: dict[str, list[int]] = {}
+        for k, (ws, n) in enumerate(zip(self.words, self.allowed, strict=True)):
+            for w in sorted(set(ws), key=lambda x: (-len(x), x))[: n + 1]:
+                self.triggers.setdefault(w, []).append(k)
+        self.reach = {w: max(len(self.words[k]) + self.allowed[k] for k in ks) for w, ks in self.triggers.items()}
+
+    def judge(self, block: str, own: list[str], at: int) -> tuple[int, int, int, int, int, int, int] | None:
+        """Differences, place in the ranks, start, end (of words), template, bytes alone, bytes given of the best find that has
+        the trigger word at; None if no template's wording is near enough."""
+        there = set(own)
+        fits = [k for k in self.triggers[own[at]] if self.names[k] <= there and len(set(self.words[k]) - there) <= self.allowed[k]]
+        if not fits:
+            return None
+        raw = block.encode("utf-8", "replace")
+        alone, best = len(self.plain.compress(raw)), None
+        for rank, (size, k) in enumerate(sorted((len(self.given[k].compress(raw)), k) for k in fits)):
+            run = best_run(own, at, self.words[k], self.allowed[k], self.names[k])
+            if run and (best is None or run[0] < best[0]):
+                best = (run[0], rank, run[2], run[3], k, alone, size)
+            if best and best[0] == 0:
                 break
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[block] = got
-        return got
+        return best
 
     def scan(self, text: str) -> list[tuple[int, str, int, int, int, str]]:
-        """Each find: start (character), license, differences, bytes alone, bytes given, the block."""
-        out, end = [], 0
-        for m in self.trigger.finditer(text):
-            if m.start() < end:
-                continue
-            line = text.rfind("\n", 0, m.start()) + 1
-            stop = text.find("\n", m.start())
-            end = len(text) if stop < 0 else stop
-            for s in SENTENCE.finditer(text, line, end):
-                block = s.group().strip()
-                if block and self.trigger.search(block) and (got := self.judge(block)):
-                    out.append((s.start() + s.group().index(block), self.names[got[0]], *got[1:], block))
-        return out
-
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float = 0.1) -> DataFrame:
-    """doc_id, start, license, differences, bytes_alone, bytes_given, block: a row for each sentence with a license's wording.
-
-    Whole texts are searched. A text without any trigger word (see Scanner) cannot hold a find and is passed over in the
-    JVM. Null and empty texts have no finds. Repeated rows and null ids are scanned row by row. No shuffle.
+        """Each find: start (character), license, differences, bytes alone, bytes given, the wording as it stands.
+
+        Finds don't overlap: fewest differences go first, then the longer template, then the first. What they leave is
+        searched again, so a run of words within a template's allowance always meets a find.
+        """
+        at = [m.span() for m in WORD.finditer(text)]
+        own = [text[a:b].lower() for a, b in at]
+        hits = [i for i, w in enumerate(own) if w in self.triggers]
+        taken, found = np.zeros(len(own) + 1, bool), []
+        while hits:
+            offers = []
+            for i in hits:
+                a, b = max(0, i - self.reach[own[i]]), min(len(own), i + self.reach[own[i]] + 1)
+                shut = np.flatnonzero(taken[a:b]) + a
+                a, b = max([a, *(shut[shut < i][-1:] + 1)]), min([b, *shut[shut > i][:1]])
+                got = self.judge(LINE_END.sub(" ", text[at[a][0] : at[b - 1][1]]), own[a:b], i - a)
+                if got:
+                    offers.append((got[0], -len(self.words[got[4]]), got[2] + a, got[3] + a, i, got))
+            hits = []
+            for _, _, a, b, i, got in sorted(offers):
+                if not taken[a:b].any():
+                    taken[a:b] = True
+                    found.append((at[a][0], self.licenses[got[4]], got[0], got[5], got[6], text[at[a][0] : at[b - 1][1]]))
+                elif not taken[i]:
+                    hits.append(i)
+            hits = [i for i in hits if not taken[i]]
+        return sorted(found)
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, share: float = 0.1, names: Mapping[str, set[str]] = NAMES) -> DataFrame:
+    """doc_id, start, license, differences, bytes_alone, bytes_given, block: a row for each run of words that has a license's wording.
+
+    Whole texts are searched; line ends and comment marks between words don't count. A text without any trigger word (see
+    Scanner) cannot hold a find and is passed over in the JVM. Null and empty texts have no finds. Repeated rows and null
+    ids are scanned row by row. Other columns are not read. No shuffle.
     """
-    sample = Scanner(templates, share)
-    pattern = "(?i)" + "|".join(re.escape(w).replace(r"\-", "-") for w in sample.triggers)
+    sample = Scanner(templates, share, names)
+    pattern = "(?iu)" + "|".join(re.escape(w).replace(r"\-", "-") for w in sorted(sample.triggers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, share)
+        scanner = Scanner(templates, share, names)
         for batch in batches:
             rows = [(i, *r) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in scanner.scan(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(OUT)], schema=OUT)

@@ -235,29 +235,77 @@ def test_toxicity_without_both_labels(spark):
 
 
 def test_license_scan(spark):
-    rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License version 3. And so on"), (3, "the license of this text"), (None, None), (4, ""), (5, "licensed under CC BY-NC 4.0.")]
-    got = [(r.doc_id, r.license, r.differences, r.start) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert got == [(1, "MIT", 0, 5), (2, "GPL-3.0", 0, 0), (5, "CC-BY-NC-4.0", 0, 0)]
-    s = license_scan.Scanner(license_scan.TEMPLATES)
-    notice = license_scan.TEMPLATES["MIT-notice"]
-    assert s.judge(notice.replace("merge", "unite"))[:2] == (s.names.index("MIT-notice"), 1)
-    assert s.judge("Released under the GNU License.") is None
-
+    rows = [(1, "text\nReleased under the MIT License.\nmore", 1), (2, "This work is licensed under the GNU General Public License version 3. And so on", 1), (3, "the license of this text", 1), (None, None, 1), (4, "", 1), (5, "licensed under CC BY-NC 4.0.", 1), (5, "licensed under CC BY-NC 4.0.", 1), (6, "Licensed under the MIT License.", 1), (7, "Released under the GNU License.", 1), (8, "x " * 20_000 + "Released under the MIT License", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long")
+    got = sorted((r.doc_id, r.license, r.differences, r.start) for r in license_scan.scan(docs).collect())
+    assert got == [(1, "MIT", 0, 5), (2, "GPL-3.0", 0, 0), (5, "CC-BY-NC-4.0", 0, 0), (5, "CC-BY-NC-4.0", 0, 0), (6, "MIT", 1, 0), (8, "MIT", 0, 40_000)]
+    assert license_scan.scan(docs.limit(0)).count() == 0
 
-def test_license_differences():
-    r = random.Random(2)
 
-    def plain(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_license_scan_finds_wrapped_notices(mark):
+    import textwrap
 
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        lines = textwrap.wrap(f"Some code here; {text} You may not use it otherwise.", 72, break_on_hyphens=False)
+        whole = "int a;\n" + "\n".join(mark + x for x in lines) + "\nint b;"
+        assert [(f[1], f[2]) for f in s.scan(whole)] == [(name, 0)]
+        changed = whole.replace("License", "Licence", 1) if name in ("CC-BY-SA-4.0", "MPL-2.0") else whole.replace("software", "programs", 1)
+        assert [f[1] for f in s.scan(changed)] == [name]
+    both = "\n".join(license_scan.TEMPLATES.values()) * 3
+    assert collections.Counter(f[1] for f in s.scan(both)) == dict.fromkeys(license_scan.TEMPLATES, 3)
+
+
+def edits(a, b, names=(), most=99):
+    """Plain edit distance of words from b to a; words in names cost over most."""
+    price = [most + 1 if x in names else 1 for x in b]
+    d = list(range(len(a) + 1))
+    for x, c in zip(b, price):
+        p, d[0] = d[0], d[0] + c
+        for j, y in enumerate(a, 1):
+            p, d[j] = d[j], min(d[j] + c, d[j - 1] + 1, p + c * (x != y))
+    return d[-1]
+
+
+def test_license_scan_equals_brute_force():
+    templates = {"a": "red green blue black red white", "b": "green grey blue", "c": "pink red blue", "d": "gold"}
+    names = {"b": {"grey"}}
+    s = license_scan.Scanner(templates, 0.34, names)
+    assert s.allowed == [2, 1, 1, 0]
+    r = random.Random(2)
+    vocabulary = "red green blue black white grey pink gold other".split()
+    seen = collections.Counter()
+    for _ in range(400):
+        own = [r.choice(vocabulary) for _ in range(r.randint(0, 14))]
+        text = " ".join(own)
+        free, finds = set(range(len(own))), []
+        for start, name, n, alone, given, wording in s.scan(text):
+            k = len(text[:start].split())
+            run = range(k, k + len(wording.split()))
+            assert free.issuperset(run)  # finds don't overlap
+            free.difference_update(run)
+            finds.append((name, n, wording))
+        for name, n, wording in finds:
+            k = s.licenses.index(name)
+            assert edits(wording.split(), s.words[k], s.names[k], s.allowed[k]) == n <= s.allowed[k]
+        for k in range(len(s.words)):  # and each run that is near enough meets one
+            for i in range(len(own)):
+                for j in range(i + 1, len(own) + 1):
+                    if free.issuperset(range(i, j)):
+                        assert edits(own[i:j], s.words[k], s.names[k], s.allowed[k]) > s.allowed[k]
+        seen.update(f[:2] for f in finds)
+    assert len(seen) > 6
+
+
+def test_best_run_equals_brute_force():
+    r = random.Random(3)
     for _ in range(300):
-        a, b = ([r.choice("abc") for _ in range(r.randint(0, 9))] for _ in range(2))
-        assert license_scan.differences(a, b) == plain(a, b)
+        own, wording = ([r.choice("abc") for _ in range(r.randint(1, 9))] for _ in range(2))
+        at, allowed, names = r.randrange(len(own)), r.randint(0, 3), frozenset(r.sample("abc", r.randint(0, 1)))
+        runs = [(edits(own[i:j], wording, names, allowed), abs(j - i - len(wording)), i, j) for i in range(at + 1) for j in range(at + 1, len(own) + 1)]
+        want = min((x for x in runs if x[0] <= allowed), default=None)
+        assert license_scan.best_run(own, at, wording, allowed, names) == want
 
 
 def brute_url(url):
