@@ -83,9 +83,9 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
 
 
-def strung(values: list[bytes], index: np.ndarray, edges: np.ndarray) -> list[memoryview]:
+def strung(values: list[bytes] | pa.LargeBinaryArray, index: np.ndarray, edges: np.ndarray) -> list[memoryview]:
     """For each text the values of its words in a row; index and edges as from distinct_words()."""
-    got = pa.array(values, pa.large_binary()).take(pa.array(index))
+    got = (values if isinstance(values, pa.LargeBinaryArray) else pa.array(values, pa.large_binary())).take(pa.array(index))
     _, ends, data = got.buffers()
     cuts = np.frombuffer(ends, "<i8", len(got) + 1)[edges] if len(got) else np.zeros(len(edges), np.int64)
     raw = memoryview(data) if data is not None else memoryview(b"")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, piece_bpe, simhash, substring_dedup, suffix_dedup, token_files, topk, toxicity, url_rules
+from . import decontamination, license_scan, piece_bpe, simhash, substring_dedup, suffix_dedup, token_alignment, token_files, topk, toxicity, url_rules
 from .common import table
 
 #: Stated rules (verdict, host and path).
@@ -63,7 +63,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", toxicity.in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_token_files, op9_suffix_dedup, op10_toxicity)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_token_files, op9_suffix_dedup, op10_toxicity, op11_token_alignment)}
 
 SQL: dict[str, str] = {
     "op2_decontamination": r"""
