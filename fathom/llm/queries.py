@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, piece_bpe, simhash, substring_dedup, suffix_dedup, token_alignment, token_files, topk, toxicity, url_rules
+from . import conversations, decontamination, license_scan, piece_bpe, simhash, substring_dedup, suffix_dedup, token_alignment, token_files, topk, toxicity, url_rules
 from .common import table
 
 #: Stated rules (verdict, host and path).
@@ -67,7 +67,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_token_files, op9_suffix_dedup, op10_toxicity, op11_token_alignment)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_token_files, op9_suffix_dedup, op10_toxicity, op11_token_alignment, op13_conversation_repair)}
 
 SQL: dict[str, str] = {
     "op2_decontamination": r"""
@@ -96,5 +100,32 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+crc AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 20 AS kind FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM crc, LATERAL (SELECT unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, left(role, 1) AS i FROM damaged),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'd'
+  WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY rn) || i AS pair FROM placed),
+steps(prev, next, ins) AS (VALUES ('', 's', 0), ('', 'u', 0), ('s', 'u', 0), ('a', 'u', 0), ('u', 'u', 1), ('u', 'a', 0), ('', 'a', 1), ('s', 'a', 1), ('a', 'a', 1)),
+moves AS (SELECT conv_id, rn, p AS prev, p AS next, 3 AS price, 'D' AS edit FROM faults, (VALUES (''), ('s'), ('u'), ('a')) v(p)
+  UNION ALL SELECT conv_id, rn, prev, next, 2 * ins + CASE WHEN i = next THEN 0 ELSE 2 END + CASE WHEN fault = 't' THEN 1 ELSE 0 END, repeat('I', ins) || CASE WHEN i = next THEN 'K' ELSE 'R' END
+  FROM faults, steps WHERE fault NOT IN ('b', 'd') AND (i = next OR next <> 's')),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS rn, '' AS st, {'c': CAST(0 AS BIGINT), 'a': ''} AS best FROM placed
+  UNION ALL SELECT d.conv_id, m.rn, m.next, min({'c': d.best.c + m.price, 'a': d.best.a || m.edit}) FROM dp d JOIN moves m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND m.rn = d.rn + 1 AND m.prev = d.st GROUP BY d.conv_id, m.rn, m.next),
+cheapest AS (SELECT dp.conv_id, min({'c': best.c + 2 * e.n, 'a': best.a || repeat('I', CAST(e.n AS BIGINT))}) AS best FROM dp JOIN (SELECT conv_id, max(rn) AS n FROM placed GROUP BY conv_id) l ON dp.conv_id IS NOT DISTINCT FROM l.conv_id AND dp.rn = l.n
+  JOIN (VALUES ('', 0), ('s', 2), ('u', 1), ('a', 0)) e(st, n) ON e.st = dp.st GROUP BY dp.conv_id),
+letters AS (SELECT conv_id, k, best.a[k] AS edit, k - len(replace(left(best.a, k), 'I', '')) AS before_it FROM cheapest, LATERAL (SELECT unnest(range(1, len(best.a) + 1)) AS k)),
+lines AS (SELECT l.conv_id, k, edit, role, text, edit = 'K' AND i = 's' AS is_s, row_number() OVER (PARTITION BY l.conv_id, edit = 'K' AND i = 's' ORDER BY k) AS nth
+  FROM letters l LEFT JOIN placed p ON p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.rn = l.k - before_it AND edit <> 'I' WHERE edit <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM lines GROUP BY conv_id),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN cheapest x ON o.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
 """,
 }
