@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontamination, license_scan, piece_bpe, simhash, substring_dedup, suffix_dedup, token_alignment, token_files, topk, toxicity, url_rules
+from . import conversations, decontamination, document_fingerprints, license_scan, piece_bpe, simhash, substring_dedup, suffix_dedup, token_alignment, token_files, topk, toxicity, url_rules
 from .common import table
 
 #: Stated rules (verdict, host and path).
@@ -67,11 +67,18 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_token_files, op9_suffix_dedup, op10_toxicity, op11_token_alignment, op13_conversation_repair)}
+#: The subsets of op12 as rows of SQL: number, factor, bits.
+SUBSETS = ", ".join(f"({j + 1}, {f}, {b})" for j, (f, b) in enumerate(zip(document_fingerprints.FACTORS, document_fingerprints.BITS, strict=True)))
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filters, op4_exact_topk, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_token_files, op9_suffix_dedup, op10_toxicity, op11_token_alignment, op12_document_fingerprints, op13_conversation_repair)}
 
 SQL: dict[str, str] = {
     "op2_decontamination": r"""
@@ -100,6 +107,23 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op12_document_fingerprints": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS rn, count(*) OVER () AS n FROM documents),
+p AS (SELECT d.doc_id, d.rn, d.n, d.text, left(d.text, len(d.text) - len(d.text) // 2) || left(e.text, len(d.text) // 2) AS edited FROM d JOIN d e ON e.rn = d.rn % d.n + 1),
+t AS (SELECT rn, 0 AS side, text FROM p UNION ALL SELECT rn, 1, edited FROM p),
+w AS (SELECT rn, side, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS word FROM t),
+lexicon AS (SELECT word FROM w WHERE side = 0 GROUP BY word HAVING count(*) * 2000 >= (SELECT count(*) FROM documents) AND count(*) * 10 <= (SELECT count(*) FROM documents)),
+held AS (SELECT rn, side, w.word, l.word IS NOT NULL AS known, bool_or(l.word IS NOT NULL) OVER (PARTITION BY rn, side) AS any_known FROM w LEFT JOIN lexicon l ON w.word = l.word),
+subsets(j, f, b) AS (VALUES (0, 0, 0), {SUBSETS}),
+inside AS (SELECT word, j FROM (SELECT DISTINCT word, md5_number_lower(word) AS h FROM held WHERE known OR NOT any_known), subsets
+  WHERE j = 0 OR (CAST(h AS HUGEINT) * f) % 18446744073709551616 < CAST(1 AS HUGEINT) << (64 - b)),
+signatures AS (SELECT rn, side, j, md5(string_agg(word, ' ' ORDER BY word)) AS m FROM held JOIN inside USING (word) WHERE known OR NOT any_known GROUP BY rn, side, j),
+prints AS (SELECT rn, side, string_agg(CASE WHEN j = 0 THEN left(coalesce(m, md5(text)), 16) ELSE coalesce(left(m, 6), '') END, ',' ORDER BY j) AS fp FROM t CROSS JOIN subsets LEFT JOIN signatures USING (rn, side, j) GROUP BY rn, side),
+all_rows AS (SELECT p.*, a.fp AS a, b.fp AS b, c.fp AS c FROM p JOIN prints a ON a.rn = p.rn AND a.side = 0 JOIN prints b ON b.rn = p.rn AND b.side = 1 JOIN prints c ON c.rn = p.rn % p.n + 1 AND c.side = 0),
+zipped AS (SELECT *, list_filter(list_zip(string_split(a, ','), string_split(b, ','), {document_fingerprints.WEIGHTS}), lambda z: z[1] <> '' OR z[2] <> '') AS x, list_filter(list_zip(string_split(a, ','), string_split(c, ','), {document_fingerprints.WEIGHTS}), lambda z: z[1] <> '' OR z[2] <> '') AS y FROM all_rows)
+SELECT doc_id, CAST(len(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+ CAST(coalesce(list_sum(list_transform(list_filter(x, lambda z: z[1] = z[2]), lambda z: z[3])), 0) AS DOUBLE) / list_sum(list_transform(x, lambda z: z[3])) AS near_edited, CAST(coalesce(list_sum(list_transform(list_filter(y, lambda z: z[1] = z[2]), lambda z: z[3])), 0) AS DOUBLE) / list_sum(list_transform(y, lambda z: z[3])) AS near_next FROM zipped
 """,
     "op13_conversation_repair": r"""
 WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
