@@ -43,12 +43,9 @@ def terms(text: bytes) -> set[bytes]:
     return set(WORD.findall(text.translate(ASCII_LOWER)))
 
 
-def term_hash(term: bytes) -> int:
-    return int.from_bytes(hashlib.md5(term).digest()[8:], "little")
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(term_hash, words), np.uint64, len(words))
+    """The second half of each word's MD5."""
+    return np.frombuffer(b"".join([hashlib.md5(w).digest()[8:] for w in words]), "<u8")
 
 
 def likeness(a: str, b: str) -> float:
@@ -57,37 +54,40 @@ def likeness(a: str, b: str) -> float:
     return sum(w for w, equal in both if equal) / sum(w for w, _ in both)
 
 
-def sign(texts: list[bytes], kept: Callable[[list[bytes]], np.ndarray]) -> list[str]:
+def sign(texts: list[bytes], kept: Callable[[list[bytes], np.ndarray], np.ndarray]) -> list[str]:
     """The fingerprint of each text: the signature of all its terms, then those of the subsets, empty where it has none.
 
-    kept tells which of some terms are in the lexicon. A text without a term in it is signed by all its terms, and one
-    without any terms by its bytes.
+    kept tells which of some terms (and their hashes) are in the lexicon. A text without a term in it is signed by all its
+    terms, and one without any terms by its bytes.
     """
     sets = [terms(t) for t in texts]
-    words = sorted(set().union(*sets))
+    words = list(set().union(*sets))
     place = dict(zip(words, range(len(words)), strict=True))
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    word = np.fromiter((place[w] for s in sets for w in s), np.int64, sizes.sum())
+    word = np.array([place[w] for s in sets for w in s], np.int64)
     text = np.repeat(np.arange(len(sets)), sizes)
-    held = kept(words)[word] if words else np.zeros(0, bool)
+    h = hashes(words)
+    held = kept(words, h)[word] if words else np.zeros(0, bool)
     held |= np.bincount(text[held], minlength=len(sets))[text] == 0
     word, text = word[held], text[held]
-    order = np.lexsort((word, text))
-    word, text = word[order], text[order]
-    h = hashes(words)
-    inside = np.stack([np.ones(len(words), bool), *(h * np.uint64(f) >> np.uint64(64 - b) == 0 for f, b in zip(FACTORS, BITS, strict=True))], axis=1)
+    used = np.array(sorted(np.unique(word).tolist(), key=words.__getitem__), np.int64)  # only these are sorted and dealt to subsets
+    names, h = [words[k] for k in used.tolist()], h[used]
+    rank = np.zeros(len(words), np.int64)
+    rank[used] = np.arange(len(used))
+    order = np.lexsort((rank[word], text))
+    word, text = rank[word][order], text[order]
+    inside = np.stack([np.ones(len(h), bool), *(h * np.uint64(f) >> np.uint64(64 - b) == 0 for f, b in zip(FACTORS, BITS, strict=True))])
     out = []
-    ends = np.searchsorted(text, np.arange(len(sets) + 1))
-    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        own = word[a:b]
-        if not len(own):
+    ends = np.searchsorted(text, np.arange(len(sets) + 1)).tolist()
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if a == b:
             out.append(hashlib.md5(texts[k]).hexdigest()[:16] + "," * len(BITS))
             continue
-        subset, at = np.nonzero(inside[own].T)
-        names = [words[i] for i in own[at].tolist()]
+        own = word[a:b]
+        subset, at = np.nonzero(inside[:, own])
+        mine = [names[i] for i in own[at].tolist()]
         cuts = np.searchsorted(subset, np.arange(len(BITS) + 2)).tolist()
-        all_hash = hashlib.md5(b" ".join(names[: cuts[1]])).hexdigest()[:16]
-        out.append(",".join([all_hash, *(hashlib.md5(b" ".join(names[x:y])).hexdigest()[:6] if y > x else "" for x, y in zip(cuts[1:-1], cuts[2:], strict=True))]))
+        out.append(",".join([hashlib.md5(b" ".join(mine[: cuts[1]])).hexdigest()[:16], *[hashlib.md5(b" ".join(mine[x:y])).hexdigest()[:6] if y > x else "" for x, y in zip(cuts[1:-1], cuts[2:], strict=True)]]))
     return out
 
 
@@ -96,7 +96,10 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, CHUNK_BYTES):
-            seen = Counter(w for t in part["text"].to_pylist() if t for w in terms(t))
+            seen: Counter[bytes] = Counter()
+            for t in part["text"].to_pylist():
+                if t:
+                    seen.update(terms(t))
             yield pa.RecordBatch.from_arrays([pa.array(hashes(list(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
         hand_back()
 
@@ -126,7 +129,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[i
         yield held, True
 
 
-def _rows(held: list[tuple[int | None, str]], kept: Callable[[list[bytes]], np.ndarray]) -> list[tuple]:
+def _rows(held: list[tuple[int | None, str]], kept: Callable[[list[bytes], np.ndarray], np.ndarray]) -> list[tuple]:
     """Rows of DIGEST for all of held but the last, which is only the next of the one before."""
     changed = [edited(t, held[k + 1][1]).encode() for k, (_, t) in enumerate(held[:-1])]
     prints = sign([t.encode() for _, t in held] + changed, kept)
@@ -137,7 +140,7 @@ def _rows(held: list[tuple[int | None, str]], kept: Callable[[list[bytes]], np.n
 ENDS = ", part long, first boolean, text string"
 
 
-def _paired(docs: DataFrame, kept: Callable[[list[bytes]], np.ndarray] | None) -> DataFrame:
+def _paired(docs: DataFrame, kept: Callable[[list[bytes], np.ndarray], np.ndarray] | None) -> DataFrame:
     """Rows of DIGEST and, with part set, the first and the last row of each range. kept None: texts in place of digests."""
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.string()]
     schema = DIGEST + ENDS if kept else "doc_id long, text string, following string, part long, first boolean"
@@ -184,8 +187,7 @@ def fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMON, most_t
         return _by_join(docs, known)
     sent = spark.sparkContext.broadcast(np.sort(np.array(known.toArrow()["h"].to_numpy()).view(np.uint64)))
 
-    def kept(words: list[bytes]) -> np.ndarray:
-        h = hashes(words)
+    def kept(words: list[bytes], h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(sent.value, h)
         return sent.value[np.minimum(at, len(sent.value) - 1)] == h if len(sent.value) else np.zeros(len(h), bool)
 
@@ -227,7 +229,7 @@ def _by_join(docs: DataFrame, known: DataFrame) -> DataFrame:
                 prints = []
                 for side, x in enumerate((text.encode(), changed, following.encode())):
                     mine = {w["word"].encode() for w in found or () if w["side"] == side}
-                    prints += sign([x], lambda ws, mine=mine: np.array([w in mine for w in ws], bool))
+                    prints += sign([x], lambda ws, _, mine=mine: np.array([w in mine for w in ws], bool))
                 rows.append((d, len(text), hashlib.sha256(changed).hexdigest(), prints[0], prints[1], likeness(prints[0], prints[1]), likeness(prints[0], prints[2])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()])], names=[x.split()[0] for x in DIGEST.split(", ")])
 
