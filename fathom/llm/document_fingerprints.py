@@ -34,6 +34,8 @@ FACTORS = [int(hashlib.md5(f"subset {j}".encode()).hexdigest()[:15], 16) | 1 for
 RARE, COMMON = 2000, 10
 MOST_TERMS = 2_000_000
 CHUNK_BYTES = 4 << 20
+#: A task hands on its counts when it has so many terms.
+COUNTED = 500_000
 
 DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -76,7 +78,7 @@ def sign(texts: list[bytes], kept: Callable[[list[bytes], np.ndarray], np.ndarra
     rank[used] = np.arange(len(used))
     order = np.lexsort((rank[word], text))
     word, text = rank[word][order], text[order]
-    inside = np.stack([np.ones(len(h), bool), *(h * np.uint64(f) >> np.uint64(64 - b) == 0 for f, b in zip(FACTORS, BITS, strict=True))])
+    inside = np.ascontiguousarray(np.stack([np.ones(len(h), bool), *(h * np.uint64(f) >> np.uint64(64 - b) == 0 for f, b in zip(FACTORS, BITS, strict=True))]).T)
     out = []
     ends = np.searchsorted(text, np.arange(len(sets) + 1)).tolist()
     for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
@@ -84,7 +86,7 @@ def sign(texts: list[bytes], kept: Callable[[list[bytes], np.ndarray], np.ndarra
             out.append(hashlib.md5(texts[k]).hexdigest()[:16] + "," * len(BITS))
             continue
         own = word[a:b]
-        subset, at = np.nonzero(inside[:, own])
+        subset, at = np.nonzero(inside[own].T)
         mine = [names[i] for i in own[at].tolist()]
         cuts = np.searchsorted(subset, np.arange(len(BITS) + 2)).tolist()
         out.append(",".join([hashlib.md5(b" ".join(mine[: cuts[1]])).hexdigest()[:16], *[hashlib.md5(b" ".join(mine[x:y])).hexdigest()[:6] if y > x else "" for x, y in zip(cuts[1:-1], cuts[2:], strict=True)]]))
@@ -95,12 +97,19 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFram
     """h: hashes of the terms that at least one row of docs in `rare` and at most one in `common` holds; written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(hashes(list(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+
         for part in chunks(batches, CHUNK_BYTES):
-            seen: Counter[bytes] = Counter()
             for t in part["text"].to_pylist():
                 if t:
                     seen.update(terms(t))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(list(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+            if len(seen) > COUNTED:
+                yield counted()
+                seen.clear()
+        yield counted()
         hand_back()
 
     rows = docs.count()
@@ -196,7 +205,7 @@ def fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMON, most_t
             rows = [_rows([(d, t), (None, f)], kept)[0] for d, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()])], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    done = written(_paired(docs, kept))
+    done = written(_paired(docs, kept), "zstd")
     columns = [x.split()[0] for x in DIGEST.split(", ")]
     last = _joined_ends(done.where(F.col("part").isNotNull()).select("doc_id", "text", "part", "first"))
     return done.where(F.col("part").isNull()).select(columns).unionByName(last.mapInArrow(signed, DIGEST))
@@ -204,7 +213,7 @@ def fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMON, most_t
 
 def _by_join(docs: DataFrame, known: DataFrame) -> DataFrame:
     """The same for a lexicon of any size: the terms of the texts meet it in a join."""
-    done = written(_paired(docs, None))
+    done = written(_paired(docs, None), "zstd")
     last = _joined_ends(done.where(F.col("part").isNotNull()).select("doc_id", "text", "part", "first"))
     pairs = written(done.where(F.col("part").isNull()).select("doc_id", "text", "following").unionByName(last).withColumn("row", F.expr("uuid()")))
 
