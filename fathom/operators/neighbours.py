@@ -1,11 +1,11 @@
-"""Nearest neighbours by cosine: a stated set of queries against all vectors, in blocks."""
+"""Nearest neighbours by cosine: exact search for stated queries, in blocks, over all rows or over the lists they probe."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,35 +13,81 @@ from pyspark.sql import functions as F
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """id, other, sim, rank: each query's k nearest rows but itself, ties to the smaller key; a zero vector has cosine 0.
 
-    Queries go to the executors in blocks of bounded size; each pass keeps k rows for a query and task before anything is
-    shuffled. All vectors have one length.
+    Queries go to the executors in blocks of bounded size; a task keeps the k best rows of each query so far and hands them
+    on once. All vectors have one length.
     """
-    asked = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("q"))
+    return search(vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")), queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("q")), k, block_bytes)
+
+
+def search(rows: DataFrame, asked: DataFrame, k: int, block_bytes: int = 16 << 20) -> DataFrame:
+    """rows: key, v and, where only some lists are searched, list; asked: id, q and the lists."""
     blocks = max(1, -(-(asked.agg(F.sum(F.size("q") * 8)).first()[0] or 0) // block_bytes))
-    sc, found = vectors.sparkSession.sparkContext, None
+    sc, found = rows.sparkSession.sparkContext, None
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        sent = sc.broadcast((np.array([r.id for r in rows], np.int64), _unit(np.array([r.q for r in rows], float)) if rows else np.zeros((0, 0))))
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        lists = [r.lists for r in part] if "lists" in asked.columns else None
+        sent = sc.broadcast((np.array([r.id for r in part], np.int64), unit(np.array([r.q for r in part], float)) if part else np.zeros((0, 1)), lists))
+        read = rows if lists is None else rows.where(F.col("list").isin(sorted({x for own in lists for x in own})))  # other lists are not read
 
-        def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for frame in frames:
-                if not len(ids) or not len(frame):
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q, lists = sent.value
+            best = Best(ids, k)
+            probing: dict[int, np.ndarray] = {}
+            for k_, own in enumerate(lists or ()):
+                for x in own:
+                    probing.setdefault(x, []).append(k_)
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                keys, v = batch["key"].to_numpy(zero_copy_only=False), unit(matrix(batch["v"]))
+                if lists is None:
+                    best.add(np.arange(len(ids)), keys, q, v)
                     continue
-                own = frame[key].to_numpy()
-                sim = q @ _unit(np.stack(frame[vector].to_numpy()).astype(float)).T
-                sim[ids[:, None] == own[None, :]] = -np.inf
-                for i, row in zip(ids, sim, strict=True):
-                    top = np.lexsort((own, -np.round(row, 9)))[:k]
-                    top = top[np.isfinite(row[top])]
-                    yield pd.DataFrame({"id": i, "other": own[top], "sim": row[top]})
-
-        part = vectors.select(key, vector).mapInPandas(search, "id long, other long, sim double")
-        found = part if found is None else found.unionByName(part)
+                of = batch["list"].to_numpy(zero_copy_only=False)
+                for x in np.unique(of).tolist():
+                    if x in probing:
+                        best.add(np.array(probing[x]), keys[of == x], q, v[of == x])
+            yield best.rows()
+
+        one = read.mapInArrow(run, "id long, other long, sim double")
+        found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+class Best:
+    """The k best rows of each query so far."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.query, self.key, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, which: np.ndarray, keys: np.ndarray, q: np.ndarray, v: np.ndarray, most: int = 1 << 21) -> None:
+        """Rows (keys, v) for those queries; a slice of rows at a time, so that the products stay small."""
+        step = max(1, most // len(which))
+        for a in range(0, len(keys), step):
+            own = keys[a : a + step]
+            sim = q[which] @ v[a : a + step].T
+            near = np.round(sim, 9) >= self.least[which][:, None]
+            near &= self.ids[which][:, None] != own[None, :]
+            i, j = np.nonzero(near)
+            query, key, sim = (np.concatenate(x) for x in ((self.query, which[i]), (self.key, own[j]), (self.sim, sim[i, j])))
+            order = np.lexsort((key, -np.round(sim, 9), query))
+            query, key, sim = query[order], key[order], sim[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            self.least[query[rank == self.k - 1]] = np.round(sim[rank == self.k - 1], 9)
+            self.query, self.key, self.sim = (x[rank < self.k] for x in (query, key, sim))
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.key), pa.array(self.sim)], names=["id", "other", "sim"])
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, n, out=np.zeros_like(rows), where=n > 0)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fathom.functions import pitch
 from fathom.operators import stateful
+from fathom.sources import writers
+from fathom.streaming import keyed, queues, run
 
 from . import query
 from .data import frames, table
@@ -43,6 +45,66 @@ def ST12_blacklist_with_expiry(spark, sf):
     return e.join(b, "user_id", "left").where(F.col("until").isNull() | (F.col("ts") >= F.col("until"))).select("event_id")
 
 
+def as_queue(spark, sf, kinds, folder):
+    """The events as a stream of k, ts, seq, kind; kinds renames the event types, others are left out."""
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")]
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind")).where("kind IS NOT NULL")
+    return keyed.as_stream(run.from_table(rows, f"{folder}/in"), late="0 seconds")
+
+
+OUTCOMES = {"error": "transient", "purchase": "ok", "signup": "permanent"}
+
+
+@query("""WITH o AS (SELECT user_id AS k, epoch_us(ts) // 1000 AS t, event_id AS seq, CASE event_type WHEN 'error' THEN 'transient' WHEN 'purchase' THEN 'ok' ELSE 'permanent' END AS kind FROM events WHERE event_type IN ('error', 'purchase', 'signup')),
+n AS (SELECT *, row_number() OVER w AS tries FROM o WINDOW w AS (PARTITION BY k ORDER BY t, seq)),
+e AS (SELECT *, coalesce(max(CASE WHEN kind <> 'transient' OR tries > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM n),
+a AS (SELECT *, lead(t) OVER (PARTITION BY k ORDER BY t, seq) AS next, t + 30000 * CAST(pow(2, tries - 1) AS BIGINT) AS until FROM e WHERE ended = 0)
+SELECT k, t AS "at", CASE WHEN kind = 'ok' THEN 'complete' WHEN kind = 'permanent' THEN 'rejected' WHEN tries > 3 THEN 'failed' ELSE 'waiting' END AS action, CAST(tries AS INT) AS number, CASE WHEN kind = 'transient' AND tries <= 3 THEN until END AS until FROM a
+UNION ALL SELECT k, until, 'retry', CAST(tries AS INT), NULL FROM a WHERE kind = 'transient' AND tries <= 3 AND until <= coalesce(next, (SELECT max(t) FROM o))""")
+def ST10_retry_queue(spark, sf):
+    """Each user's errors, purchases and signups as outcomes of tries; the events are replayed as a stream."""
+    folder = writers.scratch(spark)
+    return run.to_end(queues.retries(as_queue(spark, sf, OUTCOMES, folder), "k"), folder)
+
+
+RUNS = {"click": "submit", "view": "beat", "purchase": "done", "error": "error"}
+LEASE_MS = 6 * 3600 * 1000
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id AS k, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n, CASE event_type WHEN 'click' THEN 'submit' WHEN 'view' THEN 'beat' WHEN 'purchase' THEN 'done' ELSE 'error' END AS kind
+  FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error')),
+s(k, n, status, number, until, t, kind, lapsed, was) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), '', 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), '', CAST(NULL AS BIGINT), '' FROM o
+  UNION ALL SELECT k, n, CASE WHEN kind = 'submit' AND now <> 'done' THEN 'running' WHEN now = 'running' AND kind <> 'beat' THEN kind ELSE now END, CASE WHEN kind = 'submit' AND now NOT IN ('running', 'done') THEN number + 1 ELSE number END,
+    CASE WHEN kind = 'submit' AND now NOT IN ('running', 'done') OR kind = 'beat' AND now = 'running' THEN t + {LEASE_MS} WHEN now = 'running' AND kind = 'submit' THEN until END, t, kind, lapsed, now
+  FROM (SELECT o.k, o.n, o.t, o.kind, s.number, s.until, CASE WHEN s.status = 'running' AND s.until <= o.t THEN s.until END AS lapsed, CASE WHEN s.status = 'running' AND s.until <= o.t THEN 'ghost' ELSE s.status END AS now FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1))
+SELECT k, t AS "at", CASE WHEN kind <> 'submit' THEN kind WHEN was = 'running' THEN 'joined' WHEN was = 'done' THEN 'finished' ELSE 'started' END AS action, CAST(number AS INT) AS number, CASE WHEN kind = 'submit' AND was <> 'done' THEN until END AS until
+FROM s WHERE n > 0 AND (kind = 'submit' OR was = 'running' AND kind <> 'beat')
+UNION ALL SELECT k, lapsed, 'ghost', CAST(number - CASE WHEN kind = 'submit' THEN 1 ELSE 0 END AS INT), NULL FROM s WHERE lapsed IS NOT NULL
+UNION ALL SELECT k, until, 'ghost', CAST(number AS INT), NULL FROM s WHERE status = 'running' AND until <= (SELECT max(t) FROM o) AND n = (SELECT max(n) FROM o WHERE o.k = s.k)""")
+def ST9_S24_single_runs(spark, sf):
+    """Clicks submit a user's job, views are its worker's signs of life, purchases and errors end it."""
+    folder = writers.scratch(spark)
+    return run.to_end(queues.single_runs(as_queue(spark, sf, RUNS, folder), "k", LEASE_MS), folder)
+
+
+def _checked(row):
+    if row["o_orderkey"] % 7 == 0:
+        raise ValueError("order is not readable")
+    return {"digits": len(str(row["o_orderkey"]))}
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'pending' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'done' END AS status, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN len(CAST(o_orderkey AS VARCHAR)) END) AS BIGINT) AS digits FROM orders GROUP BY ALL")
+def X1_ST15_resumed_stage(spark, sf):
+    """The stage runs, more files arrive (with some of the first ones again), and it runs again; the last ones are yet to come."""
+    folder, o = writers.scratch(spark), table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    stage = run.Stage("check", f"{folder}/stage", "o_orderkey", _checked, "digits long")
+    for part in (o.where("o_orderkey % 5 < 3 AND o_orderkey % 5 > 0"), o.where("o_orderkey % 5 > 1")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stage.run(spark.readStream.schema(o.schema).parquet(f"{folder}/in"))
+    states = stage.ledger(o).select(F.col("track_id").cast("long").alias("o_orderkey"), "status").join(stage.results(spark, "long").select("o_orderkey", "digits"), "o_orderkey", "left")
+    return states.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("digits").alias("digits"))
+
+
 @query()
 def W7_settled_notes(spark, sf):
     f = frames(spark, sf).withColumn("cents", pitch.hz_to_cents(F.col("hz")))
