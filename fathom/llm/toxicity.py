@@ -10,8 +10,8 @@ one table with a weight for each three characters.
 Training is by sentences with the label of their document. All sentences of clean documents are clean, but for words that
 toxic documents have far more often; of a toxic document at least one sentence is toxic, and in each round the one with the
 highest value stands for it. A sentence's value is that of its highest unit, as insults are single words that hide among
-clean ones; a document's is that of its highest sentence. A logistic curve over the values that each document got from a
-machine fitted without it turns values into scores.
+clean ones; a document's is that of its highest sentence. So this is a model of words: an insult of several clean words is
+not learnt. The values that each document got from a machine fitted without it give the curve that turns values into scores.
 """
 
 from __future__ import annotations
@@ -35,9 +35,13 @@ SPAN, DECAY = 6, 0.7
 LONGEST = 32  # longer units are judged in overlapping pieces
 SPELLED = re.compile(r"(?: \w[.,!?;:]?){3,}(?= |$)")
 MAYBE_SPELLED = r"(?:^|[ \n])\S[.,!?;:]?[ \n]\S[.,!?;:]?[ \n]\S[.,!?;:]?(?:[ \n]|$)"
-SENTENCE_END = re.compile(r"[.!?\n]+")
+#: Signs within a word end no sentence, so a word with dots in it is the same unit here and where texts are scored.
+SENTENCE_END = re.compile(r"[.!?]+(?=\s|\Z)|\n+")
 SIGNS = re.compile(r"[\W_]+")
+#: A unit is a candidate for an insult if toxic documents have it exp(LEAN) = ten times as often as clean ones; PRIOR weighs the
+#: logarithm of how many toxic documents have it, POWER flattens how often it was chosen. Set on the training folds of sf0.1.
 LEAN, PRIOR, POWER = 2.3, 0.4, 0.3
+LEAST_SHARE = 0.25
 STEPS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -192,15 +196,24 @@ def logistic(value: np.ndarray, y: np.ndarray, stands: tuple[float, float] = (1.
     return max(float(w[0]), 1e-3), float(w[1])
 
 
+def threshold(value: np.ndarray, y: np.ndarray, stands: tuple[float, float]) -> float:
+    """The value from which on texts are taken for toxic: where precision and recall have the highest harmonic mean."""
+    order = np.argsort(-value, kind="stable")
+    v, w, y = value[order], np.where(y == 1, stands[1], stands[0])[order], y[order]
+    right, taken, all_toxic = np.cumsum(w * y), np.cumsum(w), (w * y).sum()
+    f = np.where(np.append(v[1:] != v[:-1], True), 2 * right / (taken + all_toxic), -1.0)
+    k = int(np.argmax(f))
+    return float((v[k] + v[min(k + 1, len(v) - 1)]) / 2)
+
+
 Sentences = list[list[str]]  # the distinct units of each sentence of a document
 
 
-def sentences_of(text: str | None, most: int = 1 << 62) -> Sentences:
-    """The units of each sentence; of a document with more than `most` the rest of the units is left out."""
-    out, left = [], most
+def sentences_of(text: str | None) -> Sentences:
+    """The distinct units of each sentence."""
+    out = []
     for s in SENTENCE_END.split(text or ""):
-        units = list(dict.fromkeys(p for w in words(s) for p in pieces(w)))[:left]
-        left -= len(units)
+        units = list(dict.fromkeys(p for w in words(s) for p in pieces(w)))
         if units:
             out.append(units)
     return out
@@ -285,9 +298,12 @@ def without(docs: list[tuple[Sentences, int]], fold: int, folds: int) -> tuple[M
     return model, tops(model, held) if model and held else np.full(len(held), np.nan)
 
 
-def calibrated(parts: dict[int, tuple[Model | None, np.ndarray]], labels: list[int], stands: tuple[float, float]) -> Model:
+def calibrated(parts: dict[int, tuple[Model | None, np.ndarray]], labels: list[int], stands: tuple[float, float], limit: float) -> Model:
     """The machine of all documents, with the curve of the values that each document got from a machine without it.
 
+    The curve is the logistic one, moved so that it reaches the limit at the threshold, where precision and recall are in
+    balance; not moved where the threshold's own share of toxic texts is below LEAST_SHARE, as values then tell little.
+
     Without both labels, or without values, the score is the smoothed share of toxic rows for every text.
     """
     folds = len(parts) - 1
@@ -299,14 +315,18 @@ def calibrated(parts: dict[int, tuple[Model | None, np.ndarray]], labels: list[i
         share = (stands[1] * y.sum() + 1) / (stands[1] * y.sum() + stands[0] * (1 - y).sum() + 2)
         return Model(np.zeros(1 << 3 * SYMBOLS, np.float32), 0.0, 1e-3, float(np.log(share / (1 - share))), 0.0)
     model.lowest = float(np.nanmin(value))
-    model.slope, model.shift = logistic(np.where(seen, value, model.lowest), y, stands)
+    value = np.where(seen, value, model.lowest)
+    model.slope, model.shift = logistic(value, y, stands)
+    at = threshold(value, y, stands)
+    if model.score(np.array(at)) >= LEAST_SHARE:
+        model.shift = float(np.log(limit / (1 - limit))) - model.slope * at
     return model
 
 
-def fit(rows: Iterable[tuple[str | None, int]], folds: int = 3, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+def fit(rows: Iterable[tuple[str | None, int]], folds: int = 3, stands: tuple[float, float] = (1.0, 1.0), limit: float = 0.7) -> Model:
     """A machine from labelled texts (text, toxic 0/1), given in an order that does not depend on the label. stands: see logistic()."""
     docs = [(sentences_of(text), int(y)) for text, y in rows]
-    return calibrated({k: without(docs, k, folds) for k in range(folds + 1)}, [y for _, y in docs], stands)
+    return calibrated({k: without(docs, k, folds) for k in range(folds + 1)}, [y for _, y in docs], stands, limit)
 
 
 def document_values(texts: pa.Array, model: Model, most: int = 50_000) -> np.ndarray:
@@ -340,10 +360,10 @@ def shared_units(column: pa.Array) -> list[Sentences]:
 FITTED = "fold long, empty boolean, model binary, offset double, held array<double>, labels array<int>"
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 2000, max_units: int = 2000, tuning: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 2000, tuning: int = 3, limit: float = 0.7) -> Model:
     """Fits on labelled documents outside the held-out fold: of each label at most max_rows, those with the least hashes of
-    their ids, and of each document at most its first max_units distinct units in sentences. These bounds are parameters;
-    they keep the fit independent of the corpus. Null labels and rows of labels without a document are left out; of repeated
+    their ids, with their whole texts. The bound is a parameter; it keeps the fit independent of the corpus. limit is the
+    score from which on a text is taken for toxic. Null labels and rows of labels without a document are left out; of repeated
     labels of a document the highest counts, of repeated documents the text that is last in order. The curve of the score is
     weighed to the labels' counts over all data outside the fold, so the bound does not move what a score means.
 
@@ -365,7 +385,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
-                sentences = [sentences_of(x, max_units) for x in part.column(2).to_pylist()]
+                sentences = [sentences_of(x) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sentences, pa.list_(pa.list_(pa.string())))], names=["doc_id", "toxic", "sentences"])
 
     units = bounded_batches(rows).mapInArrow(reduce, "doc_id long, toxic int, sentences array<array<string>>")
@@ -382,7 +402,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max
     if not got:
         return fit([])
     models = {r.fold: (None if r.empty else Model(np.frombuffer(bytes(r.model), np.float32), r.offset, 1.0, 0.0, 0.0), np.array(r.held, np.float64)) for r in got}
-    return calibrated(models, list(got[0].labels), tuple(known[k] / taken[k] if taken[k] else 1.0 for k in (0, 1)))
+    return calibrated(models, list(got[0].labels), tuple(known[k] / taken[k] if taken[k] else 1.0 for k in (0, 1)), limit)
 
 
 def scored(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:

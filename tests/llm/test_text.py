@@ -193,7 +193,7 @@ def test_toxicity_on_held_out_documents(spark):
     model = toxicity.train(docs, labels)
     rows = toxicity.scored(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.in_fold("doc_id", 3, 1)).collect()
     caught = sum(r.predicted for r in rows if r.toxic)
-    assert caught >= 0.8 * sum(r.toxic for r in rows) and caught >= 0.85 * sum(r.predicted for r in rows)
+    assert caught >= 0.9 * sum(r.toxic for r in rows) and caught >= 0.8 * sum(r.predicted for r in rows)
 
 
 def test_toxicity_of_odd_texts(spark):
@@ -214,6 +214,38 @@ def test_toxicity_of_odd_texts(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0 and toxicity.keep_clean(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_units_are_the_same_in_training_and_scoring():
+    import pyarrow as pa
+
+    for text in ("you f.o.o bar", "A b c d. E!f (x-y) end.", "one.\ntwo? three!", "x..y ... z", "w" * 90 + ".v"):
+        units = {u for s in toxicity.sentences_of(text) for u in s}
+        assert units == {p for w in toxicity.words(text) for p in toxicity.pieces(w)}
+    assert toxicity.sentences_of("you f.o.o bar. Next one") == [["you", "foo", "bar"], ["next", "one"]]
+    r = random.Random(4)
+    plain = ["good", "day", "to", "all", "of", "you", "here", "now"]
+    rows = [(" ".join(r.choice(plain) for _ in range(12)) + (" z.u.r.g." if k % 4 == 0 else "."), int(k % 4 == 0)) for k in range(160)]
+    model = toxicity.fit(rows)
+    docs = [(toxicity.sentences_of(t), y) for t, y in rows]
+    naive = [max(float(model.values([u])[0]) for s in x for u in s) for x, _ in docs]
+    got = toxicity.document_values(pa.array([t for t, _ in rows]), model)
+    assert np.allclose(got, naive)
+    assert [int(x >= 0.7) for x in model.score(got)] == [y for _, y in rows]
+
+
+def test_toxicity_threshold_equals_brute_force():
+    r = random.Random(6)
+    for _ in range(50):
+        v = np.array([r.randint(0, 9) / 2 for _ in range(30)])
+        y = np.array([int(r.random() < 0.1 + x / 8) for x in v])
+        if not y.any():
+            continue
+        stands = (r.choice([1.0, 3.0]), 1.0)
+        w = np.where(y == 1, stands[1], stands[0])
+        f = {x: 2 * w[(v >= x) & (y == 1)].sum() / (w[v >= x].sum() + w[y == 1].sum()) for x in v}
+        at = toxicity.threshold(v, y, stands)
+        assert 2 * w[(v >= at) & (y == 1)].sum() / (w[v >= at].sum() + w[y == 1].sum()) == pytest.approx(max(f.values()))
+
+
 def test_toxicity_bound_keeps_the_rate(spark):
     """Words that a tenth of their documents' labels call toxic score about a tenth, however few rows the bound leaves."""
     r = random.Random(8)
@@ -248,15 +280,44 @@ def test_license_scan_finds_wrapped_notices(mark):
 
     s = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
-        lines = textwrap.wrap(f"Some code here; {text} You may not use it otherwise.", 72, break_on_hyphens=False)
+        if name.endswith(("-SPDX", "-title")):
+            continue
+        lines = textwrap.wrap(f"Some code here; {text} You may not use it otherwise.", 72)  # also at hyphens
         whole = "int a;\n" + "\n".join(mark + x for x in lines) + "\nint b;"
         assert [(f[1], f[2]) for f in s.scan(whole)] == [(name, 0)]
         changed = whole.replace("License", "Licence", 1) if name in ("CC-BY-SA-4.0", "MPL-2.0") else whole.replace("software", "programs", 1)
         assert [f[1] for f in s.scan(changed)] == [name]
-    both = "\n".join(license_scan.TEMPLATES.values()) * 3
+    both = "\n".join([x + "." for x in license_scan.TEMPLATES.values()] * 3)
     assert collections.Counter(f[1] for f in s.scan(both)) == dict.fromkeys(license_scan.TEMPLATES, 3)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        (license_scan.TEMPLATES["GPL-3.0-notice"].replace("GNU", "GNU Library"), []),
+        ("Not licensed under CC BY-NC 4.0.", []),
+        ("It is not released under the MIT License.", []),
+        ("It is not. Released under the MIT License.", ["MIT"]),
+        ("Licensed under CC BY-NC 4.0 ND", []),
+        ("Licensed under CC BY-NC-ND 4.0.", ["CC-BY-NC-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-\n * ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+        ("Released under the MIT Li-\n# cense.", ["MIT"]),
+        ("MIT License\n\nCopyright", ["MIT-title"]),
+        ("# SPDX-License-Identifier: MIT", ["MIT-SPDX"]),
+        ("SPDX-License-Identifier: LGPL-3.0-only", ["LGPL-3.0-only-SPDX"]),
+        ("GNU Lesser General Public License v3", ["LGPL-3.0-title"]),
+        ("ISC License", ["ISC-title"]),
+        ("BSD 3-Clause License", ["BSD-3-Clause-title"]),
+        ("BSD 2-Clause License", ["BSD-2-Clause-title"]),
+    ],
+)
+def test_license_scan_tells_licenses_apart(spark, text, want):
+    assert [f[1] for f in license_scan.Scanner(license_scan.TEMPLATES).scan(text)] == want
+    assert [r.license for r in license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == want
+
+
 def edits(a, b, names=(), most=99):
     """Plain edit distance of words from b to a; words in names cost over most."""
     price = [most + 1 if x in names else 1 for x in b]
