@@ -18,10 +18,15 @@ def mapped(frames: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def note_statistics(points: DataFrame, key: str = "track") -> DataFrame:
-    """Per track and degree: count, share of the confidence, mean cents; nothing for tracks without confidence."""
-    by = points.groupBy(key, "note").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("weight"), F.avg("cents").alias("mean_cents"))
+    """Per track and degree: count, share of the confidence, mean cents; nothing for tracks without confidence.
+
+    Confidences are summed as decimals of nine places: such a sum is the same in any order, so a share on the edge between
+    two roundings always falls to the same side.
+    """
+    weight = F.sum(F.col("conf").cast("decimal(18,9)"))
+    by = points.groupBy(key, "note").agg(F.count(F.lit(1)).alias("n"), weight.alias("weight"), F.avg("cents").alias("mean_cents"))
     whole = by.withColumn("total", F.sum("weight").over(Window.partitionBy(key)))
-    return whole.where("total > 0").withColumn("share", F.col("weight") / F.col("total")).drop("weight", "total")
+    return whole.where("total > 0").withColumn("share", F.col("weight").cast("double") / F.col("total").cast("double")).drop("weight", "total")
 
 
 def islands(df: DataFrame, key: str, order: list[str], label: str, time: str | None = None, gap: float | None = None) -> DataFrame:
@@ -67,16 +72,20 @@ def percentile_of(values: Column, q: float) -> Column:
     return a + (b - a) * (at - low)
 
 
+#: The limits of ornaments. Seconds of a grace note (less) and of a glissando (least), cents of a glissando, of a
+#: vibrato's depth and of a straight note; frames and turns a second of a vibrato.
+GRACE_S, GLIDE_S, GLIDE_CENTS, VIBRATO_CENTS, STRAIGHT_CENTS, VIBRATO_FRAMES, VIBRATO_HZ = 0.05, 0.2, 80, 30.0, 20, 8, (4.0, 8.0)
+
+
 def ornament(events: DataFrame) -> DataFrame:
     """Adds kind: grace_note, glissando, vibrato, straight or other."""
     d = F.col("end") - F.col("start")
     wave = detrended(F.col("cents"))
     rate = zero_crossings(F.col("cents")) / (2.0 * d)
-    vibrato = (F.col("n") >= 8) & (d > 0) & rate.between(4.0, 8.0) & (percentile_of(F.transform(wave, F.abs), 0.95) >= 30.0)
-    return events.withColumn(
-        "kind",
-        F.when(d < 0.05, "grace_note").when((d >= 0.2) & (F.abs(F.col("last_cents") - F.col("first_cents")) >= 80), "glissando").when(vibrato, "vibrato").when(F.col("high") - F.col("low") <= 20, "straight").otherwise("other"),
-    )
+    vibrato = (F.col("n") >= VIBRATO_FRAMES) & (d > 0) & rate.between(*VIBRATO_HZ) & (percentile_of(F.transform(wave, F.abs), 0.95) >= VIBRATO_CENTS)
+    glides = (d >= GLIDE_S) & (F.abs(F.col("last_cents") - F.col("first_cents")) >= GLIDE_CENTS)
+    straight = F.col("high") - F.col("low") <= STRAIGHT_CENTS
+    return events.withColumn("kind", F.when(d < GRACE_S, "grace_note").when(glides, "glissando").when(vibrato, "vibrato").when(straight, "straight").otherwise("other"))
 
 
 def bigrams(events: DataFrame, key: str = "track") -> DataFrame:
@@ -105,7 +114,7 @@ def grid_fit(frames: DataFrame, pattern: list[int], key: str = "track", half: in
 
 #: The pentatonic set, its modes, and the weights of root, fifth and other degrees.
 BASE = (0, 2, 4, 7, 9)
-MODES = [tuple(sorted((p - BASE[r]) % 12 for p in BASE)) for r in range(5)]
+MODES = [(0, 2, 4, 7, 9), (0, 2, 5, 7, 10), (0, 3, 5, 8, 10), (0, 2, 5, 7, 9), (0, 3, 5, 7, 10)]
 
 
 def template(mode: tuple[int, ...]) -> list[float]:

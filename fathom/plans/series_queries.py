@@ -16,14 +16,14 @@ def points(spark, sf):
     return series.mapped(frames(spark, sf))
 
 
-@query(f"""WITH {POINTS}, g AS (SELECT track, note, count(*) AS n, sum(conf) AS w, avg(cents) AS m FROM points GROUP BY ALL)
-SELECT track, note, n, CAST(round(w / sum(w) OVER (PARTITION BY track) * 1000) AS BIGINT) AS share, CAST(round(m * 1000) AS BIGINT) AS mean_cents FROM g""")
+@query(f"""WITH {POINTS}, g AS (SELECT track, note, count(*) AS n, sum(CAST(conf AS DECIMAL(18, 9))) AS w, avg(cents) AS m FROM points GROUP BY ALL)
+SELECT track, note, n, CAST(round(CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY track) AS DOUBLE) * 1000) AS BIGINT) AS share, CAST(round(m * 1000) AS BIGINT) AS mean_cents FROM g""")
 def A1_note_statistics(spark, sf):
     s = series.note_statistics(points(spark, sf))
     return s.select("track", "note", "n", thousandths(F.col("share")).alias("share"), thousandths(F.col("mean_cents")).alias("mean_cents"))
 
 
-@query(f"""WITH {POINTS}, g AS (SELECT track, note, sum(conf) AS w FROM points GROUP BY ALL), s AS (SELECT *, round_even(w / sum(w) OVER (PARTITION BY track), 3) AS share FROM g)
+@query(f"""WITH {POINTS}, g AS (SELECT track, note, sum(CAST(conf AS DECIMAL(18, 9))) AS w FROM points GROUP BY ALL), s AS (SELECT *, round_even(CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY track) AS DOUBLE), 3) AS share FROM g)
 SELECT track, string_agg(note, ',' ORDER BY share DESC, note) AS dominant FROM s WHERE share >= 0.05 GROUP BY track""")
 def A2_dominant_notes(spark, sf):
     s = series.note_statistics(points(spark, sf)).withColumn("share", F.bround("share", 3)).where("share >= 0.05")

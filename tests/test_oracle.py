@@ -10,6 +10,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="module")
 def con(sf):
+    return views(sf)
+
+
+def views(sf):
     c = duckdb.connect()
     for t in TABLES:
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
@@ -20,8 +24,22 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+#: Sums of doubles on the edge of a rounding show on more rows only.
+LARGER = ["A1_note_statistics", "A2_dominant_notes", "A16_pitch_class_histogram", "A19_conformity"]
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_larger_table(spark, name):
+    sf = "/root/testdata/sf0.01"
+    check(spark, sf, views(sf), name)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, con, name):
+    check(spark, sf, con, name)
+
+
+def check(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     got = df.collect()
     if name not in SQL:
