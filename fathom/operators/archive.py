@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def live(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     return df.where(F.col(deleted).isNull())
@@ -113,3 +115,26 @@ def next_try(attempts: Column, permanent: Column, most: int, base: int) -> Colum
     again = ~permanent & (attempts < most)
     action = F.when(permanent, "rejected").when(again, "retry").otherwise("failed")
     return F.struct(action.alias("action"), F.when(again, F.lit(base) * F.pow(F.lit(2), attempts).cast("long")).alias("wait"))
+
+
+def compared(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, left, right, delta (left less right), side (both, left, right): all rows that either run has; null keys meet, too.
+    delta is null where a side is missing or has no value."""
+    a = left.select(*keys, F.col(value).alias("left"), F.lit(True).alias("_a"))
+    b = right.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(value).alias("right"), F.lit(True).alias("_b"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    side = F.when(F.col("_b").isNull(), "left").when(F.col("_a").isNull(), "right").otherwise("both")
+    own = [F.when(F.col("_a").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    return a.join(b, on, "full_outer").select(*own, "left", "right", (F.col("left") - F.col("right")).alias("delta"), side.alias("side"))
+
+
+def compared_summary(pairs: DataFrame) -> DataFrame:
+    """One row: n_both, only_left, only_right, median_delta (of the sizes of the deltas)."""
+    n = pairs.agg(*(F.count_if(F.col("side") == s).alias(c) for s, c in (("both", "n_both"), ("left", "only_left"), ("right", "only_right"))))
+    return stats.beside(n, stats.quantiles(pairs.select(F.abs("delta").alias("d")), "d", [], [0.5]).withColumnRenamed("p50", "median_delta"), [])
+
+
+def joined_with_misses(rows: DataFrame, lookup: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with what the lookup says, key and n of the rows that it has nothing for; null keys are among these)."""
+    missed = rows.join(lookup.select(key), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(lookup, key), missed

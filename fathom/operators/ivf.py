@@ -28,8 +28,10 @@ def kmeans(vectors: DataFrame, k: int, rounds: int, key: str = "vec_id", vector:
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * (sample / n)))
     first = rows.orderBy(F.md5(F.col("key").cast("string")), "key").limit(k).collect()
+    if not first:
+        return np.zeros((0, 0))
     centroids = unit(np.array([r.v for r in first], float))
-    for _ in range(rounds if len(centroids) else 0):
+    for _ in range(rounds):
         sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -55,7 +57,7 @@ def closest(v: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    return vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def assigned(vectors: DataFrame, centroids: np.ndarray, n: int = 1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -72,7 +74,7 @@ def assigned(vectors: DataFrame, centroids: np.ndarray, n: int = 1, key: str = "
 
 
 def build(vectors: DataFrame, centroids: np.ndarray, path: str, spread: int = 8, **columns: str) -> None:
-    """Writes the index below path: lists as partitions of a table (each from up to `spread` tasks, so a list with most of
+    """Writes the index below path (rows without a vector are left out): lists as partitions of a table (each from up to `spread` tasks, so a list with most of
     the rows is no single task's), and the centroids. Every row is indexed."""
     spark = vectors.sparkSession
     rows = assigned(vectors, centroids, **columns).select("key", "v", F.col("lists")[0].alias("list"))

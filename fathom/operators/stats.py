@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None, limit: float = 50.0) -> DataFrame:
     """n, mean, median, population deviation, mean size, share beyond the limit (strictly)."""
-    x = F.col(value)
-    return df.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.avg(F.abs(x)).alias("mean_abs"), F.avg((F.abs(x) > limit).cast("int")).alias("beyond"))
+    x, by = F.col(value), by or []
+    rest = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.avg(F.abs(x)).alias("mean_abs"), F.avg((F.abs(x) > limit).cast("int")).alias("beyond"))
+    middle = quantiles(df, value, by, [0.5]).withColumnRenamed("p50", "median")
+    return beside(rest, middle, by).select(*by, "n", "mean", "median", "std", "mean_abs", "beyond")
+
+
+def beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Figures of the same groups side by side; null is a group, too. Without groups both have one row."""
+    if not by:
+        return a.join(F.broadcast(b))
+    other = b.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in b.columns if c not in by))
+    on = F.lit(True)
+    for c in by:
+        on = on & a[c].eqNullSafe(other[f"_{c}"])
+    return a.join(other, on, "left").drop(*(f"_{c}" for c in by))
 
 
 def summary_with_overall(df: DataFrame, value: str, by: str, limit: float = 50.0) -> DataFrame:
@@ -17,9 +31,72 @@ def summary_with_overall(df: DataFrame, value: str, by: str, limit: float = 50.0
     return summary(df, value, [by], limit).unionByName(summary(df, value, None, limit).withColumn(by, F.lit(None).cast("string")), allowMissingColumns=True)
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], points: list[float]) -> DataFrame:
-    p = F.percentile(F.col(value), F.array(*map(F.lit, points)))
-    return df.groupBy(*by).agg(p.alias("p")).select(*by, *(F.col("p")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(points)))
+def quantiles(df: DataFrame, value: str, by: list[str], points: list[float], bins: int = 256, small: int = 1_000_000) -> DataFrame:
+    """by, p<percent>...: exact interpolated percentiles of each group, of any size; null values and NaN are left out.
+
+    Groups of up to `small` rows are aggregated at once. In larger ones ranks are selected by refinement: rows are counted in
+    equal ranges of value, in every task for itself; the range that holds a rank is cut again, until it holds one value. So no
+    task ever holds the values of a large group, and each round shuffles counts only. A group with infinite values is
+    aggregated at once.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    names = {q: f"p{round(100 * q)}" for q in points}
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    wide = F.abs("_lo") + F.abs("_hi") < 1e308
+    large = [r.asDict() for r in size.where((F.col("_n") > small) & wide).collect()]  # rows / small of them, at most
+    direct = rows
+    if large:
+        spark = df.sparkSession
+        keys = spark.createDataFrame([tuple(r[c] for c in by) + (True,) for r in large], T.StructType([*(df.schema[c] for c in by), T.StructField("_large", T.BooleanType())])) if by else None
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+        direct = rows.alias("a").join(keys.alias("b"), same, "left_anti") if by else rows.where(F.lit(False))
+    done = direct.groupBy(*by).agg(F.percentile("_x", F.array(*map(F.lit, points))).alias("_p")).select(*by, *(F.col("_p")[k].alias(n) for k, n in enumerate(names.values())))
+    if not by:
+        done = done.where(F.lit(not large))
+    if not large:
+        return done
+    ranks = []  # each: the group, the rank from 0 in what is left, its range
+    for g, r in enumerate(large):
+        for q in points:
+            at = (r["_n"] - 1) * q
+            ranks += [(g, q, int(at) + k, r["_lo"], r["_hi"]) for k in (0, 1) if int(at) + k < r["_n"]]
+    found: dict[tuple[int, float, int], float] = {}
+    todo = [(g, q, rank, rank, lo, hi) for g, q, rank, lo, hi in ranks]  # (.., rank in the group, rank in the range, range)
+    kind = T.StructType([*(df.schema[c] for c in by), T.StructField("_g", T.IntegerType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
+    while todo:
+        done_now = {(g, q, rank): lo for g, q, rank, _, lo, hi in todo if lo == hi}
+        found |= done_now
+        todo = [x for x in todo if x[:3] not in done_now]
+        spans = sorted({(g, lo, hi) for g, _, _, _, lo, hi in todo})
+        if not spans:
+            break
+        ranges = df.sparkSession.createDataFrame([tuple(large[g][c] for c in by) + (g, lo, hi) for g, lo, hi in spans], kind)
+        on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col("_x").between(F.col("_lo"), F.col("_hi"))]
+        cell = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+        # a few ranges for each large group are sent; counts, the least and the largest value of a cell come back
+        cells = rows.alias("a").join(F.broadcast(ranges.alias("b")), on).groupBy("_g", "_lo", "_hi", cell.alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+        seen: dict[tuple[int, float, float], list] = {}
+        for r in cells.orderBy("_g", "_lo", "_hi", "_c").collect():
+            seen.setdefault((r["_g"], r["_lo"], r["_hi"]), []).append((r["n"], r["low"], r["high"]))
+        new = []
+        for g, q, rank, left, lo, hi in todo:
+            for n, low, high in seen[g, lo, hi]:
+                if left < n:
+                    new.append((g, q, rank, left, low, high))
+                    break
+                left -= n
+        todo = new
+    out = []
+    for g, r in enumerate(large):
+        values = []
+        for q in points:
+            at = (r["_n"] - 1) * q
+            a = found[g, q, int(at)]
+            b = found.get((g, q, int(at) + 1), a)
+            values.append(a + (b - a) * (at - int(at)))
+        out.append(tuple(r[c] for c in by) + tuple(values))
+    return done.unionByName(df.sparkSession.createDataFrame(out, T.StructType([*(df.schema[c] for c in by), *(T.StructField(n, T.DoubleType()) for n in names.values())])))
 
 
 def supported(value: Column, n: Column, least: int) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import archive, series
+from fathom.operators import archive, series, stats
 
 from . import query
-from .data import table
+from .data import table, thousandths
 
 
 @query("""SELECT doc_id, CASE WHEN row_number() OVER w > 1 THEN first_value(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)""")
@@ -191,6 +191,40 @@ def J27_pivot_compare(spark, sf):
     return p.select("user_id", (F.col("click") - F.col("view")).alias("delta"))
 
 
+def runs_of_events(spark, sf):
+    """Two runs over the same tracks, each of which lost a third of the frames: median of each track and degree."""
+    e = table(spark, sf, "events")
+    median = lambda rows, name: stats.quantiles(rows, "value", ["user_id", "event_type"], [0.5]).withColumnRenamed("p50", name)
+    return median(e.where("event_id % 3 <> 0 AND value < 80"), "value"), median(e.where("event_id % 3 <> 1 AND value > 20"), "value")
+
+
+RUNS = """a AS (SELECT user_id, event_type, median(value) AS v FROM events WHERE event_id % 3 <> 0 AND value < 80 GROUP BY ALL), b AS (SELECT user_id, event_type, median(value) AS v FROM events WHERE event_id % 3 <> 1 AND value > 20 GROUP BY ALL),
+ab AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, a.v AS a, b.v AS b, CASE WHEN b.user_id IS NULL THEN 'left' WHEN a.user_id IS NULL THEN 'right' ELSE 'both' END AS side
+ FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type)"""
+
+
+@query(f"WITH {RUNS} SELECT user_id, event_type, side, CAST(round((a - b) * 1000) AS BIGINT) AS delta FROM ab")
+def J27_two_runs(spark, sf):
+    """Every track and degree that either run has, with the side that lacks it."""
+    c = archive.compared(*runs_of_events(spark, sf), ["user_id", "event_type"], "value")
+    return c.select("user_id", "event_type", "side", thousandths(F.col("delta")).alias("delta"))
+
+
+@query(f"WITH {RUNS} SELECT count(*) FILTER (side = 'both') AS n_both, count(*) FILTER (side = 'left') AS only_left, count(*) FILTER (side = 'right') AS only_right, CAST(round(median(abs(a - b)) * 1000) AS BIGINT) AS median_delta FROM ab")
+def J27_two_runs_summary(spark, sf):
+    c = archive.compared_summary(archive.compared(*runs_of_events(spark, sf), ["user_id", "event_type"], "value"))
+    return c.select("n_both", "only_left", "only_right", thousandths(F.col("median_delta")).alias("median_delta"))
+
+
+@query("""SELECT 'joined' AS what, NULL AS o_custkey, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c_acctbal > 0
+UNION ALL SELECT 'missed', o_custkey, count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c_acctbal > 0) GROUP BY o_custkey""")
+def J16_report_of_misses(spark, sf):
+    """Orders of customers in the black; each other customer is reported with the orders that were passed over."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    joined, missed = archive.joined_with_misses(o, c, "o_custkey")
+    return joined.agg(F.lit("joined").alias("what"), F.lit(None).cast("long").alias("o_custkey"), F.count(F.lit(1)).alias("n")).unionByName(missed.select(F.lit("missed").alias("what"), F.col("o_custkey").cast("long"), "n"))
+
+
 @query("SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id HAVING count(*) >= 3 ORDER BY conv_id LIMIT 10")
 def O10_head(spark, sf):
     g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
@@ -250,8 +284,9 @@ def A10_A11_corpus_report(spark, sf):
 SELECT file, CAST(round(1000 * (quantile_cont(db, 0.9) - quantile_cont(db, 0.1))) AS BIGINT) AS snr, max(peak) AS peak, count(*) FILTER (db < 20) AS quiet FROM f GROUP BY file""")
 def A13_frame_quality(spark, sf):
     f = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("file"), F.floor(F.col("l_partkey") / 10).alias("fr")).agg((10 * F.log10(F.avg(F.col("l_quantity") * F.col("l_quantity")))).alias("db"), F.max("l_quantity").alias("peak"))
-    p = F.percentile("db", F.array(F.lit(0.1), F.lit(0.9)))
-    return f.groupBy("file").agg(F.round(1000 * (p[1] - p[0])).cast("long").alias("snr"), F.max("peak").alias("peak"), F.count_if(F.col("db") < 20).alias("quiet"))
+    rest = f.groupBy("file").agg(F.max("peak").alias("peak"), F.count_if(F.col("db") < 20).alias("quiet"))
+    both = stats.beside(rest, stats.quantiles(f, "db", ["file"], [0.1, 0.9]), ["file"])
+    return both.select("file", F.round(1000 * (F.col("p90") - F.col("p10"))).cast("long").alias("snr"), "peak", "quiet")
 
 
 @query("SELECT o_clerk, n FROM (SELECT CAST(o_custkey % 11 AS BIGINT) AS o_clerk, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c_acctbal > 0 GROUP BY 1)")

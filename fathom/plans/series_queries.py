@@ -66,8 +66,9 @@ def A6_binned_histogram(spark, sf):
 SELECT count(*) AS n, CAST(round(avg(d) * 1000) AS BIGINT) AS mean, CAST(round(quantile_cont(d, 0.1) * 1000) AS BIGINT) AS p10, CAST(round(quantile_cont(d, 0.5) * 1000) AS BIGINT) AS p50, CAST(round(quantile_cont(d, 0.9) * 1000) AS BIGINT) AS p90 FROM t""")
 def A7_track_percentiles(spark, sf):
     t = points(spark, sf).groupBy("track").agg(F.avg(F.abs("cents")).alias("d"))
-    p = F.percentile("d", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return t.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("m"), p.alias("p")).select("n", thousandths(F.col("m")).alias("mean"), *(thousandths(F.col("p")[k]).alias(c) for k, c in enumerate(("p10", "p50", "p90"))))
+    all_ = t.agg(F.count(F.lit(1)).alias("n"), thousandths(F.avg("d")).alias("mean"))
+    p = stats.quantiles(t, "d", [], [0.1, 0.5, 0.9])
+    return stats.beside(all_, p.select(*(thousandths(F.col(c)).alias(c) for c in p.columns)), [])
 
 
 @query("""WITH v AS (SELECT event_type AS g, value AS x FROM events WHERE event_type IN ('click', 'purchase')), r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM v),
@@ -227,7 +228,7 @@ def F_M_pitch_functions(spark, sf):
 @query(f"WITH {FRAMES}, m AS (SELECT *, median(hz) OVER (PARTITION BY track) AS m FROM frames) SELECT track, count(*) AS n FROM m WHERE hz >= m - 20 GROUP BY track")
 def P19_quiet_segments(spark, sf):
     f = frames(spark, sf)
-    m = f.groupBy("track").agg(F.median("hz").alias("m"))
+    m = stats.quantiles(f, "hz", ["track"], [0.5]).select("track", F.col("p50").alias("m"))
     return f.join(m, "track").where("hz >= m - 20").groupBy("track").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,10 +11,13 @@ from fathom.sources import writers
 from fathom.streaming import keyed, queues, run
 
 from . import query
-from .data import frames, table
+from .data import FRAMES, frames, table
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, f AS (SELECT track, t, ord, row_number() OVER (PARTITION BY track ORDER BY t, ord) AS n FROM frames),
+s(track, n, ord, start, win, hits) AS (SELECT track, n, ord, t, 0, 1 FROM f WHERE n = 1
+  UNION ALL SELECT f.track, f.n, f.ord, CASE WHEN t - start >= 86400 THEN t ELSE start END, win + CASE WHEN t - start >= 86400 THEN 1 ELSE 0 END, CASE WHEN t - start >= 86400 THEN 1 ELSE hits + 1 END FROM s JOIN f ON f.track = s.track AND f.n = s.n + 1)
+SELECT track, ord, CAST(win AS INT) AS win, CAST(hits AS INT) AS hits, hits <= 5 AS allowed FROM s""")
 def ST2_rate_windows(spark, sf):
     f = frames(spark, sf).select("track", "t", "ord")
     return stateful.fixed_windows(f, "track", "t", "ord", 86400.0, 5)
@@ -105,16 +108,35 @@ def X1_ST15_resumed_stage(spark, sf):
     return states.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("digits").alias("digits"))
 
 
-@query()
+def thousandths_of(df, columns):
+    return df.select(*(F.round(F.col(c) * 1000).cast("long").alias(c) if c in columns else c for c in df.columns))
+
+
+#: The automaton on lists: the frames of the note and those of an excursion are kept whole, and medians taken anew.
+@query(f"""WITH RECURSIVE {FRAMES}, f AS (SELECT track, t, CASE WHEN hz > 0 THEN 6900 + 1200 * log2(hz / 440) END AS c, conf AS q, row_number() OVER (PARTITION BY track ORDER BY t) AS n FROM frames),
+hops AS (SELECT track, coalesce(median(d), 0) AS hop FROM (SELECT track, t - lag(t) OVER (PARTITION BY track ORDER BY t) AS d FROM f) GROUP BY track),
+s(track, n, note, away, ended) AS (SELECT DISTINCT track, CAST(0 AS BIGINT), CAST([] AS STRUCT(t DOUBLE, c DOUBLE, q DOUBLE)[]), CAST([] AS STRUCT(t DOUBLE, c DOUBLE, q DOUBLE)[]), CAST([] AS STRUCT(t DOUBLE, c DOUBLE, q DOUBLE)[]) FROM f
+  UNION ALL SELECT track, n, CASE WHEN what = 'begin' THEN [x] WHEN what = 'in' THEN list_append(list_concat(note, away), x) WHEN what = 'settle' THEN list_append(away, x) WHEN what = 'close' THEN [] ELSE note END,
+    CASE WHEN what IN ('in', 'settle', 'close', 'begin') THEN [] WHEN what = 'out' THEN list_append(away, x) ELSE away END, CASE what WHEN 'settle' THEN note WHEN 'close' THEN list_concat(note, away) ELSE [] END
+  FROM (SELECT f.track, f.n, note, away, {{'t': f.t, 'c': f.c, 'q': f.q}} AS x, CASE WHEN f.c IS NOT NULL AND f.q >= 0.5 THEN CASE WHEN len(note) = 0 THEN 'begin' WHEN abs(f.c - list_median(list_transform(note, lambda y: y.c))) < 80 THEN 'in' WHEN len(away) + 1 >= 2 THEN 'settle' ELSE 'out' END
+      WHEN len(note) > 0 AND f.t - list_concat(note, away)[-1].t <= 86400 THEN 'wait' ELSE 'close' END AS what FROM s JOIN f ON f.track = s.track AND f.n = s.n + 1)),
+notes AS (SELECT track, ended AS x FROM s WHERE len(ended) > 0 UNION ALL SELECT s.track, list_concat(note, away) FROM s JOIN (SELECT track, max(n) AS n FROM f GROUP BY track) l ON s.track = l.track AND s.n = l.n WHERE len(note) > 0)
+SELECT track, CAST(round(x[1].t * 1000) AS BIGINT) AS start, CAST(round((x[-1].t + hop) * 1000) AS BIGINT) AS "end", CAST(round(list_median(list_transform(x, lambda y: y.c)) * 1000) AS BIGINT) AS cents, CAST(round(list_avg(list_transform(x, lambda y: y.q)) * 1000) AS BIGINT) AS confidence
+FROM notes JOIN hops USING (track) WHERE x[-1].t + hop - x[1].t >= 0.08""")
 def W7_settled_notes(spark, sf):
     f = frames(spark, sf).withColumn("cents", pitch.hz_to_cents(F.col("hz")))
-    return stateful.settle_notes(f, "track", settle=2, gap=86400.0)
+    return thousandths_of(stateful.settle_notes(f, "track", settle=2, gap=86400.0), ["start", "end", "cents", "confidence"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, f AS (SELECT track, t AS s, t + hz * 100 AS e, conf AS a, row_number() OVER (PARTITION BY track ORDER BY t, conf DESC, t + hz * 100) AS n FROM frames),
+r(track, n, s, e, a, ds, de, da) AS (SELECT track, n, s, e, a, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM f WHERE n = 1
+  UNION ALL SELECT track, n, CASE WHEN hidden THEN s0 ELSE s END, CASE WHEN hidden THEN e0 ELSE e END, CASE WHEN hidden THEN a0 ELSE a END, CASE WHEN NOT hidden THEN s0 END, least(e0, s), a0
+  FROM (SELECT f.*, r.s AS s0, r.e AS e0, r.a AS a0, f.s < r.e AND f.a <= r.a * 1.2 AS hidden FROM r JOIN f ON f.track = r.track AND f.n = r.n + 1)),
+line AS (SELECT track, ds AS s, de AS e, da AS a FROM r WHERE ds IS NOT NULL UNION ALL SELECT r.track, s, e, a FROM r JOIN (SELECT track, max(n) AS n FROM f GROUP BY track) l ON r.track = l.track AND r.n = l.n)
+SELECT track, CAST(round(s * 1000) AS BIGINT) AS start, CAST(round(e * 1000) AS BIGINT) AS "end", CAST(round(a * 1000) AS BIGINT) AS amp FROM line WHERE e - s >= 0.05""")
 def W8_J22_skyline(spark, sf):
     f = frames(spark, sf).select("track", F.col("t").alias("start"), (F.col("t") + F.col("hz") * 100).alias("end"), F.col("conf").alias("amp"))
-    return stateful.skyline(f, "track")
+    return thousandths_of(stateful.skyline(f, "track"), ["start", "end", "amp"])
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")

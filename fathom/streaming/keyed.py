@@ -8,9 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from fathom.operators import search
+from fathom.sources import readers
 
 
 def as_stream(df: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -79,18 +83,22 @@ def rate_limited(events: DataFrame, key: str, window_ms: int, limit: int) -> Dat
     return _keyed(events, key, step, "at long, hits int, allowed boolean", "start long, n int", window_ms)
 
 
-def lockout(events: DataFrame, key: str, most: int, lock_ms: int) -> DataFrame:
-    """key, at, failures, locked: so many failures in a row lock the key for a time. events: key, ts, ok."""
+def lockout(events: DataFrame, key: str, most: int, lock_ms: int, keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """key, at, failures, locked: so many failures in a row lock the key for a time. events: key, ts, ok.
+
+    Only a success sets the count back; it stays when a lock ends, so the next failure locks again. While a key is locked
+    nothing is counted. The count of a key that is silent for keep_ms is forgotten.
+    """
 
     def step(now, t, row):
         failures, until = now or (0, 0)
         if t < until:
             return (failures, until), (t, failures, True)
-        failures = 0 if row.ok else (0 if until else failures) + 1
+        failures = 0 if row.ok else failures + 1
         until = t + lock_ms if failures >= most else 0
         return (failures, until), (t, failures, bool(until))
 
-    return _keyed(events, key, step, "at long, failures int, locked boolean", "failures int, until long", lock_ms * 4)
+    return _keyed(events, key, step, "at long, failures int, locked boolean", "failures int, until long", keep_ms)
 
 
 def jobs(events: DataFrame, key: str, stale_ms: int) -> DataFrame:
@@ -135,19 +143,44 @@ def expiring(events: DataFrame, key: str, ttl_ms: int, refresh: bool) -> DataFra
     return _keyed(events, key, step, "at long, hit boolean", "until long", ttl_ms)
 
 
-def index_changes(target: dict, key: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: published rows enter the index table, others leave it. target: path of the table, versioned by batch.
+INDEX_BUCKETS = 64
+
+
+def index_changes(path: str, key: str, weights: dict[str, float], buckets: int = INDEX_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the postings of published rows enter the index below path, those of other rows leave it. Rows have
+    the key, seq (the last one of a key counts), status and the fields of weights.
 
-    Each batch writes a new version from the last one, so a batch that runs again gives the same version.
+    Postings are dealt to buckets by their document. A batch writes those buckets anew that its documents fall into, and a
+    manifest that names for each bucket the batch that wrote it last. A batch that runs again replaces its own files only,
+    and readers see a batch when its manifest is finished.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, folder = batch.sparkSession, target["path"]
+        spark = batch.sparkSession
         last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "seq").alias("r")).select(key, "r.*")
-        rows = last.where("status = 'published'")
-        if number:
-            old = spark.read.parquet(f"{folder}/v{number - 1}")
-            rows = old.join(last.select(key), key, "left_anti").unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r.bucket for r in last.select(bucket.alias("bucket")).distinct().collect()]  # the number of buckets bounds them
+        before = {k: n for k, n in index_manifest(spark, path, number).items() if n < number}
+        new = search.postings(last.where("status = 'published'"), key, weights)
+        old = index_postings(spark, path, new.schema, {k: n for k, n in before.items() if k in touched})
+        rows = old.join(last.select(key), key, "left_anti").unionByName(new).withColumn("bucket", bucket)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{number}")
+        written = spark.read.schema("bucket int").parquet(f"{path}/data/{number}").distinct().collect()
+        now = {k: n for k, n in before.items() if k not in touched} | {r.bucket: number for r in written}
+        spark.createDataFrame(list(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{number}")
 
     return run
+
+
+def index_manifest(spark: SparkSession, path: str, before: int = 1 << 62) -> dict[int, int]:
+    """The batch that wrote each bucket last, of the last finished manifest (with a smaller number)."""
+    known = [n for n in readers.versions(spark, f"{path}/manifest") if n < before]
+    rows = spark.read.schema("bucket int, batch int").json(f"{path}/manifest/{known[-1]}").collect() if known else []
+    return {r.bucket: r.batch for r in rows}
+
+
+def index_postings(spark: SparkSession, path: str, schema: StructType, manifest: dict[int, int] | None = None) -> DataFrame:
+    """The postings of all buckets, or of those of a manifest."""
+    manifest = index_manifest(spark, path) if manifest is None else manifest
+    paths = [f"{path}/data/{n}/bucket={k}" for k, n in sorted(manifest.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 import os
-import shutil
 import uuid
 
 import pytest
@@ -47,6 +46,9 @@ def test_lockout(streamed):
     rows = [{"k": "a", "ts": at(s), "ok": ok} for s, ok in ((0, False), (1, False), (2, True), (3, False), (4, False), (5, False), (6, True), (70, True))]
     got = streamed([rows[:4], rows[4:]], "k string, ts timestamp, ok boolean", lambda s: keyed.lockout(keyed.as_stream(s), "k", 3, 60_000))
     assert [(r.failures, r.locked) for r in sorted(got, key=lambda r: r["at"])] == [(1, False), (2, False), (0, False), (1, False), (2, False), (3, True), (3, True), (0, False)]
+    rows = [{"k": "a", "ts": at(s), "ok": ok} for s, ok in ((0, False), (1, False), (62, False), (130, True), (131, False))]
+    got = streamed([rows[:2], rows[2:]], "k string, ts timestamp, ok boolean", lambda s: keyed.lockout(keyed.as_stream(s), "k", 2, 60_000))
+    assert [(r.failures, r.locked) for r in sorted(got, key=lambda r: r["at"])] == [(1, False), (2, True), (3, True), (0, False), (1, False)]
 
 
 def test_jobs_end_once_and_go_stale(streamed):
@@ -86,10 +88,16 @@ def test_windows_and_duplicates(streamed):
 
 
 def test_index_follows_publication(spark, streamed, tmp_path):
-    target = {"path": str(tmp_path / "index")}
-    run = keyed.index_changes(target, "id")
-    schema = "id int, seq int, status string, title string"
-    run(spark.createDataFrame([(1, 1, "published", "a"), (2, 2, "draft", "b")], schema), 0)
-    run(spark.createDataFrame([(1, 3, "archived", "a"), (2, 4, "published", "c"), (2, 5, "published", "d")], schema), 1)
-    assert [(r.id, r.title) for r in spark.read.parquet(f"{target['path']}/v1").collect()] == [(2, "d")]
-    shutil.rmtree(target["path"])
+    path, schema = str(tmp_path / "index"), "id int, seq int, status string, title string"
+    run = keyed.index_changes(path, "id", {"title": 2.0}, buckets=8)
+    index = lambda: sorted((r.id, r.term, r.weight) for r in keyed.index_postings(spark, path, spark.createDataFrame([], "id int, term string, weight double").schema).collect())
+    assert index() == []
+    run(spark.createDataFrame([(1, 1, "published", "a a b"), (2, 2, "draft", "b"), *((k, 1, "published", "x") for k in range(10, 40))], schema), 0)
+    rest = [(k, "x", 2.0) for k in range(10, 40)]
+    assert index() == [(1, "a", 4.0), (1, "b", 2.0), *rest]
+    change = spark.createDataFrame([(1, 3, "archived", "a"), (2, 4, "published", "c"), (2, 5, "published", "d")], schema)
+    for _ in range(2):  # a batch that runs again gives the same index
+        run(change, 1)
+        assert index() == [(2, "d", 2.0), *rest]
+    manifest = keyed.index_manifest(spark, path)
+    assert sorted(set(manifest.values())) == [0, 1] and len([n for n in manifest.values() if n == 1]) <= 2  # other buckets were not written
