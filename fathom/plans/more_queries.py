@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import pitch, text, vectors
-from fathom.operators import series
+from fathom.operators import loudness, series
 
 from . import query
 from .data import FRAMES, frames, table, thousandths
@@ -132,3 +132,33 @@ def F_M11_F_M15_scores(spark, sf):
     v, e = F.col("value"), F.col("event_id")
     quality = text.quality_score((e % 50).cast("double"), F.when(e % 7 == 0, 0.0).otherwise(-6.0))
     return table(spark, sf, "events").select("event_id", F.round(10 * quality).cast("long").alias("quality"), F.when(v >= 300, "high").when(v >= 100, "mid").otherwise("low").alias("tier"))
+
+
+RATE, TAPS = 4000, 700
+
+
+def impulse_response() -> list[float]:
+    """What the two filters make of a single sample: their sum with the samples is the same filter without recursion."""
+    m, out = loudness.Weighted(RATE), []
+    for k in range(TAPS):
+        x = float(k == 0)
+        for (b0, b1, b2, a1, a2), z in zip(m.coefficients, m.states, strict=True):
+            y = b0 * x + z[0]
+            z[0], z[1] = b1 * x - a1 * y + z[1], b2 * x - a2 * y
+            x = y
+        out.append(x)
+    return out
+
+
+@query(f"""WITH s AS (SELECT l_linenumber % 2 AS k, row_number() OVER (PARTITION BY l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, (CAST(l_quantity AS DOUBLE) - 25.5) / 25 AS x FROM lineitem),
+h AS (SELECT unnest(range({TAPS})) AS j, unnest({impulse_response()}) AS h), y AS (SELECT k, i + j AS i, sum(x * h) AS y FROM s, h GROUP BY ALL), n AS (SELECT k, count(*) AS n, max(abs(x)) AS top FROM s GROUP BY k),
+st AS (SELECT y.k, i // 400 AS step, sum(y * y) / 400 AS e FROM y JOIN n ON n.k = y.k WHERE i < n // 400 * 400 GROUP BY ALL), b AS (SELECT k, z, -0.691 + 10 * log10(z) AS l FROM (SELECT k, sum(e) OVER w / 4 AS z, count(*) OVER w AS c FROM st WINDOW w AS (PARTITION BY k ORDER BY step ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE c = 4),
+g AS (SELECT k, -10.691 + 10 * log10(avg(z)) AS gate FROM b WHERE l >= -70 GROUP BY k), r AS (SELECT b.k, -0.691 + 10 * log10(avg(z)) AS l FROM b JOIN g ON g.k = b.k WHERE l >= -70 AND l > gate GROUP BY b.k),
+f AS (SELECT n.k, l + 20 * log10(0.99 / top) AS l, 0.99 / top AS first FROM n LEFT JOIN r ON n.k = r.k)
+SELECT k, CAST(round(l * 1000) AS BIGINT) AS loudness, CAST(round(first * least(coalesce(pow(10, (-14 - l) / 20), 1), 1) * 1000000) AS BIGINT) AS gain, coalesce(pow(10, (-14 - l) / 20), 1) > 1 AS limited FROM f""")
+def F_M20_loudness_gain(spark, sf):
+    """Quantities as samples of two channels."""
+    li = table(spark, sf, "lineitem")
+    x = li.select((F.col("l_linenumber") % 2).alias("k"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("i"), ((F.col("l_quantity").cast("double") - 25.5) / 25).alias("x"))
+    g = loudness.gains(x, "k", RATE)
+    return g.select("k", thousandths(F.col("loudness")).alias("loudness"), F.round(F.col("gain") * 1e6).cast("long").alias("gain"), "limited")

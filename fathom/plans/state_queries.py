@@ -139,6 +139,18 @@ def W8_J22_skyline(spark, sf):
     return thousandths_of(stateful.skyline(f, "track"), ["start", "end", "amp"])
 
 
+@query("""WITH last AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 3 = 2 THEN 'draft' ELSE 'published' END AS status, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS docs, count(*) * 2 AS weight FROM last WHERE status = 'published' AND term <> '' GROUP BY term HAVING count(DISTINCT doc_id) >= 10""")
+def ST8_incremental_index(spark, sf):
+    """Three batches of changes: some documents are published, others follow, and some of the first are taken back."""
+    path, d = writers.scratch(spark), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    change = keyed.index_changes(path, "id", {"text": 2.0}, buckets=16)
+    for number, (rows, status) in enumerate((("id % 3 = 0", "published"), ("id % 3 = 1", "published"), ("id % 6 = 0", "archived"))):
+        change(d.where(rows).withColumns({"seq": F.lit(number), "status": F.lit(status)}), number)
+    found = keyed.index_postings(spark, path, spark.createDataFrame([], f"id {d.schema['id'].dataType.simpleString()}, term string, weight double").schema)
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").cast("long").alias("weight")).where("docs >= 10")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def EXT_tumbling_window(spark, sf):
     g = table(spark, sf, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
