@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,18 +103,24 @@ def bigrams(events: DataFrame, key: str = "track") -> DataFrame:
 def grid_fit(frames: DataFrame, pattern: list[int], key: str = "track", half: int = 20, least: int = 300) -> DataFrame:
     """Offset (cents) under which the pattern of degrees meets most of the pitch-class histogram, smoothed by a triangle.
 
-    Null for tracks with fewer frames than the least. The first of equal offsets stands. The histogram has 1200 bins at
-    most, so all that follows it is small: taps and kernel are exploded from bins, not from frames.
+    Null for tracks with fewer frames than the least. The first of equal offsets stands. Frames are counted into 1200 bins at
+    most; a track's bins are one row, and the smoothing is done on such rows in Arrow batches, in whole numbers.
     """
     pc = F.least(F.floor(pitch.pitch_class_cents(F.col("hz"))).cast("int"), F.lit(1199))
     bins = frames.groupBy(key, pc.alias("bin")).agg(F.count(F.lit(1)).alias("h"))
-    tap = F.explode(F.array(*map(F.lit, pattern))).alias("p")
-    spread = bins.select(key, "bin", "h", tap).select(key, "bin", "h", "p", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("k"))
-    # integer weights: the kernel times (half + 1)
-    scores = spread.groupBy(key, F.pmod(F.col("bin") + F.col("k") - F.col("p"), F.lit(1200)).alias("offset")).agg(F.sum(F.col("h") * (half + 1 - F.abs("k"))).alias("score"))
-    best = scores.groupBy(key).agg(F.max_by("offset", F.struct("score", -F.col("offset"))).alias("offset"))
-    n = bins.groupBy(key).agg(F.sum("h").alias("n_frames"))
-    return n.join(best, key, "left").withColumn("offset", F.when(F.col("n_frames") >= least, F.col("offset")))
+    rows = bins.groupBy(key).agg(F.sum("h").alias("n_frames"), F.collect_list("bin").alias("bins"), F.collect_list("h").alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            row = np.repeat(np.arange(n), pc_.list_value_length(batch["bins"]).to_numpy(zero_copy_only=False))
+            hist = np.zeros((n, 1200), np.int64)
+            hist[row, batch["bins"].flatten().to_numpy()] = batch["counts"].flatten().to_numpy()
+            smooth = sum((half + 1 - abs(k)) * np.roll(hist, k, axis=1) for k in range(-half, half + 1))
+            offset = sum(np.roll(smooth, -p, axis=1) for p in pattern).argmax(axis=1) if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch[key], batch["n_frames"], pa.array(offset.astype(np.int32), mask=batch["n_frames"].to_numpy() < least)], names=[key, "n_frames", "offset"])
+
+    return rows.mapInArrow(run, f"{key} {frames.schema[key].dataType.simpleString()}, n_frames long, offset int")
 
 
 #: The pentatonic set, its modes, and the weights of root, fifth and other degrees.

@@ -27,9 +27,14 @@ def test_degree_statistics(spark):
 def test_pitch_functions(spark):
     r = one(spark, pitch.nearest_degree(F.lit(146.83)).alias("d"), pitch.nearest_degree(F.lit(0.0)).alias("z"), pitch.hz_to_cents(F.lit(440.0)).alias("c"), pitch.midi_to_hz(F.lit(69)).alias("h"), pitch.deviation_from(F.lit(440.0), F.lit("sol")).alias("s"), pitch.accuracy(F.lit(442.0), F.lit(440.0)).alias("a"))
     assert r.d.note == "do" and abs(r.d.cents) < 0.1 and r.z is None and r.c == pytest.approx(6900) and r.h == pytest.approx(440) and r.s == 0 and r.a.in_tune
-    r = one(spark, *(pitch.snap(F.lit(c), F.array(*(F.lit(float(d)) for d in (0, 200, 400, 700, 900)))).alias(f"x{int(c)}") for c in (6430.0, 6580.0)))
-    assert r.x6430.snapped and r.x6430.cents == pytest.approx(6400)
-    assert r.x6580.marked and r.x6580.cents == 6580 and r.x6580.confidence < 0.5
+    grid = [1.5, 301.5, 701.5]
+    cases = [1.5, 40.0, 295.0, 555.0, 690.0, 1190.0, 5000.0]
+    r = one(spark, *(pitch.snap(F.lit(c), F.array(*map(F.lit, grid))).alias(f"x{k}") for k, c in enumerate(cases)))
+    for k, c in enumerate(cases):  # a plain loop over all degrees in all octaves
+        far, at = min((abs(c - d - 1200 * n), d + 1200 * n) for d in grid for n in range(-1, 6))
+        got = r[f"x{k}"]
+        assert got.snapped != got.marked and got.cents == pytest.approx(at if got.snapped else c)
+        assert got.snapped == (far <= 50) and 0 <= got.confidence <= 1
 
 
 def test_cosine_and_validity(spark):
@@ -45,11 +50,12 @@ def events(spark, rows, gap=0.05):
 def test_segmentation_and_ornaments(spark):
     got = events(spark, [(0, "do", 0), (0.01, "do", 0), (0.02, "sol", 0), (0.03, "sol", 0), (0.2, "sol", 0)]).orderBy("island").collect()
     assert [r.note for r in got] == ["do", "sol", "sol"]
-    kind = lambda rows: series.ornament(events(spark, rows)).first().kind
-    assert kind([(k * 0.01, "do", 0) for k in range(3)]) == "grace_note"
-    assert kind([(k * 0.01, "do", 4 * (-1) ** (k // 10)) for k in range(51)]) == "straight"
-    assert kind([(k * 0.01, "do", 100 * k / 30) for k in range(31)]) == "glissando"
-    assert kind([(k * 0.01, "do", 40 * math.sin(2 * math.pi * 6 * k * 0.01)) for k in range(101)]) == "vibrato"
+    kind = lambda n, cents: series.ornament(events(spark, [(k / 100, "sol", cents(k)) for k in range(n)])).first().kind
+    assert kind(4, lambda k: 0) == "grace_note"
+    assert kind(40, lambda k: 9 if k % 7 < 3 else -9) == "straight"
+    assert kind(25, lambda k: -45 + 4 * k) == "glissando"
+    assert kind(81, lambda k: 55 * math.sin(2 * math.pi * 5 * k / 100)) == "vibrato"
+    assert kind(60, lambda k: 33 if k == 30 else 0) == "other"
 
 
 def test_grid_fit_recovers_a_transposition(spark):
