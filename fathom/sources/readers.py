@@ -81,11 +81,6 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return f.select(F.regexp_extract("path", r"([^/]*)\.npy$", 1).alias("id"), parse("content").alias("vector"))
 
 
-def table_over_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
-    """A database table in ranges of a numeric key, so that executors read side by side."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=partitions, **options).load()
-
-
 def revived(df: DataFrame, columns: list[str]) -> DataFrame:
     """ISO strings of the named columns as timestamps; what does not parse becomes null."""
     return reduce(lambda d, c: d.withColumn(c, F.try_to_timestamp(F.col(c))), columns, df)
