@@ -435,7 +435,7 @@ def test_sql_agrees(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "labels", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in SQL.items():
         rel = con.sql(sql)
