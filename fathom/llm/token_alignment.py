@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from .common import bounded_batches, chunks, distinct_words, hand_back, strung, written
 from .token_files import byte_symbols
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: A cut that both tokenizers make: before a space or a line end between two characters that are not white space.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 PLAIN = re.compile(r"[ \n]?\S+")
