@@ -49,10 +49,11 @@ def S10_ledger(spark, sf):
     return readers.ledger(spark, path).where("status = 'done'").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT vec_id, len(embedding) AS n FROM embeddings WHERE vec_id % 2 = 0")
+@query("SELECT vec_id, len(embedding) AS n, CAST(round(1000 * list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) AS BIGINT) AS total FROM embeddings WHERE vec_id % 2 = 0")
 def S14_S15_snapshot(spark, sf):
     v = table(spark, sf, "embeddings").where("vec_id % 2 = 0").select("vec_id", "embedding")
-    return writers.snapshot(v, writers.scratch(spark)).select("vec_id", F.size("embedding").cast("long").alias("n"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return writers.snapshot(v, writers.scratch(spark)).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(1000 * total).cast("long").alias("total"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '' ELSE 'positive' END AS errors FROM customer WHERE c_custkey % 5 <> 0")

@@ -59,14 +59,23 @@ def csv(df: DataFrame, path: str) -> None:
 
 def save_ledger(df: DataFrame, path: str) -> int:
     """A progress ledger (stage, track_id, status) as the next version below path; its number. Readers take the last
-    version that is finished, so a job that dies half way leaves the version before."""
+    version that is finished, so a job that dies half way leaves the version before. A number is claimed by a file that only
+    one writer can make, so two writers never write the same version."""
     from .readers import versions
 
     number = (versions(df.sparkSession, path) or [-1])[-1] + 1
-    df.select("stage", "track_id", "status").write.mode("overwrite").json(f"{path}/{number}")
+    while not _claimed(df.sparkSession, f"{path}/claims/{number}"):
+        number += 1
+    df.select("stage", "track_id", "status").write.mode("errorifexists").json(f"{path}/{number}")
     return number
 
 
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False if it is there already."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(file)
+
+
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """df as it is now, kept in a table of its own and read from there; later changes of its sources do not reach it."""
     df.write.mode("errorifexists").parquet(path)

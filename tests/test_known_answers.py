@@ -150,6 +150,8 @@ def test_markup_vectors_and_ledger(spark, tmp_path):
     assert readers.ledger(spark, path).count() == 0
     rows = spark.createDataFrame([("s", "t", "done")], "stage string, track_id string, status string")
     assert [writers.save_ledger(rows, path), writers.save_ledger(rows, path)] == [0, 1]
+    assert writers._claimed(spark, f"{path}/claims/2") and not writers._claimed(spark, f"{path}/claims/2")  # another writer is at it
+    assert writers.save_ledger(rows, path) == 3
     (tmp_path / "ledger/2").mkdir()  # a version that was never finished
     (tmp_path / "ledger/2/part-0.json").write_text("{")
     assert readers.ledger(spark, path).count() == 1

@@ -73,3 +73,17 @@ def test_index_of_no_rows_and_of_fewer_rows_than_lists(spark):
     assert len(ivf.kmeans(empty, 4, 2)) == 0
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
     assert len(ivf.kmeans(few, 4, 2)) == 2 and ivf.assigned(few, ivf.kmeans(few, 4, 2)).count() == 2
+
+
+def test_p_of_the_rank_test_against_the_error_function_of_the_library(spark):
+    xs = [0.0, 0.1, 0.5, 1.0, 1.96 / math.sqrt(2), 3.0, 5.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.select(stats.erfc(df.x)).collect()] == pytest.approx([math.erfc(x) for x in xs], abs=2e-7)
+    r = random.Random(9)
+    rows = [("a", round(r.gauss(0, 1), 1)) for _ in range(40)] + [("b", round(r.gauss(0.5, 1), 1)) for _ in range(30)]
+    got = stats.mann_whitney(spark.createDataFrame(rows, "g string, v double"), "g", "v", "a", "b").first()
+    a, b = ([v for g, v in rows if g == x] for x in "ab")
+    u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+    n, ties = 70, sum(k**3 - k for k in (sum(v == w for _, v in rows) for w in {v for _, v in rows}))
+    z = (abs(u - 600) - 0.5) / math.sqrt(40 * 30 / 12 * (n + 1 - ties / (n * (n - 1))))
+    assert got.u == u and got.p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-7)
