@@ -108,17 +108,18 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     """One row: n_a, n_b, u (of a, ties by average rank), z (normal approximation with tie and continuity correction), p
     (two-sided; null with fewer than three values on a side).
 
-    Ranks come from the counts of distinct values. These are dealt to ranges; a window runs within a range, and one over
-    the few ranges' totals, so that no task walks through all values.
+    Ranks come from the counts of distinct values. These are dealt to ranges; a window runs within a range, to which the
+    totals of the ranges before it are added, so that no task walks through all values.
     """
     both = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     cuts = sorted(set(both.approxQuantile(value, [k / 64 for k in range(1, 64)], 0.01)))
     part = F.aggregate(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), F.lit(0), lambda n, c: n + (F.col(value) > c).cast("int"))
-    by = both.groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")).withColumn("part", part).withColumn("t", F.col("na") + F.col("nb"))
-    totals = by.groupBy("part").agg(F.sum("t").alias("n"))
-    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    by = both.withColumn("part", part).groupBy(value, "part").agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")).withColumn("t", F.col("na") + F.col("nb"))
+    totals = {r.part: r.n for r in by.groupBy("part").agg(F.sum("t").alias("n")).collect()}  # 64 rows at most
+    first = {p: sum(n for q, n in totals.items() if q < p) for p in totals}
+    before = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))[F.col("part")] if first else F.lit(0)
     below = F.coalesce(F.sum("t").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("below", below).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("below") + (F.col("t") + 1) / 2.0)  # 64 rows at most
+    ranked = by.withColumn("below", below).withColumn("rank", before + F.col("below") + (F.col("t") + 1) / 2.0)
     s = ranked.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("rank") * F.col("na")).alias("r"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n_a") + F.col("n_b")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2.0
