@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def summary(df: DataFrame, value: str, by: list[str] | None = None, limit: float = 50.0) -> DataFrame:
-    """n, mean, median, population deviation, mean size, share beyond the limit (strictly)."""
+def summary(df: DataFrame, value: str, by: list[str] | None = None, limit: float = 50.0, small: int = 1_000_000) -> DataFrame:
+    """n, mean, median, population deviation, mean size, share beyond the limit (strictly).
+
+    One aggregate where no group can have more than `small` values; else medians are selected as quantiles() does it.
+    """
     x, by = F.col(value), by or []
-    rest = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.avg(F.abs(x)).alias("mean_abs"), F.avg((F.abs(x) > limit).cast("int")).alias("beyond"))
-    middle = quantiles(df, value, by, [0.5]).withColumnRenamed("p50", "median")
-    return beside(rest, middle, by).select(*by, "n", "mean", "median", "std", "mean_abs", "beyond")
+    rest = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.avg(F.abs(x)).alias("mean_abs"), F.avg((F.abs(x) > limit).cast("int")).alias("beyond")]
+    if df.where(x.isNotNull()).count() <= small:
+        both = df.groupBy(*by).agg(*rest, F.median(x).alias("median"))
+    else:
+        both = beside(df.groupBy(*by).agg(*rest), quantiles(df, value, by, [0.5], small=small).withColumnRenamed("p50", "median"), by)
+    return both.select(*by, "n", "mean", "median", "std", "mean_abs", "beyond")
 
 
 def beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:

@@ -87,3 +87,11 @@ def test_p_of_the_rank_test_against_the_error_function_of_the_library(spark):
     n, ties = 70, sum(k**3 - k for k in (sum(v == w for _, v in rows) for w in {v for _, v in rows}))
     z = (abs(u - 600) - 0.5) / math.sqrt(40 * 30 / 12 * (n + 1 - ties / (n * (n - 1))))
     assert got.u == u and got.p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-7)
+
+
+def test_summary_is_the_same_for_large_groups(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(r.choice("abc"), r.gauss(0, 60)) for _ in range(500)], "k string, v double")
+    for by in ([], ["k"]):
+        a, b = (sorted(map(tuple, stats.summary(df, "v", by, small=n).collect())) for n in (1000, 20))
+        assert all(x == pytest.approx(y) if isinstance(x, float) else x == y for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True))
