@@ -34,6 +34,8 @@ from .common import bounded_batches, chunks, distinct_words, hand_back, strung,
 from .token_files import byte_symbols
 
 CHUNK_BYTES = 4 << 20
+#: Units, or links of rows, that a chunk works on at once: several workers share an executor's memory.
+SLICE = 1 << 15
 #: A cut that both tokenizers make: before a space or a line end between two characters that are not white space.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 PLAIN = re.compile(r"[ \n]?\S+")
@@ -166,22 +168,13 @@ class Aligner:
             rows.append(np.full(len(at[-1]), k))
         return list(more), np.concatenate(at), np.concatenate(rows)
 
-    def chunk(self, doc_ids: pa.Array, texts: pa.Array) -> dict:
-        """The columns of CHUNK for some rows."""
-        n_rows = len(texts)
-        units, at_unit, doc = self._placed(texts)
+    def _units(self, units: list[str]) -> tuple[list[np.ndarray], np.ndarray, pa.LargeBinaryArray]:
+        """For units: how many tokens of A and of B, groups and links each has (and whether it has any token), the pairs of ids
+        of its links, a unit's after the other's, and its groups as text."""
         ids_a, ids_b, n_a, n_b, kept = self.encoded(units)
-        lost = np.zeros(n_rows, bool)
-        lost[doc[~kept[at_unit]]] = True
-        at_unit, doc = at_unit[~lost[doc]], doc[~lost[doc]]
-        order = np.argsort(doc, kind="stable")
-        at_unit, doc = at_unit[order], doc[order]
-
         link_a, pair, groups = self.aligned(ids_a, ids_b)
         ends_a = np.cumsum(n_a)  # a unit's end is common, so neither links nor groups go over it
         unit_of = np.repeat(np.arange(len(units)), n_a)[link_a]
-        pairs, of_link = np.unique(pair, return_inverse=True)
-        of_link, n_links = of_link[np.argsort(unit_of, kind="stable")], np.bincount(unit_of, minlength=len(units))
         side, g = groups["side"].to_numpy(), groups["g"].to_numpy().astype(np.int64)
         last = np.append((side[1:] != side[:-1]) | (g[1:] != g[:-1]), True)
         sign = groups["id"].to_numpy() + len(self.shown.lengths) // 3 * np.where(last, 1 + side, 0)  # 1: the bar, 2: the semicolon
@@ -189,23 +182,52 @@ class Aligner:
         sizes = np.concatenate(([0], np.cumsum(self.shown.lengths[sign])))[np.concatenate(([0], np.cumsum(n_a + n_b)))]
         g_of_a = g[side == 0]
         n_groups = np.diff(np.where(ends_a > 0, g_of_a[np.maximum(ends_a, 1) - 1] + 1, 0) if len(g_of_a) else ends_a, prepend=0)
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(sizes.astype("<i8")), pa.py_buffer(data)])
+        counts = [n_a, n_b, n_groups, np.bincount(unit_of, minlength=len(units)), kept]
+        return counts, pair[np.argsort(unit_of, kind="stable")], strings
+
+    def chunk(self, doc_ids: pa.Array, texts: pa.Array, most: int = SLICE) -> dict:
+        """The columns of CHUNK for some rows. Units, then rows, are worked on in slices, `most` units or links at a time."""
+        n_rows = len(texts)
+        units, at_unit, doc = self._placed(texts)
+        slices = [self._units(units[k : k + most]) for k in range(0, max(1, len(units)), most)]
+        n_a, n_b, n_groups, n_links, kept = (np.concatenate(x) for x in zip(*(counts for counts, _, _ in slices), strict=True))
+        pairs, of_link = np.unique(np.concatenate([pair for _, pair, _ in slices]), return_inverse=True)
+        of_link, strings = of_link.astype(np.int32), pa.chunked_array([x for _, _, x in slices]).combine_chunks()
+        n_units = max(1, len(units))
+        del slices, units
+        lost = np.zeros(n_rows, bool)
+        lost[doc[~kept[at_unit]]] = True
+        at_unit, doc = at_unit[~lost[doc]], doc[~lost[doc]]
+        order = np.argsort(doc, kind="stable")
+        at_unit, doc = at_unit[order], doc[order]
 
         total = lambda values: np.bincount(doc, weights=values[at_unit], minlength=n_rows).astype(np.int64)
-        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(sizes.astype("<i8")), pa.py_buffer(data)])
         cuts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n_rows))))
-        shas = [hashlib.sha256(x[:-1]).hexdigest() if len(x) else "" for x in strung(strings, at_unit, cuts)]
-
-        # (row, unit) with its number of occurrences, then (row, pair) with its number of links
-        both, times = np.unique(doc * max(1, len(units)) + at_unit, return_counts=True)
-        row, unit = both // max(1, len(units)), both % max(1, len(units))
-        many = n_links[unit]
-        where = np.repeat(row, many) * max(1, len(pairs)) + of_link[_runs((np.cumsum(n_links) - n_links)[unit], many)]
-        seen, back = np.unique(where, return_inverse=True)
-        times = np.bincount(back, weights=np.repeat(times, many), minlength=len(seen)).astype(np.int64)
-        row, at = seen // max(1, len(pairs)), seen % max(1, len(pairs))
+        first_link, linked = np.cumsum(n_links) - n_links, np.cumsum(total(n_links))
+        n, shas, row_of, at, times = np.zeros(len(pairs), np.int64), [], [], [], []
+        a = 0
+        while a < n_rows:  # rows a to b: as many as have `most` links, or one
+            b = max(a + 1, int(np.searchsorted(linked, (linked[a - 1] if a else 0) + most, "right")))
+            x, y = at_unit[cuts[a] : cuts[b]], doc[cuts[a] : cuts[b]]
+            shas += [hashlib.sha256(s[:-1]).hexdigest() if len(s) else "" for s in strung(strings, x, cuts[a : b + 1] - cuts[a])]
+            # (row, unit) with its number of occurrences, then (row, pair) with its number of links
+            both, each = np.unique(y * n_units + x, return_counts=True)
+            unit = both % n_units
+            many = n_links[unit]
+            where = np.repeat(both // n_units, many) * max(1, len(pairs)) + of_link[_runs(first_link[unit], many)]
+            seen, back = np.unique(where, return_inverse=True)
+            each = np.bincount(back, weights=np.repeat(each, many), minlength=len(seen)).astype(np.int64)
+            place = seen % max(1, len(pairs))
+            n += np.bincount(place, weights=each, minlength=len(pairs)).astype(np.int64)
+            row_of.append(np.bincount(seen // max(1, len(pairs)) - a, minlength=b - a))
+            at.append(place.astype(np.int32))
+            times.append(each.astype(np.int32))
+            a = b
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return {
-            "pairs": pairs, "n": np.bincount(at, weights=times, minlength=len(pairs)).astype(np.int64), "doc_id": doc_ids, "n_a": total(n_a), "n_b": total(n_b), "n_groups": total(n_groups),
-            "n_links": np.bincount(row, weights=times, minlength=n_rows).astype(np.int64), "groups_sha256": shas, "ends": np.cumsum(np.bincount(row, minlength=n_rows)), "at": at.astype(np.int32), "times": times.astype(np.int32),
+            "pairs": pairs, "n": n, "doc_id": doc_ids, "n_a": total(n_a), "n_b": total(n_b), "n_groups": total(n_groups),
+            "n_links": total(n_links), "groups_sha256": shas, "ends": np.cumsum(flat(row_of, np.int64)), "at": flat(at, np.int32), "times": flat(times, np.int32),
         }
 
 
@@ -232,6 +254,8 @@ def chunked(docs: DataFrame, byte_file: str, piece_file: str, chunk_bytes: int =
                 flat = x if isinstance(x, pa.Array) else pa.array(x, pa.string() if name == "groups_sha256" else None)
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", *got])
+            del got, columns, flat
+            hand_back()
         _LOADED.clear()
         del aligner
         hand_back()

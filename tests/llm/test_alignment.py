@@ -4,7 +4,11 @@ import collections
 import hashlib
 import json
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -83,3 +87,32 @@ def test_query(spark, sf, plain):
     for want in brute(short, plain):  # counts over the corpus are in test_random_texts
         assert got[want[0]][:5] == want[:5] and got[want[0]][7] == want[7]
     assert sum(x[4] for x in got.values()) <= sum(x[6] for x in got.values())
+
+
+def test_slices_of_a_chunk(plain):
+    """Any slice of units and links gives the same chunk."""
+    aligner = token_alignment.loaded(tokenizer_path(A_FILE), tokenizer_path(B_FILE))
+    texts = pa.array([None, "", "a", "▁x", "one two one\n\nthree  four", "one " * 50, "\x00 z", "two three"])
+    ids = pa.array(range(len(texts)))
+    whole, *others = [{k: list(x) for k, x in aligner.chunk(ids, texts, most).items()} for most in (1 << 20, 1, 3, 40)]
+    assert all(x == whole for x in others)
+    assert whole["n_links"][5] == sum(whole["times"][whole["ends"][4] : whole["ends"][5]])
+
+
+PEAK = """
+import re, sys
+import pyarrow.parquet as pq
+from fathom.llm import token_alignment as t
+aligner, table = t.loaded(*sys.argv[1:3]), pq.read_table(sys.argv[3], columns=["doc_id", "text"])
+for k in (0, 2000):
+    part = table.slice(k, 2000)
+    aligner.chunk(part["doc_id"].combine_chunks(), part["text"].combine_chunks())
+print(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1])
+"""
+
+
+def test_memory_of_a_chunk():
+    """Several workers share an executor: chunks of the usual size must not take half a GB beyond the tokenizers."""
+    args = tokenizer_path(A_FILE), tokenizer_path(B_FILE), "/root/testdata/sf0.1/documents.parquet"
+    out = subprocess.run([sys.executable, "-c", PEAK, *args], capture_output=True, text=True, check=True, timeout=300, cwd=Path(__file__).parents[2])
+    assert int(out.stdout.split()[-1]) < 650 * 1024
