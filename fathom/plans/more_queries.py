@@ -103,7 +103,7 @@ def F_M10_F_M17_F_M21_levels(spark, sf):
 def F_A1_F_A5_arrays(spark, sf):
     v = F.col("embedding")
     rolled = F.concat(F.slice(v, 5, F.size(v)), F.slice(v, 1, 4))
-    s = F.aggregate(F.transform(rolled, lambda x, i: F.round(x * 1000).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    s = F.aggregate(F.transform(rolled, lambda x, i: F.round(x * F.lit(1000).cast("float")).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return table(spark, sf, "embeddings").select("vec_id", s.alias("rolled"), F.size(v).cast("long").alias("n"), F.round(1000 * vectors.percentile(v, 0.9)).cast("long").alias("p90"))
 
 
