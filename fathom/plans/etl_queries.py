@@ -187,7 +187,7 @@ def J3_J6_four_way_join(spark, sf):
 
 @query("""SELECT user_id, CAST(sum(value) FILTER (event_type = 'click') * 100 AS BIGINT) // 100 - CAST(sum(value) FILTER (event_type = 'view') * 100 AS BIGINT) // 100 AS delta FROM events GROUP BY user_id""")
 def J27_pivot_compare(spark, sf):
-    p = table(spark, sf, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.floor((F.sum("value") * 100).cast("long") / 100))
+    p = table(spark, sf, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.call_function("div", F.rint(F.sum("value") * 100).cast("long"), F.lit(100)))
     return p.select("user_id", (F.col("click") - F.col("view")).alias("delta"))
 
 
