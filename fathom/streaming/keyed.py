@@ -144,9 +144,11 @@ def expiring(events: DataFrame, key: str, ttl_ms: int, refresh: bool) -> DataFra
 
 
 INDEX_BUCKETS = 64
+#: Text and postings that a task of a batch gets, about; more of them are more tasks, not larger ones.
+TASK_BYTES, TASK_POSTINGS = 8 << 20, 500_000
 
 
-def index_changes(path: str, key: str, weights: dict[str, float], buckets: int = INDEX_BUCKETS) -> Callable[[DataFrame, int], None]:
+def index_changes(path: str, key: str, weights: dict[str, float], buckets: int = INDEX_BUCKETS, task_bytes: int = TASK_BYTES, task_postings: int = TASK_POSTINGS) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the postings of published rows enter the index below path, those of other rows leave it. Rows have
     the key, seq (the last one of a key counts), status and the fields of weights.
 
@@ -157,14 +159,18 @@ def index_changes(path: str, key: str, weights: dict[str, float], buckets: int =
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "seq").alias("r")).select(key, "r.*")
+        sizes = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in weights if c in batch.columns]
+        size, least = batch.agg(F.sum(sum(sizes, F.lit(0)))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        last = batch.repartition(max(least, -(-size // task_bytes)), key).groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "seq").alias("r")).select(key, "r.*")
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         touched = [r.bucket for r in last.select(bucket.alias("bucket")).distinct().collect()]  # the number of buckets bounds them
         before = {k: n for k, n in index_manifest(spark, path, number).items() if n < number}
         new = search.postings(last.where("status = 'published'"), key, weights)
         old = index_postings(spark, path, new.schema, {k: n for k, n in before.items() if k in touched})
         rows = old.join(last.select(key), key, "left_anti").unionByName(new).withColumn("bucket", bucket)
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{number}")
+        # of new text about one posting for eight bytes
+        slices = -(-max(1, (old.count() + size // 8) // task_postings) // buckets)
+        rows.repartition(max(least, buckets * slices), "bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(slices))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{number}")
         written = spark.read.schema("bucket int").parquet(f"{path}/data/{number}").distinct().collect()
         now = {k: n for k, n in before.items() if k not in touched} | {r.bucket: number for r in written}
         spark.createDataFrame(list(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{number}")

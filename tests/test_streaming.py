@@ -101,3 +101,16 @@ def test_index_follows_publication(spark, streamed, tmp_path):
         assert index() == [(2, "d", 2.0), *rest]
     manifest = keyed.index_manifest(spark, path)
     assert sorted(set(manifest.values())) == [0, 1] and len([n for n in manifest.values() if n == 1]) <= 2  # other buckets were not written
+
+
+def test_index_of_small_tasks(spark, tmp_path):
+    """Postings of a bucket come from several tasks where there are many; the index is the same."""
+    rows = spark.createDataFrame([(k, k % 3, "published", f"w{k % 7} x y{k}") for k in range(300)], "id int, seq int, status string, title string")
+    found = []
+    for name, more in (("few", {}), ("many", {"task_bytes": 500, "task_postings": 100})):
+        path = str(tmp_path / name)
+        for number in range(2):
+            keyed.index_changes(path, "id", {"title": 2.0}, buckets=2, **more)(rows.where(f"id % 2 = {number} OR id < 50"), number)
+        found.append(sorted((r.id, r.term, r.weight) for r in keyed.index_postings(spark, path, spark.createDataFrame([], "id int, term string, weight double").schema).collect()))
+    assert found[0] == found[1] and len(found[0]) == 900
+    assert all(len(list((tmp_path / "many" / "data" / "1" / f"bucket={k}").glob("*.parquet"))) > 1 for k in range(2))
