@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns, words and limits that equal results ask for.
 STAGE_TAG = r"(?i)[\[\(]\s*(?:music|applause|laughter|singing|instrumental|foreign|noise)\s*[\]\)]"
@@ -123,16 +125,44 @@ def looks_hallucinated(no_speech: Column, compression: Column, logprob: Column)
     return (F.coalesce(no_speech, F.lit(0.0)) > NO_SPEECH_LIMIT) | (F.coalesce(compression, F.lit(1.0)) > COMPRESSION_LIMIT) | (F.coalesce(logprob, F.lit(0.0)) < LOGPROB_LIMIT)
 
 
+def word_edits(a: list[bytes], b: list[bytes], block: int = 4096) -> int:
+    """Words to put in, take out or replace, to come from one list to the other: Myers' bit vectors, in blocks of words of a, so
+    that the places of its words take bounded memory. A block gets the steps (1, 0, -1) along the last row of the one before."""
+    if a == b:
+        return 0
+    steps = [1] * len(b)
+    for start in range(0, len(a), block):
+        part = a[start : start + block]
+        places: dict[bytes, int] = {}
+        for k, word in enumerate(part):
+            places[word] = places.get(word, 0) | 1 << k
+        full, last = (1 << len(part)) - 1, 1 << (len(part) - 1)
+        up, down = full, 0
+        for j, word in enumerate(b):
+            step, same = steps[j], places.get(word, 0)
+            either = same | down
+            if step < 0:
+                same |= 1
+            flat = (((same & up) + up) ^ up) | same
+            right, left = down | (full & ~(flat | up)), up & flat
+            steps[j] = 1 if right & last else -1 if left & last else 0
+            right, left = right << 1 | (step > 0), left << 1 | (step < 0)
+            up, down = (left | ~(either | right)) & full, right & either & full
+    return len(a) + sum(steps)
+
+
+@F.arrow_udf(T.DoubleType())
+def _error_rate(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    pairs = ((a.split(), b.split()) for a, b in zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True))
+    return pa.array([word_edits(a, b) / len(a) if a else None for a, b in pairs], pa.float64())
+
+
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits between the words of two texts, by the number of reference words; null without reference words.
 
-    Words become single characters, so that the built-in distance of characters counts words.
+    Words are parted at ASCII white space, as bytes, in which Python's split is that of the JVM's \\s.
     """
-    a, b = (F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda t: t != "") for x in (reference, hypothesis))
-    known = F.array_distinct(F.concat(a, b))
-    char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x3400), 4, "0")), "UTF-16BE")
-    line = lambda words: F.array_join(F.transform(words, char), "")
-    return F.when(F.size(a) > 0, F.levenshtein(line(a), line(b)) / F.size(a))
+    return _error_rate(*(F.lower(F.coalesce(x, F.lit(""))).cast("binary") for x in (reference, hypothesis)))
 
 
 def caption(genre: Column, bpm: Column, tonic: Column, year: Column, style: str = "traditional song") -> Column:

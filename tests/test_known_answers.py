@@ -183,3 +183,25 @@ def test_formats(spark):
 def test_word_error_rate(spark):
     r = one(spark, text.word_error_rate(F.lit("the cat sat down"), F.lit("The cat sits")).alias("a"), text.word_error_rate(F.lit(""), F.lit("x")).alias("b"), text.word_error_rate(F.lit("a b"), F.lit(None).cast("string")).alias("c"))
     assert (r.a, r.b, r.c) == (0.5, None, 1.0)
+
+
+def test_word_edits_in_blocks_and_over_many_words(spark):
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b):
+                row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+        return row[-1]
+
+    r = random.Random(3)
+    for _ in range(400):
+        a, b = ([b"%d" % r.randrange(k) for _ in range(r.randrange(12))] for k in (r.choice((2, 5, 30)),) * 2)
+        assert {text.word_edits(a, b, n) for n in (1, 3, 4096)} == {plain(a, b)}
+    # more distinct words than there are characters below the surrogates; white space that is none in ASCII parts no words
+    words = [f"w{k}" for k in range(45_000)]
+    other = [f"x{w}" if k % 9 == 0 else w for k, w in enumerate(words)]
+    rows = spark.createDataFrame([(" ".join(words), "\n".join(other)), ("a\u00a0b c", "a\u2003b\tC")], "a string, b string")
+    assert [x.wer for x in rows.select(text.word_error_rate(F.col("a"), F.col("b")).alias("wer")).collect()] == [5000 / 45_000, 0.5]
