@@ -74,13 +74,24 @@ def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def as_list(texts: pa.Array) -> list[str]:
+    """The strings of an array without nulls; to_pylist() makes a scalar of each and takes eight times as long."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Texts parted at each space and before each line end: the distinct words, each word's place among them, and where each
     text's words begin (and the end). A space stands before each word of a text but its first, unless it begins with a line
     end. Work on words is then done once for each distinct one."""
     parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
     coded = parts.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+    return coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy()
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What coded_words() gives, with the words as a list."""
+    words, index, edges = coded_words(texts)
+    return as_list(words), index, edges
 
 
 def strung(values: list[bytes] | pa.LargeBinaryArray, index: np.ndarray, edges: np.ndarray) -> list[memoryview]:

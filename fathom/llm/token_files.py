@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, chunks, distinct_words, shared_folder, strung, written
+from .common import as_list, bounded_batches, chunks, coded_words, shared_folder, strung, written
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FOOTER = struct.Struct("<IBI")
@@ -41,6 +41,9 @@ CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 #: Runs of white space in which a space or a line end is no cut of the byte-level pattern.
 RUN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 RUNS = rf"{RUN}{{3}}|{RUN}{{2}}\z"
+#: Signs at the end of a word are cut off by the pattern if a letter or digit (these are ones by any version of Unicode) is before them.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BEFORE_SIGNS = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]\z"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -55,7 +58,8 @@ class ByteBpe:
 
     Outside longer runs of white space the byte-level pattern cuts before each space and each line end, so the ids of what
     lies between do not depend on the surroundings. A batch of texts is reduced to its distinct words; new ones go to the library many at a time, as one text, and the ids
-    are dealt back by the number of bytes that each stands for. The cache has two generations; a full one replaces the
+    are dealt back by the number of bytes that each stands for. Signs at the end of a word are encoded apart from it, so words
+    that differ in these only are one. The cache has two generations; a full one replaces the
     older, so frequent words stay.
     """
 
@@ -75,6 +79,7 @@ class ByteBpe:
         self.cache_size = cache_size
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -115,6 +120,20 @@ class ByteBpe:
             self.cache, self.older = {}, self.cache
         return got
 
+    def known_coded(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """What known() gives; it gets the words without the signs at their ends."""
+        bare = pc.ascii_rtrim(words, SIGNS)
+        bare = pc.if_else(pc.match_substring_regex(bare, BEFORE_SIGNS), bare, words)
+        stems, ends = bare.dictionary_encode(), tails(words, bare).dictionary_encode()
+        signs = as_list(ends.dictionary)
+        if len(self.signs) > self.cache_size:
+            self.signs = {}
+        new = [x for x in signs if x not in self.signs]
+        self.signs |= zip(new, self._plain(new), strict=True)
+        first = pa.array(self.known(as_list(stems.dictionary)), pa.large_binary()).take(stems.indices)
+        second = pa.array([self.signs[x] for x in signs], pa.large_binary()).take(ends.indices)
+        return pc.binary_join_element_wise(first, second, pa.scalar(b"", pa.large_binary()))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return [bytes(x) for x in self.encode_batch(pa.array(texts, pa.string()))]
@@ -124,12 +143,12 @@ class ByteBpe:
         odd = pc.match_substring_regex(texts, RUNS)
         for x in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, x))
-        words, index, edges = distinct_words(texts.filter(pc.invert(odd)))
+        words, index, edges = coded_words(texts.filter(pc.invert(odd)))
         starts = edges[:-1]  # a text's first word has no space before it
-        first = self._plain([words[k] for k in index[starts].tolist()])
+        first = self._plain(as_list(words.take(pa.array(index[starts]))))
         index = index.copy()
         index[starts] = len(words) + np.arange(len(starts))
-        ids = iter(strung(self.known(words) + first, index, edges))
+        ids = iter(strung(pa.concat_arrays([self.known_coded(words), pa.array(first, pa.large_binary())]), index, edges))
         return [self._alone(texts[k].as_py()) if x else next(ids) for k, x in enumerate(odd.to_pylist())]
 
     def _alone(self, text: str) -> bytes:
@@ -144,6 +163,17 @@ class ByteBpe:
         return b"".join([known[x] for x in chunks])
 
 
+def tails(texts: pa.StringArray, heads: pa.StringArray) -> pa.StringArray:
+    """What follows in each text after its head."""
+    if not len(texts):
+        return texts
+    ends = np.frombuffer(texts.buffers()[1], "<i4", texts.offset + len(texts) + 1)[texts.offset + 1 :]
+    sizes = pc.subtract(pc.binary_length(texts), pc.binary_length(heads)).to_numpy()
+    cuts = np.r_[0, np.cumsum(sizes)].astype("<i4")
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(cuts), pa.py_buffer(raw[np.repeat(ends - cuts[1:], sizes) + np.arange(cuts[-1])]))
+
+
 _LOADED: dict[str, ByteBpe] = {}
 
 
@@ -211,7 +241,8 @@ class Reader:
         if magic != INDEX_MAGIC:
             raise ValueError("no index of documents behind the frames")
         self.index = pa.ipc.open_file(pa.py_buffer(source.read(length))).read_all()
-        ends = np.cumsum(self.index["n_tokens"].to_numpy()) * 4
+        self.sizes = self.index["n_tokens"].to_numpy() * 4
+        ends = np.cumsum(self.sizes)
         self.begin = np.r_[0, ends[:-1]] if len(ends) else ends
         self.first = np.r_[0, np.cumsum(self.table[:, 1])]  # of each frame, in bytes of ids
         self.frames_read = 0
@@ -229,7 +260,7 @@ class Reader:
 
     def tokens(self, n: int) -> bytes:
         """The ids of the n-th document of the file; only its frame is decompressed."""
-        size = int(self.index["n_tokens"][n].as_py()) * 4
+        size = int(self.sizes[n])
         if not size:
             return b""
         k = int(np.searchsorted(self.first, self.begin[n], "right")) - 1
@@ -270,10 +301,12 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
     return written(rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, tokens (binary) of each document, from the files."""
+def read_token_files(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, tokens (binary; or their ids_crc32) of each document, from the
+    files."""
     offsets = manifest.withColumn("offset", F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     files = max(1, manifest.count())
+    name, kind = ("ids_crc32", "long") if digest else ("tokens", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _file_system(folder)
@@ -284,11 +317,11 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     n = reader.index["n_tokens"].to_numpy()
                     start = (offset or 0) + reader.begin // 4
                     for a, b in runs(n, 1 << 20):
-                        yield pa.RecordBatch.from_arrays(
-                            [reader.index["doc_id"].slice(a, b - a).combine_chunks(), pa.array(start[a:b], pa.int64()), pa.array(n[a:b], pa.int64()), pa.array([reader.tokens(i) for i in range(a, b)], pa.binary())], names=["doc_id", "start", "n_tokens", "tokens"]
-                        )
+                        tokens = map(reader.tokens, range(a, b))
+                        last = pa.array(map(crc32, tokens), pa.int64()) if digest else pa.array(tokens, pa.binary())
+                        yield pa.RecordBatch.from_arrays([reader.index["doc_id"].slice(a, b - a).combine_chunks(), pa.array(start[a:b], pa.int64()), pa.array(n[a:b], pa.int64()), last], names=["doc_id", "start", "n_tokens", name])
 
-    return offsets.select("path", "offset").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, tokens binary")
+    return offsets.select("path", "offset").repartition(files).mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}")
 
 
 def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -311,10 +344,4 @@ def round_trip_digests(docs: DataFrame, tokenizer_file: str, end_id: int | None
     """doc_id, start, n_tokens, ids_crc32 of what was written and read back."""
     folder = f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     manifest = write_token_files(docs, tokenizer_file, folder, end_id)
-    back = read_token_files(manifest, folder)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array([crc32(y) for y in x.column(3).to_pylist()], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return back.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(manifest, folder, digest=True)

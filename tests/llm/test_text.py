@@ -59,6 +59,22 @@ def test_byte_bpe_equals_the_library():
         assert own.encode([text])[0] == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_byte_bpe_words_are_encoded_without_the_signs_at_their_ends():
+    own, asked = token_files.ByteBpe(tokenizer_path("byte_bpe_50k.json")), []
+    together = own._together
+    own._together = lambda words: asked.extend(words) or together(words)
+    r = random.Random(4)
+    ends = ["", ".", ",", "...", "'", "'.", "''", "_", "&&&", ")]", "\u00bf", "\u0301", "\u0301.", "'s.", "1!", "\u00b2.", "\u0378."]
+    words = ["", "the", "Etwas", "na\u00efve", "42", "\u65e5\u672c", "'", "don't", "\nline", "\u00a0x", "w" * 300]
+    texts = [" ".join(r.choice(words) + r.choice(ends) for _ in range(r.randint(0, 9))) for _ in range(2000)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    asked.clear()
+    own.encode(["a Wort, Wort. Wort; Wort Wort!!"])
+    assert asked == [" a", " Wort"]
+    assert own.encode([]) == []
+
+
 def test_token_file_reads_only_the_frames_asked_for():
     out = io.BytesIO()
     w = token_files.Writer(out, frame_bytes=400)
