@@ -32,13 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy", group_rows: int | None = None) -> DataFrame:
     """df, written once to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    Costs one computation, unlike ``checkpoint()``, which computes its input twice.
+    Costs one computation, unlike ``checkpoint()``, which computes its input twice. group_rows: the most rows of a row group,
+    for rows of several MB: Parquet looks at the size of a group after 100 rows first, and arrays are read a group at once.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -277,7 +277,7 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, chunk_bytes: int = C
     space+text), have zeros and an empty groups_sha256. Ids may be null or repeated; other columns are not read. A text of any
     length is taken whole; one longer than chunk_bytes is a chunk of its own. Without rows there are no rows.
     """
-    rows = written(chunked(docs, byte_file, piece_file, chunk_bytes))
+    rows = written(chunked(docs, byte_file, piece_file, chunk_bytes), group_rows=1)  # a task holds one chunk, however many its split has
     counts = pair_counts(rows)
     back = rows.select("chunk", F.posexplode("pairs").alias("place", "pair")).join(counts, "pair").select(F.col("chunk").alias("of"), "place", "n", "best")
 

@@ -9,11 +9,12 @@ import sys
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from fathom.llm import token_alignment
+from fathom.llm import common, token_alignment
 from fathom.llm.queries import QUERIES, tokenizer_path
 from fathom.llm.token_files import byte_symbols
 
@@ -89,6 +90,16 @@ def test_query(spark, sf, plain):
     assert sum(x[4] for x in got.values()) <= sum(x[6] for x in got.values())
 
 
+def test_row_group_of_each_chunk(spark, tmp_path, monkeypatch):
+    """A row group is held in memory, as it is written and as it is read: one chunk, not all of a task's."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(k, f"{k} some words " * 9) for k in range(40)], "doc_id long, text string").repartition(2)
+    assert token_alignment.align(docs, tokenizer_path(A_FILE), tokenizer_path(B_FILE), chunk_bytes=300).count() == 40
+    files = [pq.ParquetFile(x).metadata for x in tmp_path.glob("table-*/*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > len(files) and set(groups) == {1}
+
+
 def test_slices_of_a_chunk(plain):
     """Any slice of units and links gives the same chunk."""
     aligner = token_alignment.loaded(tokenizer_path(A_FILE), tokenizer_path(B_FILE))
